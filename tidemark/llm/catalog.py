@@ -1,10 +1,14 @@
 """The subpackage's queries, and SQL where it can express them."""
 
 from tidemark.llm.packing import op2_harmonic_packing
+from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.sharding import op10_feistel_sharding
 
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+}

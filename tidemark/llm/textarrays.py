@@ -40,6 +40,12 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class _Powers:
     """base**i and base**-i modulo 2**64, grown when needed."""
 
@@ -50,8 +56,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 1 << 16)
-            self.up = np.concatenate(([1], np.full(n, self.base, np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
-            self.down = np.concatenate(([1], np.full(n, self.inverse, np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
+            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
         return self.up, self.down
 
 
