@@ -92,8 +92,9 @@ def _ask(bits: int):
             train = crc32_text(run.column("doc_id").to_pylist()) % FOLDS != 0
             hashes, counts = hash_words(data, offsets, lower=True)
             learnt = np.repeat(train, counts)
-            words = _merge([u for u, _ in (x := (np.unique(hashes[learnt], return_counts=True), np.unique(hashes[~learnt], return_counts=True)))], [x[0][1], 0 * x[1][1]])
-            del hashes, learnt, x
+            (known, times), (other, zero) = np.unique(hashes[learnt], return_counts=True), np.unique(hashes[~learnt], return_counts=True)
+            words = _merge([known, other], [times, 0 * zero])
+            del hashes, learnt
             ks, cs = [], []
             for keys, starts, texts in grams(data, offsets):
                 of = np.repeat(train[texts], np.diff(np.append(starts, len(keys))))
@@ -364,7 +365,9 @@ def score_documents(docs: DataFrame, chunk_rows: int = CHUNK, bucket_bytes: int
     train_docs = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0).count()
     train_tokens, vocabulary = (totals[0] or 0) + train_docs, (totals[1] or 0) + (train_docs > 0)
     tops = _top_levels(gathered)
-    grams_of = gathered.where("kind = 'total'").groupBy("bucket").cogroup(gathered.where("kind = 'place'").groupBy("bucket"))
+    total = gathered.where("kind = 'total'").select("bucket", "keys", "vals")
+    place = gathered.where("kind = 'place'").select(*[F.col(c).alias(c) for c in ("bucket", "chunk", "first_row", "n_rows", "vals")])
+    grams_of = total.groupBy("bucket").cogroup(place.groupBy("bucket"))
     weighed = grams_of.applyInArrow(_weigh(tops), "chunk long, first_row long, n_rows int, bucket int, vals binary")
     words = gathered.where("kind = 'words'").select("chunk", "first_row", "n_rows", "bucket", "vals", F.lit(0).alias("kind"))
     answers = words.unionByName(weighed.withColumn("kind", F.lit(1)))
