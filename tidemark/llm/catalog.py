@@ -1,15 +1,19 @@
 """The subpackage's queries, and SQL where it can express them."""
 
 from tidemark.llm.contexttree import op4_context_tree_scores
+from tidemark.llm.graphann import op7_graph_neighbours
 from tidemark.llm.jaccard import OP9_SQL, op9_jaccard_join
+from tidemark.llm.media import op1_media_columns
 from tidemark.llm.packing import op2_harmonic_packing
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.sharding import op10_feistel_sharding
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_context_tree_scores": op4_context_tree_scores,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_graph_neighbours": op7_graph_neighbours,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
