@@ -5,6 +5,8 @@ from tidemark.llm.graphann import op7_graph_neighbours
 from tidemark.llm.jaccard import OP9_SQL, op9_jaccard_join
 from tidemark.llm.media import op1_media_columns
 from tidemark.llm.packing import op2_harmonic_packing
+from tidemark.llm.pieces import op6_sentencepiece_scan
+from tidemark.llm.quality import op8_cotrained_quality
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.sharding import op10_feistel_sharding
 
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_context_tree_scores": op4_context_tree_scores,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_sentencepiece_scan": op6_sentencepiece_scan,
     "op7_graph_neighbours": op7_graph_neighbours,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
