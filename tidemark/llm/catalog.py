@@ -8,11 +8,13 @@ from tidemark.llm.packing import op2_harmonic_packing
 from tidemark.llm.pieces import op6_sentencepiece_scan
 from tidemark.llm.quality import op8_cotrained_quality
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
+from tidemark.llm.rollups import op3_token_rollups
 from tidemark.llm.sharding import op10_feistel_sharding
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_token_rollups": op3_token_rollups,
     "op4_context_tree_scores": op4_context_tree_scores,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece_scan": op6_sentencepiece_scan,
