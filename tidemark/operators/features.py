@@ -46,7 +46,7 @@ def fit_scaler(train: DataFrame, kind: str = "robust", by: str = "variable", x:
     robust: median and the distance from the 10th to the 90th percentile (exact; with `accuracy`
     approximate, in bounded memory); standard: mean and population deviation; minmax: least value and range.
     """
-    v = train.select(by, F.explode(x).cast("double").alias("v"))
+    v = train.select(by, F.explode(F.col(x).cast("array<double>")).alias("v"))
     if kind == "robust":
         p = (lambda q: F.percentile_approx("v", F.lit(q), F.lit(accuracy))) if accuracy else (lambda q: F.percentile("v", F.lit(q)))
         centre, scale = p(0.5), p(0.9) - p(0.1)

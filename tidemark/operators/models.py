@@ -144,18 +144,20 @@ def holdout_confusion(df: DataFrame, kind: str, group: str, x: str, y: str, seed
     return confusion(scored(model, data.where("fold = 1")).withColumn("_y", F.col("_y").cast("int")), "_y", "yhat").withColumnRenamed("_y", "y")
 
 
-def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y: str, k: int, blocks: int = 8) -> DataFrame:
+def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y: str, k: int, blocks: int = 8, tcol: str | None = None) -> DataFrame:
     """qid, tid, distance, rank, label: each query's k nearest training vectors, exactly.
 
     A stated query set against all training rows, in blocks: queries are packed into rows of a block, each
-    block meets every training partition, and k rows a query and partition are merged.
+    block meets every training partition, and k rows a query and partition are merged. tcol: the training
+    rows' id column, if not named like qid; a row is no neighbour of its own id.
     """
     import numpy as np
     import pyarrow as pa
 
+    tcol = tcol or qid
     packed = queries.select(F.col(qid).alias("_q"), F.col(x).cast("array<double>").alias("_v")).where("_v is not null")
     packed = packed.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_q", "_v"))).alias("_qs"))
-    parts = train.select(F.col(tid).alias("_t"), F.col(x).cast("array<double>").alias("_v"), F.col(y).alias("_y")).where("_v is not null")
+    parts = train.select(F.col(tcol).alias("_t"), F.col(x).cast("array<double>").alias("_v"), F.col(y).alias("_y")).where("_v is not null")
     parts = parts.withColumn("_part", F.pmod(F.xxhash64("_t"), F.lit(blocks)).cast("int")).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_t", "_v", "_y"))).alias("_ts"))
     jobs = packed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parts, "_part").repartition("_block", "_part")
 
@@ -169,9 +171,9 @@ def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y
                     d[names == q["_q"]] = np.inf
                     top = np.lexsort((names, d))[: k]
                     top = top[np.isfinite(d[top])]
-                    yield pa.RecordBatch.from_pydict({"q": pa.array([q["_q"]] * len(top), pa.int64()), "t": names[top], "distance": d[top], "label": labels[top]})
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([q["_q"]] * len(top), pa.int64()), "t": names[top], "distance": d[top], "label": labels[top].astype(np.int64)})
 
-    near = jobs.select("_qs", "_ts").mapInArrow(work, "q long, t long, distance double, label int")
+    near = jobs.select("_qs", "_ts").mapInArrow(work, "q long, t long, distance double, label long")
     w = Window.partitionBy("q").orderBy("distance", "t")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnsRenamed({"q": qid, "t": tid})
 

@@ -1,4 +1,6 @@
 """All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import cohort, matrix, signals
+
+QUERIES = {**signals.QUERIES, **cohort.QUERIES, **matrix.QUERIES}
+ORACLES = {**signals.ORACLES, **cohort.ORACLES, **matrix.ORACLES}
