@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one document chunk; a chunk is what one task holds at a time.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ HOT = 64
 SURPLUS = 1.3
 #: Members of one block where a clique of hot sets is checked pair of blocks by pair of blocks.
 BLOCK = 1000
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 24
 _U = np.uint64
 
 
@@ -169,7 +169,7 @@ def _index(percent: int, bits: int):
     """Packed signature keys by bucket, and the sets that need the other way (bucket -1, their prefix shingles)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             ids, sizes = batch.column("digest").to_pylist(), batch.column("n").to_pylist()
             keys, owners, ns, rest = [], [], [], []
             for i, n, t, kd in zip(ids, sizes, batch.column("tokens").to_pylist(), batch.column("kinds").to_pylist()):
@@ -309,7 +309,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, buck
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(hot), "chunk long, first_row long, n_rows int, bucket int, kinds binary"), "answers")
     sets = materialize(pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_describe(percent), _SETS), "sets")
     classes = materialize(sets.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("kinds").alias("kinds")), "classes")
-    index = materialize(classes.mapInArrow(_index(percent, bits), "bucket int, keys binary, owners binary, sizes binary"), "index")
+    few = max(0, bits - 4)  # signature keys are less than an eighth of the shingles; a pair is found once a bucket
+    index = materialize(classes.mapInArrow(_index(percent, few), "bucket int, keys binary, owners binary, sizes binary"), "index")
     pairs = materialize(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long").distinct(), "pairs")
     tokens = classes.select("digest", "tokens")
     both = pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y")
