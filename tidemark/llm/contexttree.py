@@ -17,7 +17,7 @@ from tidemark.llm.textarrays import column, crc32_text, hash_words, runs
 DEPTH = 5
 #: One document in FOLDS (by crc32 of its id) is held out.
 FOLDS = 10
-CHUNK = 8192
+CHUNK = 4096
 BUCKET_BYTES = 1 << 24
 #: Bytes turned into n-grams at a time.
 PIECE = 1 << 20

@@ -17,7 +17,7 @@ from tidemark.llm.textarrays import column, hash_words, runs, windows
 
 WINDOW = 20
 #: Bytes of text meant for one bucket of anchors, and for one of windows.
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 24
 _NULL_ID = -(1 << 63)
 
 
@@ -186,7 +186,7 @@ def _remove(window: int):
             texts.append(b" ".join(compress(raw[offsets[k] : offsets[k + 1]].split(), mine.tolist())))
         return pa.table({
             "chunk": docs.column("chunk"), "row": docs.column("row"), "doc_id": docs.column("doc_id"), "n_words": docs.column("n_words"), "n_removed": pa.array(removed, pa.int64()),
-            "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
+            "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "kept_text": pa.array([t if n else None for t, n in zip(texts, removed)], pa.binary()).cast(pa.string()),
         })
 
     return work
