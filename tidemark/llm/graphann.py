@@ -99,9 +99,14 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
 def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 256, seed: int = 5) -> tuple[np.ndarray, int]:
     """Edges and entry of a shard's graph: two passes over all points in batches, first without relaxation."""
     n = len(x)
-    rng = np.random.default_rng(seed)
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    edges = rng.integers(0, n, (n, degree)) if n > 1 else np.full((n, degree), -1)
+    if n <= degree + 1:  # everyone's neighbour
+        full = np.tile(np.arange(n), (n, 1))
+        edges = np.full((n, degree), -1, np.int64)
+        edges[:, : n - 1] = full[~np.eye(n, dtype=bool)].reshape(n, n - 1)
+        return edges, entry
+    rng = np.random.default_rng(seed)
+    edges = rng.integers(0, n, (n, degree))
     edges[edges == np.arange(n)[:, None]] = -1
     for a in (1.0, alpha):
         order = rng.permutation(n)
@@ -141,6 +146,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """shard, width, and the shard's graph with its vectors: one row for each shard of about shard_rows vectors.
 
     Vectors of different lengths go to different shards. Every usable row is indexed; nothing is sampled.
+    A node is a distinct vector with all rows that hold it, so copies can't crowd a node's edges.
     """
     rows = usable(vectors).withColumn("width", F.size("x"))
     shards = max(1, -(-rows.count() // shard_rows))
@@ -148,9 +154,12 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+        every = np.stack(pdf["x"].to_numpy()).astype(np.float64) + 0.0
+        x, place = np.unique(every, axis=0, return_inverse=True)
         edges, entry = build_graph(x)
-        graph = (pdf["vec_id"].to_numpy(np.int64), x, edges.astype(np.int32), entry)
+        order = np.argsort(place.ravel(), kind="stable")  # rows of one vector together, by vec_id
+        starts = np.searchsorted(place.ravel()[order], np.arange(len(x) + 1))
+        graph = (pdf["vec_id"].to_numpy(np.int64)[order], starts, x, edges.astype(np.int32), entry)
         return pd.DataFrame({"shard": [key[0]], "width": [key[1]], "graph": [pickle.dumps(graph, 5)]})
 
     return materialize(rows.groupBy("shard", "width").applyInPandas(build, "shard int, width int, graph binary"), "graphs")
@@ -170,14 +179,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, b
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, graph in zip(batch.column("queries").to_pylist(), batch.column("graph").to_pylist()):
-                ids, x, edges, entry = pickle.loads(graph)
+                ids, starts, x, edges, entry = pickle.loads(graph)
                 names = np.array([a["vec_id"] for a in asked], np.int64)
                 q = np.array([a["x"] for a in asked], np.float64)
                 found, _, _ = beam_search(x, edges, entry, q, min(beam, len(x)))
                 r, c = np.nonzero(found >= 0)
-                vec = ids[found[r, c]]
+                hit = found[r, c]
+                many = np.minimum(starts[hit + 1] - starts[hit], k + 1)  # a vector's first k rows besides the query's own
+                at = np.repeat(starts[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                r, hit, vec = np.repeat(r, many), np.repeat(hit, many), ids[at]
                 other = vec != names[r]
-                r, hit, vec = r[other], found[r, c][other], vec[other]
+                r, hit, vec = r[other], hit[other], vec[other]
                 score = _distances_exact(x[hit], q[r])
                 order = np.lexsort((vec, score, r))
                 r, vec, score = r[order], vec[order], score[order]

@@ -109,18 +109,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias of a small logistic fit by Newton steps."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
-    w[:-1] = 1.0 / max(1, x.shape[1] - 1)
-    for _ in range(30):
-        p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)) * 1e-2
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * 1e-2 * w)
-        w += step
+    """Weights and bias of a small logistic fit by Newton steps.
+
+    Weights of the scaled columns are held back by a ridge: with few rows a column must be very telling to
+    count, with many the ridge doesn't matter.
+    """
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = np.column_stack((x / scale, np.ones(len(x))))
+    w, hold = np.zeros(z.shape[1]), ridge * np.append(np.ones(x.shape[1]), 1e-6)
+    for _ in range(50):
+        p = _sigmoid(z @ w)
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(hold)
+        step = np.linalg.solve(h, z.T @ (y - p) - hold * w)
+        w += step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    w[:-1] = np.maximum(w[:-1], 0)  # a view may say nothing, never the contrary
+    w[:-1] = np.maximum(w[:-1], 0) / scale  # a view may say nothing, never the contrary
     return w
 
 
@@ -166,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
                 chance = 1 / (1 + F.exp(-(F.lit(other.a) * (margin + F.lit(other.bias)) + F.lit(other.b))))
                 guess = F.when(chance >= CONFIDENT, 1.0).when(chance <= 1 - CONFIDENT, 0.0)
                 rows = fit.unionByName(pool.withColumn("y", guess).where("y is not null").withColumn("w", F.lit(PSEUDO_WEIGHT)))
-            learner = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=25, regParam=1e-4)
+            learner = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=25, regParam=max(1e-4, 0.5 / sums[0]))
             m = learner.fit(rows.select(array_to_vector(name).alias("x"), "y", "w"))
             view = View(np.asarray(m.coefficients), float(m.intercept))
             view.a, view.b = _calibrate((xs[k] @ view.weights + view.bias)[:, None], y).tolist()
