@@ -24,7 +24,7 @@ CONFIDENT, PSEUDO_WEIGHT = 0.97, 0.2
 SLOTS = 48
 THRESHOLD = 0.5
 #: Bytes looked at together.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 #: Classes of bytes whose shares are features.
 _CLASSES = {
@@ -35,19 +35,20 @@ TEXT_FEATURES = [*_CLASSES, "log_words", "word_length", "distinct", "repeated",
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of TEXT_FEATURES for each whole text."""
-    n = len(offsets) - 1
-    out = np.zeros((n, len(TEXT_FEATURES)))
+    """A row of TEXT_FEATURES for each whole text; about PIECE bytes are looked at together."""
+    edges = np.unique(np.concatenate(([0], np.searchsorted(offsets, np.arange(PIECE, len(data), PIECE)), [len(offsets) - 1])))
+    parts = [_features(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]) for a, b in zip(edges, edges[1:])]
+    return np.concatenate([np.zeros((0, len(TEXT_FEATURES))), *parts])
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(offsets) - 1, len(TEXT_FEATURES)))
     size = np.maximum(np.diff(offsets), 1)
-    edges = np.unique(np.append(np.searchsorted(offsets, np.arange(0, len(data), PIECE)), n))
-    for a, b in zip(edges, edges[1:]):
-        lo, hi = int(offsets[a]), int(offsets[b])
-        part, inner = data[lo:hi], offsets[a : b + 1] - lo
-        for k, values in enumerate(_CLASSES.values()):
-            table = np.zeros(256, bool)
-            table[list(values)] = True
-            sums = np.concatenate(([0], np.cumsum(table[part])))
-            out[a:b, k] = sums[inner[1:]] - sums[inner[:-1]]
+    for k, values in enumerate(_CLASSES.values()):
+        table = np.zeros(256, bool)
+        table[list(values)] = True
+        sums = np.concatenate(([0], np.cumsum(table[data], dtype=np.int64)))
+        out[:, k] = sums[offsets[1:]] - sums[offsets[:-1]]
     hashes, counts = hash_words(data, offsets)
     words = np.maximum(counts, 1)
     ends = np.cumsum(counts)
