@@ -29,7 +29,7 @@ def stratified_split(df: DataFrame, key: str, stratum_col: str, fraction: float
     sizes = df.groupBy(stratum_col).agg(F.count("*").alias("_n")).withColumn("_share", F.col("_n") * fraction)
     total = Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_base", F.floor("_share")).withColumn("_want", F.round(F.sum("_n").over(total) * fraction) - F.sum("_base").over(total))
-    order = total.orderBy((F.col("_share") - F.col("_base")).desc(), stratum_col)
+    order = total.orderBy(F.round(F.col("_share") - F.col("_base"), 9).desc(), stratum_col)  # equal shares tie
     sizes = sizes.withColumn("_take", F.col("_base") + (F.row_number().over(order) <= F.col("_want")).cast("int")).select(stratum_col, "_take")
     return ranked.join(F.broadcast(sizes), stratum_col).withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "train").otherwise("test")).drop("_rank", "_take")
 

@@ -139,7 +139,7 @@ def stratified_split(spark, d):
 
 
 @query("with " + _STRATA + """, z as (select ta::varchar || tb::varchar || tc::varchar as stratum, count(*) as n from t group by 1),
-b as (select *, floor(n * 0.8) as base, row_number() over (order by n * 0.8 - floor(n * 0.8) desc, stratum) as k from z)
+b as (select *, floor(n * 0.8) as base, row_number() over (order by round(n * 0.8 - floor(n * 0.8), 9) desc, stratum) as k from z)
 select stratum, n, (base + (k <= (select round(sum(n) * 0.8) - sum(base) from b))::int)::bigint as train from b""")
 def split_sizes(spark, d):
     s = split.stratified_split(_strata(spark, d), "o_custkey", "stratum")
