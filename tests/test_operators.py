@@ -236,6 +236,32 @@ def test_benjamini_hochberg(spark):
     assert np.allclose(q, [0.04, 0.04, 0.04, 0.5]) and all(a <= b for a, b in zip(q, q[1:]))
 
 
+def test_benjamini_hochberg_in_ranges_and_families(spark):
+    rng = np.random.default_rng(9)
+    ps = np.round(rng.random(400) ** 3, 3)
+    df = spark.createDataFrame([(i, float(v), "ab"[i % 2]) for i, v in enumerate(ps)] + [(400, None, "a")], "i int, p double, f string")
+
+    def want(v):
+        order = np.argsort(v, kind="stable")
+        raw = v[order] * len(v) / np.arange(1, len(v) + 1)
+        out = np.empty(len(v))
+        out[order] = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
+        return out
+
+    got = {r.i: r.q for r in stats.benjamini_hochberg(df, "p", parts=16).collect()}
+    assert got[400] is None and np.allclose([got[i] for i in range(400)], want(ps))
+    by = {r.i: r.q for r in stats.benjamini_hochberg(df, "p", ["f"]).collect()}
+    assert np.allclose([by[i] for i in range(0, 400, 2)], want(ps[::2]))
+
+
+def test_slices_and_offsets(spark):
+    seg = spark.createDataFrame([("a", 0, 0, [1.0, 2.0, 3.0, 4.0]), ("a", 1, 50, [5.0])], "k string, segment int, start_us long, samples array<double>")
+    cut = spark.createDataFrame([("a", 0, 1, 3)], "k string, segment int, startidx int, endidx int")
+    assert windows.slice_samples(seg, cut, ["k", "segment"]).first().x == [2.0, 3.0]
+    sized = windows.sample_offsets(seg.withColumn("length", F.size("samples")), "k", "length")
+    assert rows(windows.row_position(sized, "k", ["start_us"]), "segment", "offset", "position") == [(0, 0, 0), (1, 4, 1)]
+
+
 def test_pearson(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 4.0), (4.0, 3.0), (5.0, 5.0), (None, 1.0)], "x double, y double")
     r = stats.pearson_pvalue(df, [("x", "y")]).first()

@@ -105,14 +105,32 @@ def pearson_pvalue(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "x string, y string, n long, r double, p double")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name: str = "q") -> DataFrame:
-    """Adjusted p: p * n / rank, made monotone from the largest p down, at most 1."""
-    part = by or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy(F.col(p))
-    n = F.count(p).over(Window.partitionBy(*part))
-    raw = df.withColumn("_raw", F.col(p) * n / F.row_number().over(w))
+def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name: str = "q", parts: int = 256) -> DataFrame:
+    """Adjusted p: p * n / rank, made monotone from the largest p down, at most 1; null p stay null.
+
+    With `by` each group is a family. Otherwise p is cut into ranges at approximate quantiles; each range
+    is ranked on its own, and one row a range carries the ranks before it and the least value after it.
+    """
+    known = df.where(F.col(p).isNotNull())
+    rest = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.col(p))
+        n = F.count(p).over(Window.partitionBy(*by))
+        raw = known.withColumn("_raw", F.col(p) * n / F.row_number().over(w))
+        back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw").unionByName(rest)
+    cuts = known.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000)).alias("_cuts"))
+    cut = known.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(p) > c))).drop("_cuts")
+    every = Window.orderBy("_part")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(every) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    w = Window.partitionBy("_part").orderBy(F.col(p))
+    raw = cut.join(F.broadcast(offsets), "_part").withColumn("_raw", F.col(p) * F.col("_all") / (F.row_number().over(w) + F.col("_before")))
+    least = raw.groupBy("_part").agg(F.min("_raw").alias("_m"))
+    after = least.select("_part", F.min("_m").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw")
+    out = raw.withColumn("_own", F.min("_raw").over(back)).join(F.broadcast(after), "_part")
+    return out.withColumn(name, F.least(F.lit(1.0), "_own", "_after")).drop("_part", "_before", "_all", "_raw", "_own", "_after").unionByName(rest)
 
 
 def conditional_share(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
