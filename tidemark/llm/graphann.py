@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read_table
@@ -198,9 +198,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, b
                 yield pa.RecordBatch.from_pydict({"query_id": names[r[top]], "vec_id": vec[top], "score": score[top]})
 
     near = jobs.select("queries", "graph").mapInArrow(work, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return flat.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # each task keeps k rows a query before the shuffle
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
