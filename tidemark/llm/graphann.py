@@ -82,6 +82,8 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
     alive &= candidates != points[:, None]
     vectors = x[np.maximum(candidates, 0)]
     d = np.where(alive, _distances(x, x[points], np.maximum(candidates, 0)), np.inf)
+    norms = np.einsum("bcd,bcd->bc", vectors, vectors)
+    apart = norms[:, :, None] + norms[:, None, :] - 2 * (vectors @ vectors.transpose(0, 2, 1))  # between candidates, squared
     edges = np.full((b, degree), -1, np.int64)
     rows = np.arange(b)
     for k in range(degree):
@@ -90,13 +92,11 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
         if not ok.any():
             break
         edges[ok, k] = candidates[rows, pick][ok]
-        diff = vectors - vectors[rows, pick][:, None, :]
-        between = np.einsum("bcd,bcd->bc", diff, diff)
-        d[(alpha * alpha * between <= d) | (np.arange(c) == pick[:, None])] = np.inf
+        d[(alpha * alpha * apart[rows, pick] <= d) | (np.arange(c) == pick[:, None])] = np.inf
     return edges
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 256, seed: int = 5) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 128, seed: int = 5) -> tuple[np.ndarray, int]:
     """Edges and entry of a shard's graph: two passes over all points in batches, first without relaxation."""
     n = len(x)
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -124,9 +124,9 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
                 continue
             wide = np.full((len(targets), int(count.max())), -1, np.int64)
             wide[np.repeat(np.arange(len(targets)), count), np.arange(len(to)) - np.repeat(first, count)] = back
-            for k in range(0, len(targets), batch):
-                t = targets[k : k + batch]
-                edges[t] = robust_prune(x, t, np.concatenate((edges[t], wide[k : k + batch]), 1), a, degree)
+            for k in range(0, len(targets), 8 * batch):
+                t, more = targets[k : k + 8 * batch], wide[k : k + 8 * batch]
+                edges[t] = robust_prune(x, t, np.concatenate((edges[t], more), 1), a, degree)
     return edges, entry
 
 
