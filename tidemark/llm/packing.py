@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm.common import materialize, power_of_two, read_table
 from tidemark.llm.textarrays import column
 from tidemark.llm.tokens import END, crc, default_path, encoder, packed
 
 CAPACITY = 2048
 #: Remainders of at least so many tokens are cut at the next class's size; shorter ones stay whole.
 CUT_FROM = 64
-#: Pieces are numbered in so many independent groups for every million pieces.
-GROUPS = 64
+#: Pieces of one group; groups fill their bins independently of each other.
+GROUP_PIECES = 20_000
 
 
 def cut(n: int, capacity: int = CAPACITY, cut_from: int = CUT_FROM) -> list[int]:
@@ -89,13 +89,15 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (length, class and any other columns).
 
-    Pieces are dealt to groups by a random number that is written down with them; within a group and
+    Pieces are dealt to groups by a hash of a key that is written down with them; within a group and
     class every run of `class` pieces fills one bin, so groups fill bins independently. What is left of
     each group and class, less than one bin, is numbered on through prefix sums over the small table of
     leftover counts and fills bins of the same class across groups; the last unfilled bin of each class
     (under CAPACITY * (1 + ln CUT_FROM) pieces in all, whatever the input) is packed first-fit.
     """
-    kept = materialize(pieces.withColumn("_group", F.floor(F.rand(7) * GROUPS)).withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    kept = materialize(pieces.withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    groups = power_of_two(kept.count() / GROUP_PIECES, 8)
+    kept = kept.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
     order = Window.partitionBy("_group", "class").orderBy("_key")
     ranked = kept.withColumn("_rank", F.row_number().over(order) - 1)
     counts = kept.groupBy("_group", "class").agg(F.count("*").alias("_n")).withColumn("_left", F.col("_n") % F.col("class"))
@@ -107,8 +109,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("_left_all", F.sum("_left").over(Window.partitionBy("class")))
         .withColumn("_bins_all", F.floor(F.sum("_full").over(Window.partitionBy("class")) / F.col("class"))),
         "counts",
-    )  # a row for each group and class: at most GROUPS * CAPACITY
-    joined = ranked.join(F.broadcast(counts), ["_group", "class"])
+    )  # a row for each group and class; pieces are already dealt by both, so they needn't move for this join
+    joined = ranked.join(counts, ["_group", "class"])
     joined = joined.withColumn("_late", F.col("_left_before") + F.col("_rank") - F.col("_full"))
     main = F.col("_rank") < F.col("_full")
     per_class = F.col("class").cast("long")
