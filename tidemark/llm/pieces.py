@@ -28,7 +28,7 @@ from tidemark.llm.tokens import default_path
 #: Bytes from which a document is cut into chunks, and a chunk's characters.
 GIANT, CHUNK = 1 << 15, 1 << 13
 #: Runs remembered by a worker, and the longest one that is.
-MEMO, LONGEST = 1_000_000, 32
+MEMO, LONGEST = 400_000, 32
 SPACE = "▁"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -102,11 +102,18 @@ class Inventory:
         self.unk_id = next(i for i, p in enumerate(pieces) if p[2] == _UNKNOWN)
         value = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(SPACE, " ").encode() if kind in (_NORMAL, _USER) else b""
         self.text = [value(p, kind) for p, _, kind in pieces]
-        #: every prefix of a piece: its score and id, or nothing where it is no piece itself; a search ends early
-        self.heads = {p[:k]: self.best.get(p[:k]) for p in self.best for k in range(1, len(p) + 1)}
+        #: every prefix of a piece; a search ends early
+        self.heads = {p[:k] for p in self.best for k in range(1, len(p) + 1)}
+        #: the same as a tree by characters: (children, score, id or -1)
+        self.tree: dict = {}
+        for p in sorted(self.best):  # a prefix comes before what it begins
+            node = self.tree
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, 0.0, -1))[0]
+            node[p[-1]] = ({}, *self.best[p])
         #: no piece crosses the start of a run of spaces, so a text may be cut there
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.best)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def edges(self, text: str, at: int, end: int) -> list[tuple[int, float, int]]:
         """(where it ends, score, id or -1 for an unknown character) of the pieces that start at a place."""
@@ -147,35 +154,34 @@ class Inventory:
             at = before
         return list(chain.from_iterable(out[::-1]))
 
-    def solve(self, text: str) -> tuple[int, ...]:
+    def solve(self, text: str) -> list[int]:
         """Ids of the best path of a text; path() in one tight loop."""
-        n, heads, w, low = len(text), self.heads, self.longest, -1e300
+        n, tree, unknown, low = len(text), self.tree, self.unknown, -1e300
         best, start, which = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             b = best[i]
-            for j in range(i + 1, min(n, i + w) + 1):
-                found = heads.get(text[i:j], 0)
-                if found:
-                    score = b + found[0]
-                    if score > best[j]:
-                        best[j], start[j], which[j] = score, i, found[1]
-                elif found == 0:
-                    break
-            if best[i + 1] < b + self.unknown and not heads.get(text[i]):
-                best[i + 1], start[i + 1], which[i + 1] = b + self.unknown, i, -1
+            node, j = tree, i
+            while j < n and (found := node.get(text[j])):
+                node, score, k = found
+                j += 1
+                if k >= 0 and b + score > best[j]:
+                    best[j], start[j], which[j] = b + score, i, k
+            first = tree.get(text[i])
+            if (not first or first[2] < 0) and b + unknown > best[i + 1]:
+                best[i + 1], start[i + 1], which[i + 1] = b + unknown, i, -1
         out, j = [], n
         while j:
             i = start[j]
             out += self.spell(text, i, j, which[j])[::-1] if which[j] < 0 else [which[j]]
             j = i
-        return tuple(out[::-1])
+        return out[::-1]
 
-    def run(self, text: str) -> tuple[int, ...]:
-        """Ids of a text that is encoded on its own."""
+    def run(self, text: str) -> bytes:
+        """Packed ids of a text that is encoded on its own."""
         ids = self.memo.get(text)
         if ids is None:
-            ids = self.solve(text)
+            ids = array("I", self.solve(text)).tobytes()
             if len(text) <= LONGEST:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -185,7 +191,9 @@ class Inventory:
     def encode(self, text: str) -> array:
         """Ids of a whole normalized text."""
         runs = _RUN.findall(text) if self.cuts else [text]
-        return array("I", chain.from_iterable(map(self.run, runs)))
+        ids = array("I")
+        ids.frombytes(b"".join(map(self.run, runs)))
+        return ids
 
     def decode(self, ids) -> bytes:
         """The text of ids, with the space in front that normalizing adds."""
@@ -310,7 +318,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inv = inventory(model)
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             ids = [inv.encode(normalized((t or b"").decode("utf-8", "replace"))).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "row", "doc_id", "text")), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], ["chunk", "row", "doc_id", "text", "ids", "n_chunks"])
 
