@@ -147,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     In each round both views are fitted on the labels and on the other view's confident pseudo-labels
     of all unlabelled documents. A view without information never becomes confident, so it gives none.
     """
-    table = materialize(featured(docs), "features")
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    known = table.join(given, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
+    table = materialize(featured(docs).join(given, "doc_id", "left"), "features")  # features meet labels once, not in every fit
+    known = table.where("y is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
     known = materialize(known.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "labelled")
     sums = known.agg(F.count("*"), F.sum("y"), F.sum(F.when(F.col("test"), F.col("y"))), F.sum(F.col("test").cast("int"))).first()
     prior = (sums[1] or 0) / sums[0] if sums[0] else 1.0
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     xs = [np.stack(held[c].to_numpy()) for c in ("text_x", "meta_x")]
     y = held["y"].to_numpy()
     fit = known.where("not test").select("text_x", "meta_x", "y", F.lit(1.0).alias("w"))
-    pool = table.join(given.select("doc_id"), "doc_id", "left_anti").select("text_x", "meta_x")
+    pool = table.where("y is null").select("text_x", "meta_x")
     views: list[View] = []
     for _ in range(rounds):
         new = []
