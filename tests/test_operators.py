@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import HOUR, MINUTE, SECOND, duration_seconds, serial_day, split_last, tolerant_ceil, tolerant_floor
 from tidemark.operators import board, clean, episodes, features, intervals, labels, models, split, stats, windows
+from tidemark.plans import signals
 
 
 def rows(df, *cols):
@@ -349,3 +350,23 @@ def test_samples_in_is_the_same_with_salt(spark):
     sig = spark.createDataFrame([("a", t * HOUR // 2, float(t)) for t in range(40)], "subject_id string, ts_us long, value double")
     a, b = (rows(windows.samples_in(lab, sig, "within", 3 * HOUR, salt=s), "ts_us", "at_us") for s in (1, 3))
     assert a == b and len(a) == 9 * 6 - 1  # the last window reaches beyond the samples
+
+
+@pytest.fixture(scope="session")
+def few_events(spark, tmp_path_factory):
+    """Events of subjects and variables that no query may leave out."""
+    d = tmp_path_factory.mktemp("events")
+    at = dt.datetime(2024, 1, 1)
+    data = [(k, at + dt.timedelta(days=k % 2, microseconds=k), k % 5 * 1000 + 1, ["view", "click", "error", "new kind"][k % 4], [50.0, 3.0, 72.0, 95.0, None][k % 5] if k % 3 else 20.0 + k) for k in range(60)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{d}/events.parquet")
+    return str(d), data
+
+
+def test_pivot_in_long_form_holds_all_subjects_and_variables(spark, few_events):
+    d, data = few_events
+    want = {}
+    for _, ts, user, kind, value in data:
+        key = ((ts - dt.datetime(1970, 1, 1)).days, kind, str(user))
+        want[key] = min((v for v in (want.get(key), value) if v is not None), default=None)
+    got = signals.pivot_by_time_long(spark, d).collect()
+    assert len(got) == len(want) and {(r.day, r.variable, r.subject_id): r.value for r in got} == want

@@ -249,6 +249,12 @@ def pivot_by_time(spark, d):
     return s.groupBy("day").pivot("subject_id", ["1", "2", "3"]).agg(F.min("value")).toDF("day", "s1", "s2", "s3")
 
 
+@query(sql("signal", "select ts_us // 86400000000 as day, variable, subject_id, min(value) as value from signal group by all"))
+def pivot_by_time_long(spark, d):
+    """The pivot in long form, of all subjects and variables; columns would grow with the subjects."""
+    return t.signal(spark, d).groupBy(F.floor(F.col("ts_us") / DAY).alias("day"), "variable", "subject_id").agg(F.min("value").alias("value"))
+
+
 @query(sql("signal", "select subject_id, ts_us // 86400000000 as day, arg_min(value, (ts_us, seq)) as first_value from signal group by all"))
 def first_by_time(spark, d):
     return t.signal(spark, d).groupBy("subject_id", F.floor(F.col("ts_us") / DAY).alias("day")).agg(F.min_by("value", F.struct("ts_us", "seq")).alias("first_value"))
