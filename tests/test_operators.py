@@ -370,3 +370,14 @@ def test_pivot_in_long_form_holds_all_subjects_and_variables(spark, few_events):
         want[key] = min((v for v in (want.get(key), value) if v is not None), default=None)
     got = signals.pivot_by_time_long(spark, d).collect()
     assert len(got) == len(want) and {(r.day, r.variable, r.subject_id): r.value for r in got} == want
+
+
+def test_cleaning_holds_all_events_without_error(spark, few_events):
+    d, data = few_events
+    want = []
+    for _, ts, user, kind, value in data:
+        value = value if value is not None and value != 50 and value > 5 else None
+        if kind != "error" and (value is None or value <= 90):
+            want.append((str(user), (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), -99999.0 if value is None else value, value))
+    assert {ts % 2 for _, ts, _, _ in want} == {0, 1}
+    assert rows(signals.clean_signal_all(spark, d), "subject_id", "ts_us", "stored", "value") == sorted(want, key=repr)

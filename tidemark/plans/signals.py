@@ -226,16 +226,26 @@ def expectations(spark, d):
     return clean.expect(t.signal(spark, d), {"time_given": F.col("ts_us") > 0, "value_finite": F.col("value").isNotNull() & ~F.isnan("value"), "value_positive": F.col("value") > 0, "not_an_error": F.col("variable") != "error"})
 
 
-@query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error' and ts_us % 2 = 0)
-select subject_id, ts_us::bigint as ts_us, round(coalesce(value, -99999), 6) as stored, round(value, 6) as value from v where value is null or value between 0 and 90"""))
-def clean_signal(spark, d):
-    s = t.signal(spark, d).where((F.col("variable") != "error") & (F.col("ts_us") % 2 == 0))
+def _cleaned(s):
     s = clean.implausible_to_null(clean.sentinel_to_null(s, "value", 50.0), "value", 5.0)
     s = s.where(F.col("value").isNull() | F.col("value").between(0, 90))
     stored = clean.null_to_sentinel(s.withColumn("stored", F.col("value")), "stored", -99999.0)
     return stored.select("subject_id", F.col("ts_us").cast("long").alias("ts_us"), R("stored").alias("stored"), R("value").alias("value"))
 
 
+@query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error' and ts_us % 2 = 0)
+select subject_id, ts_us::bigint as ts_us, round(coalesce(value, -99999), 6) as stored, round(value, 6) as value from v where value is null or value between 0 and 90"""))
+def clean_signal(spark, d):
+    return _cleaned(t.signal(spark, d).where((F.col("variable") != "error") & (F.col("ts_us") % 2 == 0)))
+
+
+@query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error')
+select subject_id, ts_us::bigint as ts_us, round(coalesce(value, -99999), 6) as stored, round(value, 6) as value from v where value is null or value between 0 and 90"""))
+def clean_signal_all(spark, d):
+    """clean_signal on every event that is no error, at odd times too."""
+    return _cleaned(t.signal(spark, d).where("variable != 'error'"))
+
+
 @query(sql("signal", "select count(*) filter (where abs(value) <= 1e-8) as near_zero, count(*) filter (where abs(value - 50) <= 1e-8 + 1e-5 * 50) as near_fifty from signal"))
 def near_zero_count(spark, d):
     return t.signal(spark, d).agg(clean.near_equal_count("value").alias("near_zero"), clean.near_equal_count("value", 50.0).alias("near_fifty"))
