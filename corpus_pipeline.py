@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm.common import address, materialize, read_table, scanned
 from tidemark.llm.jaccard import jaccard_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import classify
@@ -37,11 +37,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that repeat earlier text are cut out; documents left without words go.
 
-    Texts that lose nothing stay as they are; n_chars follows the text.
+    Texts that lose nothing stay as they are; n_chars follows the text. Rows are told apart by their
+    address, so null and repeated doc_ids don't mix.
     """
-    cleaned = remove_repeats(docs.select("doc_id", "text"))
-    changed = materialize(cleaned.where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept")), "changed")
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(changed["doc_id"]), "left").drop(changed["doc_id"])
+    docs = scanned(docs, COLUMNS)
+    changed = remove_repeats(docs).where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("kept_text").alias("_kept"))
+    joined = docs.select(*COLUMNS, *address(prefix="_")).join(materialize(changed, "changed"), ["_chunk", "_row"], "left")
     text = F.coalesce("_kept", "text")
     rows = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
     return rows.where("_kept is null or _kept != ''").select(*COLUMNS)

@@ -1,5 +1,6 @@
 """Images, encodings, neighbours, classifiers and the pipeline."""
 
+import hashlib
 import random
 import struct
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest_words import prose
+from pyspark.sql import functions as F
 
 from tidemark.llm import catalog, graphann, jpeg, pieces, quality, tokens
 
@@ -283,6 +285,36 @@ def test_pipeline_on_awkward_documents(spark, awkward, nothing):
         docs.count()
 
 
+@pytest.mark.parametrize("kind", ["scan", "frame", "doubled"])
+def test_cut_repeats_with_null_and_repeated_ids(spark, tmp_path, kind):
+    """Rows against brute force; lang tells them apart."""
+    import corpus_pipeline as cp
+    from test_texts import brute_repeats
+
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    texts = [(9, a), (9, a), (8, b), (8, prose(rng, 10) + " " + b + " tail of it"), (None, c), (None, c + " and more"), (None, prose(rng, 30)), (None, None), (None, d), (7, ""), (3, d + " end"), (3, None)]
+    rows = [(i, t, f"r{k}", "s", None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    if kind != "frame":
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    if kind == "doubled":  # keeps the scan's metadata columns, but each address occurs twice
+        docs = docs.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice")
+        rows = [r for r in rows for _ in range(2)]
+    want = []
+    order = lambda k: (rows[k][0] is not None, rows[k][0] or 0, k)
+    for k, (_, n, gone, sha) in zip(sorted(range(len(rows)), key=order), brute_repeats([r[:2] for r in rows], order)):
+        if gone < n or not gone:
+            want.append((rows[k][0], rows[k][2], gone, sha if gone else rows[k][1]))
+    got = cp.cut_repeats(spark, docs, SF).collect()
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    before = {r[2]: r[1] for r in rows}
+    sha = lambda r: hashlib.sha256(b" ".join(r.text.encode().split())).hexdigest()
+    lost = lambda r: len((before[r.lang] or "").split()) - len((r.text or "").split())
+    assert sorted(((r.doc_id, r.lang, lost(r), sha(r) if lost(r) else r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_queries_run(spark):
     for name in ("op1_media_columns", "op6_sentencepiece_scan", "op7_graph_neighbours", "op8_cotrained_quality"):
         df = catalog.QUERIES[name](spark, SF)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one document chunk; a chunk is what one task holds at a time.
@@ -42,22 +42,42 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
+def address(rows: int = CHUNK_ROWS, prefix: str = "") -> list[Column]:
+    """A scanned row's address: chunk (a run of rows of one file) and row within the file."""
+    row = F.col("_metadata.row_index")
+    return [F.xxhash64("_metadata.file_path", F.floor(row / F.lit(rows))).alias(f"{prefix}chunk"), row.alias(f"{prefix}row")]
+
+
+def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of docs as a plain scan, so that each row has an address of its own and chunked() gives the same one.
+
+    Frames that are no plain scan (also joins and generators, which repeat addresses) are written to the shared folder.
+    """
+    picked, plan = docs.select(*columns), docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    try:
+        picked.select(*address()).schema  # noqa: B018  resolves the columns
+        plain = plan.nodeName().startswith("LogicalRelation")
+    except AnalysisException:
+        plain = False
+    return picked if plain else materialize(picked, "documents")
+
+
 def chunked(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, text as UTF-8 bytes, and a stable address: chunk (a run of rows of one file) and row within the file.
 
     The address comes from the Parquet reader, so a lost task that is run again finds the same chunks.
     Frames that are no plain scan are written to the shared folder first.
     """
-    address = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")]
     try:
-        df = docs.select(*picked, *address)
+        df = docs.select(*address(rows), *picked)
         df.schema  # noqa: B018  resolves the columns
     except AnalysisException:
         kept = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "documents")
-        df = kept.select(*picked, *address)
-    chunk = F.xxhash64("file", F.floor(F.col("row") / F.lit(rows)))
-    return df.select(chunk.alias("chunk"), "row", "doc_id", "text")
+        df = kept.select(*address(rows), *picked)
+    return df
 
 
 def power_of_two(x: float, least: int = 1) -> int:
