@@ -24,14 +24,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingle similarity the one with the smallest doc_id stays.
+    """Of each group of documents linked by shingle similarity one row stays: the smallest doc_id's, nulls last.
 
-    Rows without a doc_id are in no group that could name one, so they stay; repeated rows stay as one.
+    Among equal doc_ids the row's address decides. Rows without words are in no group: those without a
+    doc_id stay, others as one for each doc_id and text.
     """
-    grouped = jaccard_groups(docs.select("doc_id", "text"))
-    kept = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    docs = scanned(docs, COLUMNS)
+    grouped = jaccard_groups(docs).where("label is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "row")).alias("m")
+    chosen = grouped.groupBy("label").agg(first).select(F.col("m.chunk").alias("_chunk"), F.col("m.row").alias("_row"))
+    rows = docs.select(*COLUMNS, *address(prefix="_")).join(chosen, ["_chunk", "_row"], "left_semi")
+    wordless = docs.where(F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*\z"), F.lit(True)))
+    named = wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return rows.select(*COLUMNS).unionByName(named).unionByName(wordless.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

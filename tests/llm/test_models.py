@@ -285,6 +285,27 @@ def test_pipeline_on_awkward_documents(spark, awkward, nothing):
         docs.count()
 
 
+def test_one_of_near_copies_with_null_and_repeated_ids(spark):
+    """Rows against brute force; lang tells them apart."""
+    import corpus_pipeline as cp
+    from test_texts import brute_groups
+
+    rng = random.Random(6)
+    base, other, alone = prose(rng, 150), prose(rng, 100), prose(rng, 80)
+    near = lambda t, k: " ".join("edited" if j == k else w for j, w in enumerate(t.split()))
+    texts = [(None, alone), *[(None, near(base, 7 * k)) for k in range(8)], (9, near(base, 80)), (9, base), (4, near(other, 50)), (4, other), (4, prose(rng, 90)), (4, near(base, 99)), (3, near(other, 9)), (3, near(other, 9)), (None, alone), (None, None), (None, None), (5, " \t\n\x0b\x0c\r\n"), (5, " \t\n\x0b\x0c\r\n"), (5, ""), (6, None), (6, None), (2, "\x1c"), (2, "one\n"), (1, "\u00a0")]
+    rows = [(i, t, f"r{k}", "s", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    groups = [g for _, _, g in brute_groups([(k, t) for k, (_, t) in enumerate(texts)])]  # by row
+    words = [n for _, n, _ in brute_groups([(k, t) for k, (_, t) in enumerate(texts)])]
+    keep = {}
+    for k, (i, t) in enumerate(texts):
+        group = ("words", groups[k]) if words[k] else ("none", k) if i is None else ("none", i, t)
+        keep[group] = min(keep.get(group, (True, 0, len(texts))), (i is None, i or 0, k))
+    got = cp.keep_one_of_near_copies(spark, docs, SF)
+    assert got.columns == cp.COLUMNS and sorted(int(r.lang[1:]) for r in got.collect()) == sorted(k for _, _, k in keep.values())
+
+
 @pytest.mark.parametrize("kind", ["scan", "frame", "doubled"])
 def test_cut_repeats_with_null_and_repeated_ids(spark, tmp_path, kind):
     """Rows against brute force; lang tells them apart."""

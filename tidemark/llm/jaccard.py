@@ -87,8 +87,8 @@ def _answer(hot: int):
     return work
 
 
-_SETS = "doc_id long, n long, digest long, n_unique long, tokens binary, kinds binary"
-_SET_TYPES = [pa.int64()] * 4 + [pa.binary()] * 2
+_SETS = "chunk long, row long, doc_id long, n long, digest long, n_unique long, tokens binary, kinds binary"
+_SET_TYPES = [pa.int64()] * 6 + [pa.binary()] * 2
 
 
 def _describe(percent: int):
@@ -104,11 +104,11 @@ def _describe(percent: int):
             sets = shingle_sets(*column(part.column("text")))
             known = np.unique(np.concatenate([*sets, np.zeros(0, _U)]))
             kinds, _ = join_binary(mine.column("kinds"), np.uint8)
-            for doc_id, s in zip(part.column("doc_id").to_pylist(), sets):
+            for chunk, row, doc_id, s in zip(*(part.column(c).to_pylist() for c in ("chunk", "row", "doc_id")), sets):
                 kind = kinds[np.searchsorted(known, s)]
                 alone = int((kind == 0).sum())
                 may = len(s) and 100 * (len(s) - alone) >= percent * len(s)
-                out.append((doc_id, len(s), digest(s) if len(s) else None, alone, s.astype("<u8").tobytes() if may else None, kind.tobytes() if may else None))
+                out.append((chunk, row, doc_id, len(s), digest(s) if len(s) else None, alone, s.astype("<u8").tobytes() if may else None, kind.tobytes() if may else None))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SET_TYPES)] if out else [pa.array([], t) for t in _SET_TYPES], [x.split()[0] for x in _SETS.split(", ")])
 
     return work
@@ -301,7 +301,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, buck
 
     Null texts count as empty. A null doc_id never becomes a component's id unless all its members are
     null. Repeated rows are members like others. An empty table gives an empty result; other columns are
-    not read.
+    not read. Also returned: chunk, row (the document's address) and label, which is the component's
+    own whatever its doc_ids (null: no words).
     """
     pieces = chunked(docs)
     bits = power_of_two(text_bytes(docs) / bucket_bytes).bit_length() - 1
@@ -319,13 +320,13 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, buck
     least = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     class_label = least.join(labels.toDF("digest", "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     lowest = class_label.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = class_label.join(lowest, "label").select("digest", "component_id")
-    joined = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = class_label.join(lowest, "label").select("digest", "component_id", "label")
+    joined = sets.select("chunk", "row", "doc_id", "n", "digest").join(of_class, "digest", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "chunk", "row", "label")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(read_table(spark, sf_dir, "documents"))
+    return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP9_SQL = r"""
