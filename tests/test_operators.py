@@ -381,3 +381,8 @@ def test_cleaning_holds_all_events_without_error(spark, few_events):
             want.append((str(user), (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), -99999.0 if value is None else value, value))
     assert {ts % 2 for _, ts, _, _ in want} == {0, 1}
     assert rows(signals.clean_signal_all(spark, d), "subject_id", "ts_us", "stored", "value") == sorted(want, key=repr)
+
+
+def test_parts_per_subject_collects_no_list(spark, few_events):
+    plan = signals.parts_per_subject(spark, few_events[0])._jdf.queryExecution().executedPlan().toString()
+    assert "min(segment" in plan and "collect_list" not in plan

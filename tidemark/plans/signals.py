@@ -292,8 +292,8 @@ def duration_by_part(spark, d):
 
 @query(sql("segments", "select subject_id, count(*) as parts, list(segment order by segment)[1]::bigint as first_part from segments group by subject_id having count(*) > 1"))
 def parts_per_subject(spark, d):
-    p = t.segments(spark, d).groupBy("subject_id").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list("segment")).alias("all"))
-    return p.where("parts > 1").select("subject_id", "parts", F.col("all")[0].cast("long").alias("first_part"))
+    p = t.segments(spark, d).groupBy("subject_id").agg(F.count("*").alias("parts"), F.min("segment").cast("long").alias("first_part"))
+    return p.where("parts > 1")
 
 
 @query(sql("segments", "p as (select subject_id, count(*) as n from segments group by subject_id) select subject_id || '_' || unnest(range(1, n + 1)) as part_id from p where n > 1 union select subject_id from p where n = 1"))
