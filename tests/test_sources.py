@@ -6,7 +6,6 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from conftest import SF
 from tidemark.sources import sinks, tables
 from tidemark.streaming import series
 
@@ -78,8 +77,8 @@ def test_describe_table(spark):
     assert sorted((r.column, r.nulls, r.least, r.most, r.rows) for r in tables.describe_table(d).collect()) == [("a", 0, "1", "3", 2), ("b", 1, "x", "x", 2)]
 
 
-def test_streaming_equals_batch(spark, tmp_path):
-    e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string").alias("subject_id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.lit(20.0).alias("lower"), F.lit(80.0).alias("upper"))
+def test_streaming_equals_batch(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("subject_id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.lit(20.0).alias("lower"), F.lit(80.0).alias("upper"))
     e.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     out = series.outside_by_window(stream, "1 day", "40 days")
