@@ -339,9 +339,11 @@ def normalized(text: str) -> str:
     return SPACE + text.replace(SPACE, ESCAPED).replace(" ", SPACE) if text else ""
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, group: int = GROUP, decode: bool = False) -> DataFrame:
     """chunk, row (the document's address), doc_id, text as bytes, ids (unsigned 32-bit, packed) and the number of chunks.
 
+    decode adds decoded, the ids' text as bytes, as decode_documents does, in the same tasks.
+
     Documents of more than `giant` bytes are cut into chunks of `chunk` characters that go to different
     tasks: once for their transfer matrices, once for their ids. `group` matrices are combined in one task,
     and the groups' products in another, so no task holds more than that many or a text's length / (chunk * group).
@@ -353,13 +355,17 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
     model = model or default_path("piece_bpe_32k.model")
     rows = chunked(docs)
     body = F.coalesce("text", F.lit(b""))
-    names = ["chunk", "row", "doc_id", "text", "ids", "n_chunks"]
+    names = ["chunk", "row", "doc_id", "text", "ids", "n_chunks", *(["decoded"] if decode else [])]
+    more = ", decoded binary" if decode else ""
+
+    def back(inv: Inventory, ids: list[bytes], skip: int) -> list[pa.Array]:
+        return [pa.array([inv.decode(memoryview(i).cast("I"))[skip:] for i in ids], pa.binary())] if decode else []
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inv = inventory(model)
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             ids = [inv.encode(normalized((t or b"").decode("utf-8", "replace"))).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32()), *back(inv, ids, 1)], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = inventory(model).longest - 1
@@ -399,10 +405,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
         for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             d = batch.to_pydict()
             ids = [inv.trace(p.decode("utf-8", "surrogatepass"), n, a, b).tobytes() for p, n, a, b in zip(d["piece"], d["n"], d["enters"], d["leaves"])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "row", "part")), pa.array(ids, pa.binary())], ["chunk", "row", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "row", "part")), pa.array(ids, pa.binary()), *back(inv, ids, 0)], ["chunk", "row", "part", "ids", *names[6:]])
 
     key = ["chunk", "row", "part"]
-    small = rows.where(F.octet_length(body) <= giant).mapInArrow(whole, "chunk long, row long, doc_id long, text binary, ids binary, n_chunks int")
+    small = rows.where(F.octet_length(body) <= giant).mapInArrow(whole, "chunk long, row long, doc_id long, text binary, ids binary, n_chunks int" + more)
     large = rows.where(F.octet_length(body) > giant)
     tasks = max(8, large.agg(F.sum(F.octet_length("text")).alias("b")).select(F.ceil(F.col("b") / (chunk * TASK_CHUNKS))).first()[0] or 0)
     parts = materialize(large.mapInArrow(cut, "chunk long, row long, part int, n int, piece binary"), "parts").repartition(tasks, *key)
@@ -411,9 +417,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
     products = found.groupBy("chunk", "row", "set").applyInPandas(product, "chunk long, row long, set int, matrix binary")
     ends = products.groupBy("chunk", "row").applyInPandas(between_sets, "chunk long, row long, set int, enters int, leaves int")
     fixed = found.groupBy("chunk", "row", "set").cogroup(ends.groupBy("chunk", "row", "set")).applyInPandas(within_set, "chunk long, row long, part int, enters int, leaves int")
-    ids = parts.join(fixed.repartition(tasks, *key), key).mapInArrow(traced, "chunk long, row long, part int, ids binary")
-    joined = ids.groupBy("chunk", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"), F.count("*").cast("int").alias("n_chunks"))
-    joined = joined.select("chunk", "row", F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["ids"])).alias("ids"), "n_chunks")
+    ids = parts.join(fixed.repartition(tasks, *key), key).mapInArrow(traced, "chunk long, row long, part int, ids binary" + more)
+    joined = ids.groupBy("chunk", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids", *names[6:]))).alias("parts"), F.count("*").cast("int").alias("n_chunks"))
+    whole_of = lambda c: F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p[c]))
+    joined = joined.select("chunk", "row", whole_of("ids").alias("ids"), "n_chunks", *([F.substring(whole_of("decoded"), 2, 2**31 - 1).alias("decoded")] if decode else []))
     return small.unionByName(large.select("chunk", "row", "doc_id", "text").join(joined, ["chunk", "row"]))
 
 
@@ -430,7 +437,7 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    found = encode_documents(read_table(spark, sf_dir, "documents"), decode=True)
     body = F.coalesce("text", F.lit(b""))
     return found.select(
         "doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
