@@ -90,16 +90,25 @@ def test_packing(awkward):
     assert sum(n for v in by.values() for _, n in v) > 0.75 * 2048 * (len(by) - 1)
 
 
-def test_token_ids_are_the_tokenizers():
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_ids_are_the_tokenizers(file):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    encode = tokens.encoder(tokens.default_path())
-    for text in ("Hello  world\n\n don't 123 ünï 　 x", "<|endoftext|>", "", "a" * 300, "日本語 テキスト\t\r\n "):
+    t = Tokenizer.from_file(tokens.default_path(file))
+    encode = tokens.encoder(tokens.default_path(file))
+    texts = ["Hello  world\n\n don't 123 ünï 　 x", "<|endoftext|>", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>  b\n", "<|endoftext|", "<|startoftext|> y", "", "a" * 300, "日本語 テキスト\t\r\n ", "\u0085\u2028 \x1c\x0b zero\0byte ٣٤ ½²"]
+    for text in texts:
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_token_ids_of_all_given_documents(spark):
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    assert [encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_harmonic_classes():
     for n in range(1, 5000, 7):
         assert sum(packing.cut(n)) == n and all(0 < p <= 2048 for p in packing.cut(n))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
 
 #: The id after each document.
 END = 1
-#: How the vocabulary's words are cut out of a text before merging (the usual byte-level pattern).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How a file's pre-tokenizer `ByteLevel` with `use_regex` cuts a text into words before merging (a fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,21 +28,49 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _pattern(spec: dict) -> str | None:
+    """The file's word pattern, where the file is a plain byte-level BPE; None for every other kind."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = spec.get("normalizer") is None and not model.get("dropout") and not model.get("byte_fallback") and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
+    flags = any(t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip"))
+    if plain and not flags and model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        return BYTE_LEVEL
+    return None
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from a text to its ids, one for each worker and file.
+    """A function from a text to its ids without added special tokens, one for each worker and file.
 
-    The merges of a byte-level file stand in the order of the ids, so ids serve as ranks; strings of
-    special tokens in a text are ordinary text.
+    The ids are those of `tokenizers` with the file as it is: strings of the file's added tokens get their
+    own ids, and what lies between them is encoded on its own. For byte-level files, whose merges stand in
+    the order of the ids, `tiktoken` gives the same ids several times faster; other files go to `tokenizers`.
     """
-    import tiktoken
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["id"] for t in spec["added_tokens"]}
+    pattern = _pattern(spec)
+    if pattern is None:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    import tiktoken
+
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     to_byte = byte_of_char()
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    plain = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return plain
+    marks = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = marks.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return [i for k, p in enumerate(parts) for i in ([added[p]] if k % 2 else plain(p))]
+
+    return encode
 
 
 def packed(ids: list[int]) -> bytes:
