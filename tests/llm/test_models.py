@@ -250,6 +250,21 @@ def test_awkward_vectors(spark):
     assert graphann.search(graphann.build_index(none), graphann.usable(none)).count() == 0
 
 
+def test_repeated_queries_and_rows(spark):
+    """Against brute force: each distinct query once, each repeated row of another id a neighbour."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (70, 3)).astype(float)
+    x[(x == 0).all(1), 0] = 1
+    data = [(int(i), x[i].tolist()) for i in range(70)] + [(100, [1.0, 2.0, 2.0])] * 3 + [(100, [2.0, 1.0, -1.0])] + [(7, x[7].tolist())] * 4 + [(500, [0.5, 0.5, 0.5])] * 40
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = graphann.search(graphann.build_index(df, shard_rows=30), graphann.usable(df).where("vec_id % 50 = 0"), block=2)
+    want = Counter()
+    for q, v in {(i, tuple(v)) for i, v in data if i % 50 == 0}:
+        near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for j, w in data if j != q)[:10]
+        want.update((q, r + 1, j, d) for r, (d, j) in enumerate(near))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+
+
 # quality
 
 

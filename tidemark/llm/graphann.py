@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read_table
 
-#: Vectors of one shard, and queries of one block.
-SHARD_ROWS, QUERY_BLOCK = 4096, 512
+#: Rows of a shard: a sixteenth of all, within these bounds. Every query visits every shard, so large tables get large shards.
+SHARD_LEAST, SHARD_MOST = 1 << 12, 1 << 16
+#: Queries of one block.
+QUERY_BLOCK = 512
 #: Most edges of a node, relaxation of the pruning rule, beam width when building and when searching.
-DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 96
+DEGREE, ALPHA, BUILD_BEAM, BEAM = 24, 1.2, 48, 128
 K = 10
 
 
@@ -142,63 +144,75 @@ def _distances_exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(-1))
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard, width, and the shard's graph with its vectors: one row for each shard of about shard_rows vectors.
+def build_index(vectors: DataFrame, shard_rows: int | None = None) -> DataFrame:
+    """shard, n_shards, width, and the shard's graph with its vectors: one row for each shard of about shard_rows rows.
 
     Vectors of different lengths go to different shards. Every usable row is indexed; nothing is sampled.
-    A node is a distinct vector with all rows that hold it, so copies can't crowd a node's edges.
+    A node is a distinct vector with all rows that hold it, so copies can't crowd a node's edges. Rows that
+    repeat a vec_id with its vector are counted before they are dealt, so a hot vec_id is one row with its
+    number. Rows that can't take part (see usable) are left out; an empty table gives an empty index; other columns are not read.
     """
-    rows = usable(vectors).withColumn("width", F.size("x"))
-    shards = max(1, -(-rows.count() // shard_rows))
+    rows = usable(vectors).groupBy("vec_id", "x").agg(F.count("*").alias("times")).withColumn("width", F.size("x"))
+    rows = materialize(rows, "vectors")
+    n = rows.count()
+    shards = max(1, -(-n // (shard_rows or min(max(SHARD_LEAST, n // 16), SHARD_MOST))))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values("vec_id", kind="stable")
         every = np.stack(pdf["x"].to_numpy()).astype(np.float64) + 0.0
         x, place = np.unique(every, axis=0, return_inverse=True)
         edges, entry = build_graph(x)
         order = np.argsort(place.ravel(), kind="stable")  # rows of one vector together, by vec_id
         starts = np.searchsorted(place.ravel()[order], np.arange(len(x) + 1))
-        graph = (pdf["vec_id"].to_numpy(np.int64)[order], starts, x, edges.astype(np.int32), entry)
-        return pd.DataFrame({"shard": [key[0]], "width": [key[1]], "graph": [pickle.dumps(graph, 5)]})
+        graph = (pdf["vec_id"].to_numpy(np.int64)[order], pdf["times"].to_numpy(np.int64)[order], starts, x, edges.astype(np.int32), entry)
+        return pd.DataFrame({"shard": [key[0]], "n_shards": [shards], "width": [key[1]], "graph": [pickle.dumps(graph, 5)]})
 
-    return materialize(rows.groupBy("shard", "width").applyInPandas(build, "shard int, width int, graph binary"), "graphs")
+    dealt = rows.repartition(8 * shards, "shard", "width")  # few shards share a task
+    return materialize(dealt.groupBy("shard", "width").applyInPandas(build, "shard int, n_shards int, width int, graph binary"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """Each query's k nearest found over all shards: query_id, rank, vec_id, score (Euclidean distance).
 
-    Queries are packed into blocks; each block visits every shard's graph, in a task for each pair, and
-    k rows a query and shard come back. queries: usable rows (vec_id, x). A row is no neighbour of its own vec_id.
+    Queries are packed into blocks; each block visits every shard's graph of its width, and k rows a query
+    and shard come back. queries: usable rows (vec_id, x). A query is a distinct (vec_id, x): rows that repeat
+    it are answered once, a vec_id with two vectors has two answers. A row is no neighbour of its own
+    vec_id; repeated rows of another are each a neighbour. Ties go to the smaller vec_id. No queries or an
+    empty index give an empty result.
     """
-    shards = index.select("shard", "width")
-    packed = queries.withColumn("width", F.size("x")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
-    packed = packed.groupBy("block", "width").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("queries"))
-    jobs = packed.join(shards, "width").repartition("shard", "block").join(index.select("shard", "width", "graph"), ["shard", "width"])
+    shards = (index.select("n_shards").first() or [1])[0]
+    asked = queries.select("vec_id", "x").dropDuplicates().withColumns({"width": F.size("x"), "vector": F.xxhash64("x")})
+    blocks = max(1, -(-queries.count() // block))
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    packed = packed.groupBy("block", "width").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "x"))).alias("queries"))
+    jobs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(8 * shards, "shard", "width")
+    jobs = jobs.join(index.select("shard", "width", "graph").repartition(8 * shards, "shard", "width"), ["shard", "width"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, graph in zip(batch.column("queries").to_pylist(), batch.column("graph").to_pylist()):
-                ids, starts, x, edges, entry = pickle.loads(graph)
-                names = np.array([a["vec_id"] for a in asked], np.int64)
+                ids, times, starts, x, edges, entry = pickle.loads(graph)
+                names, vectors = np.array([a["vec_id"] for a in asked], np.int64), np.array([a["vector"] for a in asked], np.int64)
                 q = np.array([a["x"] for a in asked], np.float64)
                 found, _, _ = beam_search(x, edges, entry, q, min(beam, len(x)))
                 r, c = np.nonzero(found >= 0)
                 hit = found[r, c]
                 many = np.minimum(starts[hit + 1] - starts[hit], k + 1)  # a vector's first k rows besides the query's own
                 at = np.repeat(starts[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                r, hit, vec = np.repeat(r, many), np.repeat(hit, many), ids[at]
-                other = vec != names[r]
-                r, hit, vec = r[other], hit[other], vec[other]
+                r, hit = np.repeat(r, many), np.repeat(hit, many)
+                other = ids[at] != names[r]
+                again = np.minimum(times[at[other]], k)
+                r, hit, vec = np.repeat(r[other], again), np.repeat(hit[other], again), np.repeat(ids[at[other]], again)
                 score = _distances_exact(x[hit], q[r])
                 order = np.lexsort((vec, score, r))
                 r, vec, score = r[order], vec[order], score[order]
                 place = np.arange(len(r)) - np.searchsorted(r, r)
                 top = place < k
-                yield pa.RecordBatch.from_pydict({"query_id": names[r[top]], "vec_id": vec[top], "score": score[top]})
+                yield pa.RecordBatch.from_pydict({"query_id": names[r[top]], "vector": vectors[r[top]], "vec_id": vec[top], "score": score[top]})
 
-    near = jobs.select("queries", "graph").mapInArrow(work, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # each task keeps k rows a query before the shuffle
+    near = jobs.select("queries", "graph").mapInArrow(work, "query_id long, vector long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "vector").orderBy("score", "vec_id")  # each task keeps k rows a query before the shuffle
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
