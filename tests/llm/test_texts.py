@@ -147,6 +147,26 @@ def test_rollup_is_idempotent(spark, awkward, tmp_path):
         r.commit("../x", first)
 
 
+def test_rollup_of_two_writers_lost_attempts_and_compaction(spark, tmp_path):
+    row = lambda n, t, source="s": spark.createDataFrame([(source, None, "words", n, t)], "source string, lang string, tokenizer string, documents long, tokens long")
+    total = lambda r: {(x.source, x.documents, x.tokens) for x in r.totals().collect()}
+    a, b = (rollups.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    assert a.compact() and a.totals().count() == 0
+    # both writers are past the check and have stored a delta before either commits
+    one, two = a._stored("x", row(1, 10)), b._stored("x", row(1, 99))
+    assert total(a) == set()
+    assert b._publish("commits/x", two) and not a._publish("commits/x", one)
+    assert total(a) == total(b) == {("s", 1, 99)} and not a.commit("x", row(1, 10))
+    a._stored("y", row(5, 50))  # an attempt that is lost before it commits
+    assert total(a) == {("s", 1, 99)} and a.commit("y", row(2, 1)) and total(b) == {("s", 3, 100)}
+    assert b.compact() and not b.commit("y", row(2, 1)) and total(a) == {("s", 3, 100)}
+    assert a.commit("z", row(-3, -100)) and a.commit("w", row(0, 0, None)) and total(b) == set()
+    assert a.compact() and total(a) == set() and a.commit("v", row(1, 1, None)) and total(a) == {(None, 1, 1)}
+    parts, ids = a._parts()
+    n = len(a._names("bases"))
+    assert a._publish(f"bases/{n:012d}", a._base()) and not b._publish(f"bases/{n:012d}", "data/other") and ids == ["v"]
+
+
 def test_rollup_query(spark):
     got = catalog.QUERIES["op3_token_rollups"](spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
