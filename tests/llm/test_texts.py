@@ -1,5 +1,6 @@
 """Operators on texts against brute force, on awkward documents and on the given tables."""
 
+import functools
 import hashlib
 import math
 import re
@@ -11,7 +12,7 @@ import pytest
 from compare import assert_same
 from conftest_words import prose
 
-from tidemark.llm import catalog, contexttree, jaccard, media, packing, repeats, rollups, sharding, tokens
+from tidemark.llm import catalog, common, contexttree, jaccard, media, packing, repeats, rollups, sharding, tokens
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -237,14 +238,17 @@ def brute_scores(rows):
     return out
 
 
-def test_context_tree(awkward):
+@pytest.mark.parametrize("askers", [256, 2])
+def test_context_tree(awkward, monkeypatch, askers):
+    monkeypatch.setattr(contexttree, "ASKERS", askers)
     small = awkward.where("text is null or length(text) < 4000")
     got = sorted(contexttree.score_documents(small, chunk_rows=16).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, round(r.score, 3)))
     want = sorted(brute_scores(pairs(small)), key=lambda r: (r[0] is None, r[0] or 0, round(r[6], 3)))
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5]
-        assert g.base_score == pytest.approx(w[5], rel=1e-9) and g.score == pytest.approx(w[6], rel=1e-6)
+        assert g.base_score == pytest.approx(w[5], rel=1e-9) and g.score == pytest.approx(w[6], rel=1e-9)
+        assert g.bits_per_byte == pytest.approx(-w[6] / math.log10(2) / max(1, g.n_bytes), rel=1e-9)
 
 
 def test_context_tree_without_training(spark, nothing):
@@ -285,12 +289,9 @@ def test_repeats(awkward):
 
 
 def test_repeats_over_chunks_and_buckets(spark, monkeypatch):
-    from tidemark.llm import common
-
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = pairs(docs)
-    chunked = common.chunked
-    monkeypatch.setattr(repeats, "chunked", lambda d: chunked(d, 7))
+    monkeypatch.setattr(repeats, "Chunks", functools.partial(common.Chunks, most=7))
     got = repeats.remove_repeats(docs, bucket_bytes=1 << 15).collect()
     assert tally((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == tally(brute_repeats(rows, lambda k: (rows[k][0], k)))
 
@@ -299,6 +300,43 @@ def test_repeats_of_nothing(nothing):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+# chunks
+
+
+def test_chunks_hold_bounded_bytes(spark, tmp_path):
+    rows = [(i, "word " * (20000 if 100 <= i < 120 else 20)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    chunks = common.Chunks(docs, most=256, most_bytes=500_000)
+    sizes = [(r.b, r.n) for r in chunks.rows.groupBy("chunk").agg({"*": "count"}).toDF("chunk", "n").join(chunks.rows.selectExpr("chunk", "octet_length(text) as b"), "chunk").groupBy("chunk").agg({"b": "sum", "n": "max"}).toDF("chunk", "b", "n").collect()]
+    assert max(b for b, n in sizes if n > 1) <= 500_000 and sum(n for _, n in sizes) == 300 and chunks.size == sum(len(t) for _, t in rows)
+    assert len({r.chunk for r in common.Chunks(docs, most=256).rows.collect()}) == 2
+
+
+def test_columns_of_several_arrow_chunks():
+    import pyarrow as pa
+
+    from tidemark.llm.textarrays import column
+
+    data, offsets = column(pa.chunked_array([pa.array([b"ab", None], pa.binary()), pa.array([b"", b"cde"], pa.binary())]))
+    assert data.tobytes() == b"abcde" and offsets.tolist() == [0, 2, 2, 2, 5]
+
+
+def test_texts_over_a_megabyte(spark):
+    """Repeats, groups and scores of texts larger than what is hashed at a time, against brute force."""
+    import random
+
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(170_000))
+    rows = [(1, long), (2, long[:700_000] + " changed " + long[700_000:]), (3, prose(rng, 30)), (4, "x" * 1_300_000), (5, long[-4000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 1 << 20
+    got = repeats.remove_repeats(docs).collect()
+    assert tally((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == tally(brute_repeats(rows, lambda k: (rows[k][0], k)))
+    assert tally((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs).collect()) == tally(brute_groups(rows))
+    assert {r.doc_id: r.n_bytes for r in contexttree.score_documents(docs).collect()} == {i: len(t) for i, t in rows}
+
+
 # Jaccard join
 
 

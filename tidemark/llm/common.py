@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one document chunk; a chunk is what one task holds at a time.
+#: Rows of one document chunk, at most; a chunk is what one task holds at a time.
 CHUNK_ROWS = 2048
+#: Bytes of text that a chunk holds at most, if it holds more than one row.
+CHUNK_BYTES = 1 << 26
+#: Rows whose sizes are summed to find out how many make a chunk.
+_BLOCK = 64
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = spark.sparkContext.getCheckpointDir()
-        if not own:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            own = spark.sparkContext.getCheckpointDir()
-        path = own
-    return path.rstrip("/")
+    """A folder of this application's own in what all executors share: spark.checkpoint.dir, or where that is
+    unset the context's checkpoint folder or the warehouse. It is deleted when the application ends."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/tidemark/{sc.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
@@ -37,11 +44,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts."""
-    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-
-
 def address(rows: int = CHUNK_ROWS, prefix: str = "") -> list[Column]:
     """A scanned row's address: chunk (a run of rows of one file) and row within the file."""
     row = F.col("_metadata.row_index")
@@ -64,20 +66,31 @@ def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
     return picked if plain else materialize(picked, "documents")
 
 
-def chunked(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, text as UTF-8 bytes, and a stable address: chunk (a run of rows of one file) and row within the file.
+class Chunks:
+    """Documents in chunks: rows has doc_id, text as UTF-8 bytes, and a stable address: chunk (a run of rows of one
+    file) and row within the file. size: UTF-8 bytes of all texts. count: about how many chunks there are.
 
     The address comes from the Parquet reader, so a lost task that is run again finds the same chunks.
-    Frames that are no plain scan are written to the shared folder first.
+    Frames that are no plain scan are written to the shared folder first. A chunk has `most` rows, or
+    fewer where so many rows could hold more than CHUNK_BYTES (one row at least).
     """
-    picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")]
-    try:
-        df = docs.select(*address(rows), *picked)
-        df.schema  # noqa: B018  resolves the columns
-    except AnalysisException:
-        kept = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "documents")
-        df = kept.select(*address(rows), *picked)
-    return df
+
+    def __init__(self, docs: DataFrame, most: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES):
+        picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")]
+        try:
+            docs.select(*address(most), *picked).schema  # noqa: B018  resolves the columns
+        except AnalysisException:
+            docs = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "documents")
+        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        block = min(_BLOCK, most)
+        sizes = docs.select(file.alias("file"), F.floor(row / F.lit(block)).alias("block"), F.octet_length("text").cast("long").alias("bytes"))
+        sizes = sizes.groupBy("file", "block").agg(F.sum("bytes").alias("bytes")).groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count("*").alias("n"))
+        total, largest, blocks, files = sizes.agg(F.sum("bytes"), F.max("most"), F.sum("n"), F.count("*")).first()
+        n = most
+        while n > 1 and (largest or 0) * n > most_bytes * block:
+            n //= 2
+        self.size, self.count = int(total or 0), (blocks or 0) * block // n + files
+        self.rows = docs.select(*address(n), *picked)
 
 
 def power_of_two(x: float, least: int = 1) -> int:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunked, materialize, power_of_two, read_table, text_bytes
+from tidemark.llm.common import Chunks, materialize, power_of_two, read_table
 from tidemark.llm.exchange import by_bucket, join_binary
 from tidemark.llm.textarrays import column, crc32_text, hash_words, runs
 
@@ -19,9 +19,12 @@ DEPTH = 5
 FOLDS = 10
 CHUNK = 4096
 BUCKET_BYTES = 1 << 24
+#: Chunks that meet in one task to ask about the n-grams of one bucket.
+ASKERS = 256
 #: Bytes turned into n-grams at a time.
 PIECE = 1 << 20
 _U = np.uint64
+_LOG2 = float(np.log10(2))
 #: A bijection of the last two context bytes that spreads them over buckets; a subtree below two bytes lies in one bucket.
 _PAIR = ((np.arange(65536, dtype=np.uint64) * _U(40503)) & _U(0xFFFF)) << _U(48)
 _UNPAIR = np.argsort(_PAIR >> _U(48)).astype(np.int64)
@@ -184,40 +187,48 @@ def _subtrees(keys: np.ndarray, counts: np.ndarray) -> tuple[list[Level], list[n
     return levels, numbers
 
 
-_GATHERED = "kind string, bucket int, chunk long, first_row long, n_rows int, keys binary, vals binary, total long, distinct_n long"
-_GATHERED_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_GATHERED = "what string, kind int, bucket int, part int, chunk long, first_row long, n_rows int, keys binary, vals binary"
+_GATHERED_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_TOTALS = "what string, kind int, bucket int, keys binary, vals binary, total long, distinct_n long"
+_TOTALS_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _table(rows: list[tuple], types: list, schema: str) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in schema.split(", ")])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """Where all askers of a bucket meet. Words get their counts at once; n-grams are totalled, each asker's
-    places among the totals kept, and what the two top levels need handed up."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    """Where ASKERS of a bucket meet: their distinct keys with summed counts, and each asker's places among them."""
+    at = tuple(table.column(c)[0].as_py() for c in ("kind", "bucket", "part"))
     keys, starts = join_binary(table.column("keys"), "<u8")
     counts, _ = join_binary(table.column("counts"), "<u4")
     unique, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, counts, len(unique)).astype(np.int64)
-    at = list(zip(table.column("chunk").to_pylist(), table.column("first_row").to_pylist(), table.column("n_rows").to_pylist()))
-    out = []
-    if kind == 0:
-        answer = total[place].astype("<u8")
-        out += [("words", bucket, *x, None, answer[a:b].tobytes(), None, None) for x, a, b in zip(at, starts, starts[1:])]
-        out.append(("vocabulary", bucket, None, None, None, None, None, int(total.sum()), int((total > 0).sum())))
-    else:
-        out += [("place", bucket, *x, None, place[a:b].astype("<u4").tobytes(), None, None) for x, a, b in zip(at, starts, starts[1:])]
-        out.append(("total", bucket, None, None, None, unique.tobytes(), total.astype("<i8").tobytes(), None, None))
+    total = np.bincount(place, counts, len(unique)).astype("<i8")
+    asker = zip(table.column("chunk").to_pylist(), table.column("first_row").to_pylist(), table.column("n_rows").to_pylist())
+    out = [("place", *at, *x, None, place[a:b].astype("<u4").tobytes()) for x, a, b in zip(asker, starts, starts[1:])]
+    out.append(("part", *at, None, None, None, unique.tobytes(), total.tobytes()))
+    return _table(out, _GATHERED_TYPES, _GATHERED)
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """Where all parts of a bucket meet: the corpus's counts, and what the two top levels need handed up."""
+    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    keys, _ = join_binary(table.column("keys"), "<u8")
+    counts, _ = join_binary(table.column("vals"), "<i8")
+    unique, total = _merge([keys], [counts]) if len(keys) else (keys, counts)
+    out = [("total", kind, bucket, unique.tobytes(), total.astype("<i8").tobytes(), int(total.sum()), int((total > 0).sum()))]
+    if kind == 1 and len(unique):
         levels, _ = _subtrees(unique, total)
-        if len(unique):
-            pairs = np.unique(unique >> _U(48))
-            last = _UNPAIR[pairs.astype(np.int64)] >> 8  # the last byte of each two-byte context
-            level = levels[-1]
-            node = last[level.keys >> 8] << 8 | (level.keys & 255)
-            tops, where = np.unique(node, return_inverse=True)
-            logs = np.bincount(where, level.log, len(tops))
-            byte = ((unique >> _U(56 - 8 * DEPTH)) & _U(255)).astype(np.int64)
-            one, zeros, ones = _nodes(_UNPAIR[(unique >> _U(48)).astype(np.int64)][total > 0] >> 8, byte[total > 0], total[total > 0])
-            out.append(("top", bucket, None, None, None, one.astype("<i8").tobytes(), np.concatenate((zeros, ones, logs[np.searchsorted(tops, one)])).astype("<f8").tobytes(), None, None))
-    names = [x.split()[0] for x in _GATHERED.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _GATHERED_TYPES)], names)
+        pairs = np.unique(unique >> _U(48))
+        last = _UNPAIR[pairs.astype(np.int64)] >> 8  # the last byte of each two-byte context
+        level = levels[-1]
+        node = last[level.keys >> 8] << 8 | (level.keys & 255)
+        tops, where = np.unique(node, return_inverse=True)
+        logs = np.bincount(where, level.log, len(tops))
+        byte = ((unique >> _U(56 - 8 * DEPTH)) & _U(255)).astype(np.int64)
+        one, zeros, ones = _nodes(_UNPAIR[(unique >> _U(48)).astype(np.int64)][total > 0] >> 8, byte[total > 0], total[total > 0])
+        out.append(("top", kind, bucket, one.astype("<i8").tobytes(), np.concatenate((zeros, ones, logs[np.searchsorted(tops, one)])).astype("<f8").tobytes(), None, None))
+    return _table(out, _TOTALS_TYPES, _TOTALS)
 
 
 def _top_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +238,9 @@ def _top_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"node": np.frombuffer(keys, "<i8"), "zeros": v[0], "ones": v[1], "below": v[2]})
 
 
-def _top_levels(gathered: DataFrame) -> list[Level]:
+def _top_levels(totals: DataFrame) -> list[Level]:
     """Levels 1 and 0. They have 256 * 255 and 255 nodes at most, whatever the corpus, so they fit the driver."""
-    rows = gathered.where("kind = 'top'").select("keys", "vals").mapInArrow(_top_rows, "node long, zeros double, ones double, below double")
+    rows = totals.where("what = 'top'").select("keys", "vals").mapInArrow(_top_rows, "node long, zeros double, ones double, below double")
     one = rows.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).orderBy("node").toPandas()
     first = Level(one["node"].to_numpy(np.int64), one["zeros"].to_numpy(float), one["ones"].to_numpy(float), one["below"].to_numpy(float))
     prefixes, place = np.unique(first.keys & 255, return_inverse=True)
@@ -237,38 +248,51 @@ def _top_levels(gathered: DataFrame) -> list[Level]:
     return [root, first]
 
 
-def _weigh(tops: list[Level]):
-    """log10 of each asked n-gram's chance, mixed over the depths from the root down."""
-
-    def work(totals: pa.Table, places: pa.Table) -> pa.Table:
-        keys, _ = join_binary(totals.column("keys"), "<u8")
-        counts, _ = join_binary(totals.column("vals"), "<i8")
-        levels, numbers = _subtrees(keys, counts)
-        byte = ((keys >> _U(56 - 8 * DEPTH)) & _U(255)).astype(np.int64)
-        path = [(tops[0], np.zeros(len(keys), np.int64)), (tops[1], _UNPAIR[(keys >> _U(48)).astype(np.int64)] >> 8), *zip(levels[::-1], numbers[::-1])]
-        score = np.zeros(len(keys))
-        for j in range(8):
-            prefix = (1 << j) | (byte >> (8 - j))
-            one, left = np.zeros(len(keys)), np.ones(len(keys))
-            for level, number in path:
-                if not len(level.keys):
-                    continue
-                node = number << 8 | prefix
-                k = np.minimum(np.searchsorted(level.keys, node), len(level.keys) - 1)
-                stop = np.where(level.keys[k] == node, level.stop[k], 0)
-                one += left * stop * level.chance[k]
-                known = level.keys[k] == node
-                one += np.where(known, 0, left * 0.5)  # nothing was learnt from here on
-                left = np.where(known, left * (1 - stop), 0)
-            one += left * 0.5
-            score += np.log10(np.where((byte >> (7 - j)) & 1, one, 1 - one))
-        logs = score.astype("<f4")
-        answers = [logs[np.frombuffer(v, "<u4")].tobytes() for v in places.column("vals").to_pylist()]
-        return places.select(["chunk", "first_row", "n_rows", "bucket"]).append_column("vals", pa.array(answers, pa.binary()))
+def _logs(tops: list[Level], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of each n-gram's chance, mixed over the depths from the root down."""
+    levels, numbers = _subtrees(keys, counts)
+    byte = ((keys >> _U(56 - 8 * DEPTH)) & _U(255)).astype(np.int64)
+    path = [(tops[0], np.zeros(len(keys), np.int64)), (tops[1], _UNPAIR[(keys >> _U(48)).astype(np.int64)] >> 8), *zip(levels[::-1], numbers[::-1])]
+    score = np.zeros(len(keys))
+    for j in range(8):
+        prefix = (1 << j) | (byte >> (8 - j))
+        one, left = np.zeros(len(keys)), np.ones(len(keys))
+        for level, number in path:
+            if not len(level.keys):
+                continue
+            node = number << 8 | prefix
+            k = np.minimum(np.searchsorted(level.keys, node), len(level.keys) - 1)
+            known = level.keys[k] == node
+            stop = np.where(known, level.stop[k], 0)
+            one += left * stop * level.chance[k]
+            one += np.where(known, 0, left * 0.5)  # nothing was learnt from here on
+            left = np.where(known, left * (1 - stop), 0)
+        one += left * 0.5
+        score += np.log10(np.where((byte >> (7 - j)) & 1, one, 1 - one))
+    return score
+
+
+def _value(tops: list[Level]):
+    """What is answered for each key of a bucket: a word's count, an n-gram's log10 chance (both as doubles)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, bucket, keys, vals in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "vals"))):
+                counts = np.frombuffer(vals, "<i8")
+                answer = counts.astype("<f8") if kind == 0 else _logs(tops, np.frombuffer(keys, "<u8"), counts).astype("<f8")
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "known": [keys], "answers": [answer.tobytes()]})
 
     return work
 
 
+def _answer(places: pa.Table, values: pa.Table) -> pa.Table:
+    """Each asker's answers, in the order of its keys."""
+    mine, known, answers = (np.frombuffer(values.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("known", "<u8"), ("answers", "<f8")))
+    given = answers[np.searchsorted(known, mine)]
+    found = [given[np.frombuffer(v, "<u4")].tobytes() for v in places.column("vals").to_pylist()]
+    return places.select(["chunk", "first_row", "n_rows", "kind", "bucket"]).append_column("vals", pa.array(found, pa.binary()))
+
+
 class Lookup:
     """Place of keys in a sorted array: two direct-mapped tables, and binary search for what collides in both."""
 
@@ -293,7 +317,7 @@ class Lookup:
         return out
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _score(train_tokens: int, train_docs: int, vocabulary: int):
@@ -302,9 +326,9 @@ def _score(train_tokens: int, train_docs: int, vocabulary: int):
     def run_of(part: pa.Table, words: pa.Table, logs: pa.Table) -> list[tuple]:
         data, offsets = column(part.column("text"))
         hashes, counts = hash_words(data, offsets, lower=True)
-        answer = np.frombuffer(b"".join(words.column("vals").to_pylist()), "<u8")
+        answer = np.frombuffer(b"".join(words.column("vals").to_pylist()), "<f8")
         unique, place = np.unique(hashes, return_inverse=True)
-        seen = answer[place].astype(np.float64)
+        seen = answer[place]
         del unique, place, hashes
         ends = np.cumsum(counts)
         first = ends - counts
@@ -321,13 +345,13 @@ def _score(train_tokens: int, train_docs: int, vocabulary: int):
             if len(ks) >= 16:
                 ks = [np.unique(np.concatenate(ks))]
         find = Lookup(np.unique(np.concatenate(ks)))
-        log = np.frombuffer(b"".join(logs.column("vals").to_pylist()), "<f4").astype(np.float64)
+        log = np.frombuffer(b"".join(logs.column("vals").to_pylist()), "<f8")
         score = np.zeros(len(counts))
         for keys, starts, texts in grams(data, offsets):
             np.add.at(score, texts, np.add.reduceat(log[find(keys)], starts))
         ids = part.column("doc_id").to_pylist()
         held = crc32_text(ids) % FOLDS == 0
-        return [(i, bool(h), int(n) + 1, int(k), train_tokens, float(b), float(s), int(z)) for i, h, n, k, b, s, z in zip(ids, held, counts, n_known, base, score, np.diff(offsets))]
+        return [(i, bool(h), int(n) + 1, int(k), train_tokens, float(b), float(s), int(z), float(-s / _LOG2 / max(1, z))) for i, h, n, k, b, s, z in zip(ids, held, counts, n_known, base, score, np.diff(offsets))]
 
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs, out = docs.sort_by("row"), []
@@ -336,7 +360,7 @@ def _score(train_tokens: int, train_docs: int, vocabulary: int):
         for f in np.unique(firsts):
             words, logs = (answers.filter(pa.array((firsts == f) & (kinds == k))) for k in (0, 1))
             out += run_of(docs.slice(int(np.searchsorted(rows, f)), words.column("n_rows")[0].as_py()), words, logs)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], [x.split()[0] for x in _SCORED.split(", ")])
 
     return work
@@ -350,6 +374,9 @@ def score_documents(docs: DataFrame, chunk_rows: int = CHUNK, bucket_bytes: int
     bytes before it. A node mixes its Krichevsky-Trofimov estimate with its children's, half and half, so
     the bit's chance is an average over all depths with the weights the training texts give them.
 
+    bits_per_byte is the code length of the text and its end, -log2 of that probability, for each byte of the
+    text (of an empty text: for its end alone).
+
     Also gives the base: the sum over tokens of log10((c + 0.1) / (N + 0.1 * (V + 1))), tokens being
     lower-cased words and one end. Words are counted by 64-bit hash.
 
@@ -357,22 +384,23 @@ def score_documents(docs: DataFrame, chunk_rows: int = CHUNK, bucket_bytes: int
     empty text, 0, and is held out. With no training document c, N and V are 0 and log10 of N + 0.1 * (V + 1) is
     taken as 0. Repeated rows count as often as they occur; an empty table gives an empty result.
     """
-    pieces = chunked(docs, chunk_rows)
-    bits = power_of_two(text_bytes(docs) / bucket_bytes).bit_length() - 1
+    chunks = Chunks(docs, chunk_rows)
+    pieces = chunks.rows
+    bits = power_of_two(chunks.size / bucket_bytes).bit_length() - 1
     asked = pieces.mapInArrow(_ask(bits), "kind int, bucket int, chunk long, first_row long, n_rows int, keys binary, counts binary")
-    gathered = materialize(asked.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED), "gathered")
-    totals = gathered.where("kind = 'vocabulary'").agg(F.sum("total"), F.sum("distinct_n")).first()
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(-(-chunks.count // ASKERS) or 1)).cast("int"))
+    gathered = materialize(asked.groupBy("kind", "bucket", "part").applyInArrow(_gather, _GATHERED), "gathered")
+    parts = gathered.where("what = 'part'").select("kind", "bucket", "part", "keys", "vals")
+    totals = materialize(parts.groupBy("kind", "bucket").applyInArrow(_total, _TOTALS), "totals")
+    words = totals.where("kind = 0 and what = 'total'").agg(F.sum("total"), F.sum("distinct_n")).first()
     train_docs = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0).count()
-    train_tokens, vocabulary = (totals[0] or 0) + train_docs, (totals[1] or 0) + (train_docs > 0)
-    tops = _top_levels(gathered)
-    total = gathered.where("kind = 'total'").select("bucket", "keys", "vals")
-    place = gathered.where("kind = 'place'").select(*[F.col(c).alias(c) for c in ("bucket", "chunk", "first_row", "n_rows", "vals")])
-    grams_of = total.groupBy("bucket").cogroup(place.groupBy("bucket"))
-    weighed = grams_of.applyInArrow(_weigh(tops), "chunk long, first_row long, n_rows int, bucket int, vals binary")
-    words = gathered.where("kind = 'words'").select("chunk", "first_row", "n_rows", "bucket", "vals", F.lit(0).alias("kind"))
-    answers = words.unionByName(weighed.withColumn("kind", F.lit(1)))
-    scored = pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(train_tokens, train_docs, vocabulary), _SCORED)
-    return scored
+    train_tokens, vocabulary = (words[0] or 0) + train_docs, (words[1] or 0) + (train_docs > 0)
+    valued = totals.where("what = 'total'").select("kind", "bucket", "keys", "vals").mapInArrow(_value(_top_levels(totals)), "kind int, bucket int, known binary, answers binary")
+    values = parts.drop("vals").join(valued, ["kind", "bucket"])
+    places = gathered.where("what = 'place'").select(*[F.col(c).alias(c) for c in ("kind", "bucket", "part", "chunk", "first_row", "n_rows", "vals")])
+    key = ["kind", "bucket", "part"]
+    answers = places.groupBy(*key).cogroup(values.groupBy(*key)).applyInArrow(_answer, "chunk long, first_row long, n_rows int, kind int, bucket int, vals binary")
+    return pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(train_tokens, train_docs, vocabulary), _SCORED)
 
 
 def op4_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunked, materialize, power_of_two, read_table, text_bytes
+from tidemark.llm.common import Chunks, materialize, power_of_two, read_table
 from tidemark.llm.exchange import by_bucket, groups_of, join_binary
 from tidemark.llm.graph import connected_components
 from tidemark.llm.textarrays import column, hash_words, mix, runs, windows
@@ -304,8 +304,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, buck
     not read. Also returned: chunk, row (the document's address) and label, which is the component's
     own whatever its doc_ids (null: no words).
     """
-    pieces = chunked(docs)
-    bits = power_of_two(text_bytes(docs) / bucket_bytes).bit_length() - 1
+    chunks = Chunks(docs)
+    pieces, bits = chunks.rows, power_of_two(chunks.size / bucket_bytes).bit_length() - 1
     asked = pieces.mapInArrow(_ask(bits), "chunk long, first_row long, n_rows int, bucket int, keys binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(hot), "chunk long, first_row long, n_rows int, bucket int, kinds binary"), "answers")
     sets = materialize(pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_describe(percent), _SETS), "sets")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunked, materialize, read_table
+from tidemark.llm.common import Chunks, materialize, read_table
 from tidemark.llm.tokens import default_path
 
 #: Bytes from which a document is cut into chunks, a chunk's characters, and the chunks whose matrices are combined in one task.
@@ -353,7 +353,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
     null; an empty table gives an empty result. Other columns are not read.
     """
     model = model or default_path("piece_bpe_32k.model")
-    rows = chunked(docs)
+    rows = Chunks(docs).rows
     body = F.coalesce("text", F.lit(b""))
     names = ["chunk", "row", "doc_id", "text", "ids", "n_chunks", *(["decoded"] if decode else [])]
     more = ", decoded binary" if decode else ""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunked, materialize, power_of_two, read_table, text_bytes
+from tidemark.llm.common import Chunks, materialize, power_of_two, read_table
 from tidemark.llm.exchange import by_bucket, groups_of, join_binary, unpack
 from tidemark.llm.textarrays import column, hash_words, runs, windows
 
@@ -208,8 +208,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     their address. An empty table gives an empty result; other columns are not read.
     """
     block = window // 2
-    pieces = chunked(docs)
-    bits = power_of_two(text_bytes(docs) / bucket_bytes).bit_length() - 1
+    chunks = Chunks(docs)
+    pieces, bits = chunks.rows, power_of_two(chunks.size / bucket_bytes).bit_length() - 1
     probes = pieces.mapInArrow(_probe(block, bits), "chunk long, first_row long, n_rows int, bucket int, keys binary, flags binary")
     hits = materialize(probes.groupBy("bucket").applyInArrow(_hits, "chunk long, first_row long, n_rows int, bucket int, mask binary, n int"), "hits")
     extended = materialize(pieces.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend(window, block, bits), _EXTENDED), "extended")

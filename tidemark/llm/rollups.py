@@ -178,7 +178,7 @@ def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = rows.select("row_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), F.col("byte_bpe_50k").alias("tokens"))
     lowest = rows.groupBy("text_md5").agg(F.min(F.struct(F.col("doc_id"), F.col("row_id"))).alias("kept")).select("text_md5", F.col("kept.row_id").alias("kept_row"))
     left = rows.join(lowest, rows["row_id"] == lowest["kept_row"], "left_semi").select("row_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), F.col("byte_bpe_50k").alias("tokens"))
-    rollup = Rollup(spark, f"{shared_dir(spark)}/tidemark/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", changes_between(None, first))
     rollup.commit("recount", changes_between(first, second))
     rollup.commit("recount", changes_between(first, second))

@@ -64,10 +64,10 @@ _BYTES, _WORDS = _Powers(_R), _Powers(_Q)
 
 
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column without copying; nulls are empty."""
+    """(bytes, offsets) of a binary column, without copying one that is whole; nulls are empty."""
     n = len(array)
     if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
+        array = (array.cast(pa.large_binary()) if array.num_chunks > 1 else array).combine_chunks()  # 2 GB together don't fit in one small column
         array = array.chunk(0) if isinstance(array, pa.ChunkedArray) and array.num_chunks else array
     large = pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type)
     if n == 0 or array.buffers()[1] is None:
