@@ -290,6 +290,84 @@ def test_quality_of_awkward_documents(spark, awkward, nothing):
     assert all(r.keep and r.score == 1 for r in unlabelled)
 
 
+def newton_logistic(x, y, w, reg):
+    """Weights and bias of a logistic fit with a ridge on scaled columns."""
+    total = w.sum()
+    mean = (w[:, None] * x).sum(0) / total
+    sd = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / (total - (w**2).sum() / total))
+    live = sd > 0
+    z = np.column_stack((x[:, live] / sd[live], np.ones(len(x))))
+    beta, ridge = np.zeros(z.shape[1]), np.append(np.full(live.sum(), reg), 0)
+    loss = lambda b: (w * np.logaddexp(0, -(2 * y - 1) * (z @ b))).sum() / total + (ridge * b * b).sum() / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ beta))
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z / total + np.diag(ridge + 1e-12), z.T @ (w * (y - p)) / total - ridge * beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    weights = np.zeros(x.shape[1])
+    weights[live] = beta[:-1] / sd[live]
+    return weights, beta[-1]
+
+
+def test_cotraining_against_a_twin_in_numpy(spark, monkeypatch):
+    """The same rounds worked out on arrays; both views teach, and together they do no worse than either alone."""
+    monkeypatch.setattr(quality, "STEPS", 400)
+    monkeypatch.setattr(quality, "TOLERANCE", 1e-10)
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
+    model = quality.train(docs, labels.where(~unseen))
+    got = {r.doc_id: r for r in quality.scored_by(docs, model).select("doc_id", "text_score", "meta_score", "score").collect()}
+    assert {t[1] for t in model.taught} == {"text", "meta"} and {t[2] for t in model.taught if t[1] == "text"} == {0, 1}
+
+    given = {r.doc_id: r.quality for r in labels.where(~unseen).collect()}
+    f = quality.featured(docs).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).toPandas()
+    x = [quality._matrix(v, *(f[c] for c in quality._COLUMNS[v])) for v in quality.VIEWS]
+    y = np.array([given.get(i, -1) for i in f["doc_id"]], float)
+    held, learnt, pool = f["held"].to_numpy() & (y >= 0), ~f["held"].to_numpy() & (y >= 0), y < 0
+    reg, views, taught = max(1e-4, 0.5 / (y >= 0).sum()), [], []
+    for k in range(quality.ROUNDS):
+        new, lessons = [], [[], []]
+        for t in range(2) if views else ():
+            said = views[t].logit(x[t])
+            ranked = np.sort(said[pool])
+            lo, hi = ranked[int(np.ceil(quality.CONFIDENT * len(ranked))) - 1], ranked[int(np.ceil((1 - quality.CONFIDENT) * len(ranked))) - 1]
+            for c, pick in ((1, said >= hi), (0, said <= lo)):
+                right = (y == c)[pick & held]
+                together = quality.PSEUDO_WEIGHT * (y[learnt] == c).sum() * max(0.0, 2 * (right.sum() + 1) / (len(right) + 2) - 1)
+                if lo < hi and together:
+                    rows = np.flatnonzero(pick & pool)
+                    lessons[1 - t].append((rows, c, together / len(rows)))
+                    taught.append((k, quality.VIEWS[t], c, len(rows), together))
+        for t in range(2):
+            rows = np.concatenate((np.flatnonzero(learnt), *(r for r, _, _ in lessons[t])))
+            ys = np.concatenate((y[learnt], *(np.full(len(r), c) for r, c, _ in lessons[t])))
+            w = np.concatenate((np.ones(learnt.sum()), *(np.full(len(r), v) for r, _, v in lessons[t])))
+            view = quality.View(*newton_logistic(x[t][rows], ys, w, reg))
+            view.a, view.b = quality._calibrate((x[t][held] @ view.weights + view.bias)[:, None], y[held])
+            new.append(view)
+        views = new
+    logits = np.column_stack([v.logit(m) for v, m in zip(views, x)])
+    mix = quality._calibrate(logits[held], y[held])
+    want = quality._sigmoid(logits @ mix[:2] + mix[2])
+    assert [t[:3] for t in taught] == [t[:3] for t in model.taught]
+    assert np.abs(want - np.array([got[i].score for i in f["doc_id"]])).max() < 0.02
+
+    test = [(r.quality, got[r.doc_id]) for r in labels.where(unseen).collect()]
+    right = lambda c: sum((getattr(g, c) >= 0.5) == (q == 1) for q, g in test) / len(test)
+    assert right("score") >= max(right("text_score"), right("meta_score")) - 0.01 and right("score") > 0.95
+
+
+def test_columns_named_like_the_classifiers_own_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9, "mine", "too")], "doc_id long, text string, lang string, source string, n_chars long, _quality string, _quality_ string")
+    r = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert (r["_quality"], r["_quality_"], r.score, r.keep) == ("mine", "too", 1.0, True)
+
+
 # pipeline
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +18,14 @@ from tidemark.llm.textarrays import column, hash_words, windows
 #: Labelled rows used for fitting and calibration, at most (the smallest by hash of doc_id).
 LABELLED_ROWS = 40_000
 ROUNDS = 3
-#: A calibrated chance this near to 0 or 1 makes a pseudo-label, which weighs less than a label.
-CONFIDENT, PSEUDO_WEIGHT = 0.97, 0.2
+#: Share of the unlabelled documents that each view is surest of, on either side, and so gives to the other view.
+CONFIDENT = 0.02
+#: What a class's pseudo-labels weigh together, at most, as a share of its labels.
+PSEUDO_WEIGHT = 0.2
+#: Steps of one fit, at most, and its tolerance.
+STEPS, TOLERANCE = 50, 1e-6
+#: Slots for hashed words of the text.
+WORDS = 256
 #: Slots for hashed source and language names.
 SLOTS = 48
 THRESHOLD = 0.5
@@ -34,14 +40,15 @@ _CLASSES = {
 TEXT_FEATURES = [*_CLASSES, "log_words", "word_length", "distinct", "repeated", "cycle", "symbol_words", "bang_words", "pipe_words", "empty"]
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of TEXT_FEATURES for each whole text; about PIECE bytes are looked at together."""
+def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of TEXT_FEATURES for each whole text, and one with the root of each word slot's share in 255ths; about PIECE bytes are looked at together."""
     edges = np.unique(np.concatenate(([0], np.searchsorted(offsets, np.arange(PIECE, len(data), PIECE)), [len(offsets) - 1])))
     parts = [_features(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]) for a, b in zip(edges, edges[1:])]
-    return np.concatenate([np.zeros((0, len(TEXT_FEATURES))), *parts])
+    dense, words = zip((np.zeros((0, len(TEXT_FEATURES))), np.zeros((0, WORDS), np.uint8)), *parts)
+    return np.concatenate(dense), np.concatenate(words)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(offsets) - 1, len(TEXT_FEATURES)))
     size = np.maximum(np.diff(offsets), 1)
     for k, values in enumerate(_CLASSES.values()):
@@ -71,7 +78,9 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         else:
             out[i, k + 2] = 1
     out[:, k + 8] = counts == 0
-    return out
+    slot = np.repeat(np.arange(len(counts)), counts) * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64)
+    share = np.bincount(slot, minlength=len(counts) * WORDS).reshape(len(counts), WORDS) / words[:, None]
+    return out, np.rint(255 * np.sqrt(share)).astype(np.uint8)
 
 
 def meta_features() -> Column:
@@ -98,11 +107,15 @@ class View:
 
 @dataclass
 class Model:
-    """Both views and how their calibrated logits combine; views is empty where there was nothing to learn."""
+    """Both views and how their calibrated logits combine; views is empty where there was nothing to learn.
+
+    taught: (round, teacher, class, documents, weight together) of each set of pseudo-labels that was given.
+    """
 
     views: list[View]
     mix: np.ndarray
     prior: float
+    taught: list[tuple[int, str, int, int, float]] = field(default_factory=list)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,23 +142,60 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+VIEWS = ("text", "meta")
+
+
+def _matrix(view: str, *columns: pd.Series) -> np.ndarray:
+    """A view's features from its stored columns."""
+    if not len(columns[0]):
+        return np.zeros((0, len(TEXT_FEATURES) + WORDS if view == "text" else SLOTS + 2))
+    dense = np.stack(columns[0].to_numpy()).astype(float)
+    return dense if view == "meta" else np.hstack((dense, np.frombuffer(b"".join(columns[1]), np.uint8).reshape(len(dense), WORDS) / 255.0))
+
+
+_COLUMNS = {"text": ["text_x", "word_x"], "meta": ["meta_x"]}
+
+
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and both views' features of every document."""
+    """doc_id and both views' features of every document, 400 bytes or so each."""
+
+    @F.pandas_udf("text_x array<float>, word_x binary")
+    def content(texts: pd.Series) -> pd.DataFrame:
+        dense, words = text_features(*column(pa.array(texts, pa.large_binary())))
+        return pd.DataFrame({"text_x": list(dense.astype(np.float32)), "word_x": [w.tobytes() for w in words]})
+
+    return docs.select("doc_id", content(F.col("text").cast("binary")).alias("c"), meta_features().cast("array<float>").alias("meta_x")).select("doc_id", "c.*", "meta_x")
+
+
+def _vector(view: str) -> Column:
+    if view == "meta":
+        return array_to_vector(F.col("meta_x").cast("array<double>"))
 
     @F.pandas_udf("array<double>")
-    def content(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(text_features(*column(pa.array(texts, pa.large_binary())))))
+    def joined(dense: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix("text", dense, words)))
+
+    return array_to_vector(joined("text_x", "word_x"))
 
-    return docs.select("doc_id", content(F.col("text").cast("binary")).alias("text_x"), meta_features().alias("meta_x"))
+
+def _logits(views: list[View]) -> Column:
+    @F.pandas_udf("text double, meta double")
+    def work(text_x: pd.Series, word_x: pd.Series, meta_x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": views[0].logit(_matrix("text", text_x, word_x)), "meta": views[1].logit(_matrix("meta", meta_x))})
+
+    return work("text_x", "word_x", "meta_x")
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_rows: int = LABELLED_ROWS) -> Model:
-    """Co-train on labelled rows and on all documents' confident pseudo-labels.
+    """Co-train on labelled rows and on the pseudo-labels that each view gives the other from all unlabelled documents.
 
     Labels: (doc_id, quality 0/1); null labels and labels without a document are left out, a doc_id
     labelled twice counts by its smallest label. One labelled row in four (by hash) only calibrates.
-    In each round both views are fitted on the labels and on the other view's confident pseudo-labels
-    of all unlabelled documents. A view without information never becomes confident, so it gives none.
+    The first round fits both views on the labels. In each further one a view gives the other the CONFIDENT
+    share of the unlabelled documents with its highest chances as good and that with its lowest ones as
+    bad. How right such choices are is measured on the calibrating rows: they weigh 2 * precision - 1 (with
+    one right and one wrong row added), so a view that chooses at random, or on no evidence, teaches
+    nothing. Ends early where the choices don't change any more.
     """
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     table = materialize(featured(docs).join(given, "doc_id", "left"), "features")  # features meet labels once, not in every fit
@@ -153,32 +203,50 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     known = materialize(known.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "labelled")
     sums = known.agg(F.count("*"), F.sum("y"), F.sum(F.when(F.col("test"), F.col("y"))), F.sum(F.col("test").cast("int"))).first()
     prior = (sums[1] or 0) / sums[0] if sums[0] else 1.0
-    if not sums[0] or not 0 < (sums[2] or 0) < (sums[3] or 0):
+    if not sums[0] or not 0 < (sums[2] or 0) < (sums[3] or 0) or not 0 < sums[1] - sums[2] < sums[0] - sums[3]:
         return Model([], np.zeros(3), prior)
-    held = known.where("test").select("text_x", "meta_x", "y").toPandas()  # bounded by labelled_rows
-    xs = [np.stack(held[c].to_numpy()) for c in ("text_x", "meta_x")]
+    held = known.where("test").select("text_x", "word_x", "meta_x", "y").toPandas()  # bounded by labelled_rows
+    xs = [_matrix(v, *(held[c] for c in _COLUMNS[v])) for v in VIEWS]
     y = held["y"].to_numpy()
-    fit = known.where("not test").select("text_x", "meta_x", "y", F.lit(1.0).alias("w"))
-    pool = table.where("y is null").select("text_x", "meta_x")
+    fit = known.where("not test").select("text_x", "word_x", "meta_x", "y", F.lit(1.0).alias("w"))
+    labelled = {1: sums[1] - sums[2], 0: sums[0] - sums[3] - (sums[1] - sums[2])}
+    pool = table.where("y is null").select("text_x", "word_x", "meta_x")
+    learner = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=STEPS, tol=TOLERANCE, regParam=max(1e-4, 0.5 / sums[0]))
     views: list[View] = []
-    for _ in range(rounds):
+    taught, before = [], None
+    for k in range(rounds):
+        lessons: list[DataFrame | None] = [None, None]
+        if views:
+            guessed = pool.withColumn("l", _logits(views))
+            ends = guessed.agg(*[F.percentile_approx(f"l.{v}", F.array(F.lit(CONFIDENT), F.lit(1 - CONFIDENT)), F.lit(10_000)) for v in VIEWS]).first()
+            chosen = {(v, c): (F.col(f"l.{v}") >= e[1] if c else F.col(f"l.{v}") <= e[0]) for v, e in zip(VIEWS, ends) if e and e[0] < e[1] for c in (1, 0)}
+            numbers = guessed.agg(*[F.count_if(c) for c in chosen.values()]).first() if chosen else []
+            if before == (ends, numbers):
+                break
+            before = (ends, numbers)
+            for t, v in enumerate(VIEWS):
+                said, weight = views[t].logit(xs[t]), {}
+                for (name, c), n in zip(chosen, numbers):
+                    if name == v:
+                        right = (y == c)[said >= ends[t][1] if c else said <= ends[t][0]]
+                        together = PSEUDO_WEIGHT * labelled[c] * max(0.0, 2 * (right.sum() + 1) / (len(right) + 2) - 1)
+                        if n and together:
+                            weight[c] = together / n
+                            taught.append((k, v, c, int(n), together))
+                if weight:
+                    guess = F.coalesce(*[F.when(chosen[v, c], float(c)) for c in weight])
+                    rows = guessed.withColumn("y", guess).where("y is not null")
+                    lessons[1 - t] = rows.withColumn("w", F.coalesce(*[F.when(F.col("y") == c, F.lit(w)) for c, w in weight.items()])).drop("l")
         new = []
-        for k, name in enumerate(("text_x", "meta_x")):
-            rows = fit
-            if views:
-                other = views[1 - k]
-                margin = F.aggregate(F.zip_with(("text_x", "meta_x")[1 - k], F.array(*map(F.lit, other.weights.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-                chance = 1 / (1 + F.exp(-(F.lit(other.a) * (margin + F.lit(other.bias)) + F.lit(other.b))))
-                guess = F.when(chance >= CONFIDENT, 1.0).when(chance <= 1 - CONFIDENT, 0.0)
-                rows = fit.unionByName(pool.withColumn("y", guess).where("y is not null").withColumn("w", F.lit(PSEUDO_WEIGHT)))
-            learner = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=25, regParam=max(1e-4, 0.5 / sums[0]))
-            m = learner.fit(rows.select(array_to_vector(name).alias("x"), "y", "w"))
+        for t, v in enumerate(VIEWS):
+            rows = fit.unionByName(lessons[t]) if lessons[t] is not None else fit
+            m = learner.fit(rows.select(_vector(v).alias("x"), "y", "w"))
             view = View(np.asarray(m.coefficients), float(m.intercept))
-            view.a, view.b = _calibrate((xs[k] @ view.weights + view.bias)[:, None], y).tolist()
+            view.a, view.b = _calibrate((xs[t] @ view.weights + view.bias)[:, None], y).tolist()
             new.append(view)
         views = new
     logits = np.column_stack([v.logit(x) for v, x in zip(views, xs)])
-    return Model(views, _calibrate(logits, y), prior)
+    return Model(views, _calibrate(logits, y), prior, taught)
 
 
 _SCORES = "text_score double, meta_score double, score double, keep boolean"
@@ -192,12 +260,14 @@ def score(model: Model, threshold: float = THRESHOLD) -> Column:
         if not model.views:
             p = np.full(len(texts), model.prior)
             return pd.DataFrame({"text_score": p, "meta_score": p, "score": p, "keep": np.ones(len(p), bool)})
-        x = text_features(*column(pa.array(texts, pa.large_binary())))
-        a, b = model.views[0].logit(x), model.views[1].logit(np.stack(metas.to_numpy()) if len(metas) else np.zeros((0, SLOTS + 2)))
+        dense, words = text_features(*column(pa.array(texts, pa.large_binary())))
+        # features as they are stored, so that equal rows get equal scores wherever they are worked out
+        a = model.views[0].logit(np.hstack((dense.astype(np.float32).astype(float), words / 255.0)))
+        b = model.views[1].logit(_matrix("meta", metas))
         both = _sigmoid(a * model.mix[0] + b * model.mix[1] + model.mix[2])
         return pd.DataFrame({"text_score": _sigmoid(a), "meta_score": _sigmoid(b), "score": both, "keep": both >= threshold})
 
-    return work(F.col("text").cast("binary"), meta_features())
+    return work(F.col("text").cast("binary"), meta_features().cast("array<float>"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,10 +278,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (1 without any). Repeated rows get equal scores; an empty table gives an empty result. Columns of the
     input that are named like a score are replaced.
     """
-    model = train(docs, labels)
-    scored = docs.withColumn("_quality", score(model))
+    return scored_by(docs, train(docs, labels))
+
+
+def scored_by(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the model's scores, as classify gives them."""
+    aside = "_quality"
+    while aside in {c.lower() for c in docs.columns}:
+        aside += "_"
     names = [x.split()[0] for x in _SCORES.split(", ")]
-    return scored.withColumns({c: F.col("_quality")[c] for c in names}).drop("_quality")
+    return docs.withColumn(aside, score(model)).withColumns({c: F.col(aside)[c] for c in names}).drop(aside)
 
 
 def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
