@@ -19,7 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    A null or empty text, lang, source or n_chars is judged like any other value; repeated rows share one
+    verdict; without labels of both classes every document stays; no documents give none.
+    """
     return classify(docs, read_table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
@@ -43,7 +47,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that repeat earlier text are cut out; documents left without words go.
 
     Texts that lose nothing stay as they are; n_chars follows the text. Rows are told apart by their
-    address, so null and repeated doc_ids don't mix.
+    address, so null and repeated doc_ids don't mix. Of equal windows the one with the smallest (doc_id, start)
+    stays, a null doc_id being smallest and equal ones in the order of their rows. Null and empty texts
+    stay as they are; no documents give none.
     """
     docs = scanned(docs, COLUMNS)
     changed = remove_repeats(docs).where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("kept_text").alias("_kept"))
@@ -54,7 +60,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences of 2048 tokens."""
+    """Pieces of documents, placed in sequences of 2048 tokens.
+
+    A null or empty text is one piece with the end id; repeated rows are packed as often as they occur, a
+    null doc_id stays null; no documents give no pieces.
+    """
     return pack_documents(docs.select("doc_id", "text"))
 
 

@@ -283,7 +283,13 @@ def test_repeats(awkward):
     got = repeats.remove_repeats(awkward).collect()
     want = brute_repeats(rows, lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
     assert tally((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == tally(want)
+    words = defaultdict(set)
+    for i, t in rows:
+        words[i, len(WORD.findall((t or "").encode()))].add(tuple(WORD.findall((t or "").encode())))
     for r in got:
+        assert sum(x.end - x.start for x in r.repeats) == r.n_removed and all(x.end - x.start >= 20 for x in r.repeats)
+        left = [[w for k, w in enumerate(t) if not any(x.start <= k < x.end for x in r.repeats)] for t in words[r.doc_id, r.n_words]]
+        assert r.kept_sha256 in {hashlib.sha256(b" ".join(t)).hexdigest() for t in left}
         if r.kept_text is not None:
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and r.n_removed > 0
 

@@ -51,7 +51,7 @@ def address(rows: int = CHUNK_ROWS, prefix: str = "") -> list[Column]:
 
 
 def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of docs as a plain scan, so that each row has an address of its own and chunked() gives the same one.
+    """The columns of docs as a plain scan, so that each row has an address of its own and Chunks gives the same one.
 
     Frames that are no plain scan (also joins and generators, which repeat addresses) are written to the shared folder.
     """

@@ -135,6 +135,8 @@ def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int = PERCENT) ->
       a shingle no other set has: the segment differs for certain and costs no key,
        0 (exact content) for the others, one key,
       +1 (content and all one-deletion variants that keep a cold shingle), only if those don't suffice.
+    Variants cost a key for each shingle, so they are given in as few segments as reach the sum, always the first
+    ones: of two linked sets one needs no more of them than the other, and where it has variants the other has them too.
     """
     size, out, rest = len(tokens), [], False
     k, lower = bands(size, percent)
@@ -156,12 +158,13 @@ def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int = PERCENT) ->
         exact = (n_alone == 0) & (n_cold > 0)
         out.append(mix(sums[exact] + salt[exact]))
         weight = int(n_alone.sum() + exact.sum())
-        if weight < needed:  # allow one difference where that costs keys but no long list
+        if weight < needed:  # allow one difference in as many of the first segments as it takes
             twice, single = exact & (n_cold > 1), (n_alone == 1) & (n_cold > 0)
-            weight += int(twice.sum() + single.sum())
-            drop = twice[segment] | (single[segment] & alone)
+            gained = np.cumsum(twice | single)
+            upto = int(np.searchsorted(gained, needed - weight)) + 1
+            drop = (twice[segment] | (single[segment] & alone)) & (segment < upto)
             out.append(mix(sums[segment[drop]] - content[drop] + salt[segment[drop]]))
-            rest |= weight < needed
+            rest |= weight + int(gained[-1]) < needed
     return np.unique(np.concatenate(out)) if out else np.zeros(0, _U), rest
 
 

@@ -19,6 +19,7 @@ WINDOW = 20
 #: Bytes of text meant for one bucket of anchors, and for one of windows.
 BUCKET_BYTES = 1 << 24
 _NULL_ID = -(1 << 63)
+_SPANS = "array<struct<start: long, end: long>>"
 
 
 def _anchors(hashes: np.ndarray, counts: np.ndarray, block: int, bits: int):
@@ -179,14 +180,17 @@ def _remove(window: int):
         np.add.at(edge, at[late] + window, -1)
         keep = np.cumsum(edge)[:-1] == 0
         raw, first = data.tobytes(), np.cumsum(counts) - counts
-        texts, removed = [], []
+        texts, removed, spans = [], [], []
         for k, n in enumerate(counts):
             mine = keep[first[k] : first[k] + n]
             removed.append(int(n - mine.sum()))
+            ends = np.flatnonzero(np.diff(np.concatenate(([True], mine, [True])))).reshape(-1, 2)  # where kept words end and begin again
+            spans.append([{"start": int(i), "end": int(j)} for i, j in ends])
             texts.append(b" ".join(compress(raw[offsets[k] : offsets[k + 1]].split(), mine.tolist())))
         return pa.table({
             "chunk": docs.column("chunk"), "row": docs.column("row"), "doc_id": docs.column("doc_id"), "n_words": docs.column("n_words"), "n_removed": pa.array(removed, pa.int64()),
             "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "kept_text": pa.array([t if n else None for t, n in zip(texts, removed)], pa.binary()).cast(pa.string()),
+            "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
     return work
@@ -203,7 +207,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     No pair of documents is ever formed, so a passage that many share costs one key for each chunk.
 
     Returns chunk, row (the document's address), doc_id, n_words, n_removed, kept_sha256, and kept_text
-    where words were removed (null: the text stays as it is). Null and empty texts have no words. A null
+    where words were removed (null: the text stays as it is), and repeats: the maximal runs of words that
+    windows with an earlier start cover, as word numbers [start, end). Null and empty texts have no words. A null
     doc_id sorts before all others; rows that repeat a doc_id count as later occurrences in the order of
     their address. An empty table gives an empty result; other columns are not read.
     """
@@ -217,9 +222,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     judged = materialize(sent.groupBy("bucket").applyInArrow(_judge, "chunk long, first_row long, bucket int, mask binary, n int"), "judged")
     documents = extended.where("kind = 'document'")
     touched = documents.where("text is not null").select("chunk", "first_row", "row", "doc_id", "n_words", "text", "candidates")
-    schema = "chunk long, row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = "chunk long, row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, repeats " + _SPANS
     removed = touched.groupBy("chunk", "first_row").cogroup(judged.groupBy("chunk", "first_row")).applyInArrow(_remove(window), schema)
-    whole = documents.where("text is null").select("chunk", "row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
+    whole = documents.where("text is null").select("chunk", "row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"), F.array().cast(_SPANS).alias("repeats"))
     return whole.unionByName(removed)
 
 
