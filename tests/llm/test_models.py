@@ -326,7 +326,7 @@ def test_cotraining_against_a_twin_in_numpy(spark, monkeypatch):
 
     given = {r.doc_id: r.quality for r in labels.where(~unseen).collect()}
     f = quality.featured(docs).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).toPandas()
-    x = [quality._matrix(v, *(f[c] for c in quality._COLUMNS[v])) for v in quality.VIEWS]
+    x = [quality._matrix(f[f"{v}_x"]) for v in quality.VIEWS]
     y = np.array([given.get(i, -1) for i in f["doc_id"]], float)
     held, learnt, pool = f["held"].to_numpy() & (y >= 0), ~f["held"].to_numpy() & (y >= 0), y < 0
     reg, views, taught = max(1e-4, 0.5 / (y >= 0).sum()), [], []

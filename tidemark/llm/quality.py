@@ -24,6 +24,8 @@ CONFIDENT = 0.02
 PSEUDO_WEIGHT = 0.2
 #: Steps of one fit, at most, and its tolerance.
 STEPS, TOLERANCE = 50, 1e-6
+#: Rows scored together.
+ROWS = 1000
 #: Slots for hashed words of the text.
 WORDS = 256
 #: Slots for hashed source and language names.
@@ -40,15 +42,14 @@ _CLASSES = {
 TEXT_FEATURES = [*_CLASSES, "log_words", "word_length", "distinct", "repeated", "cycle", "symbol_words", "bang_words", "pipe_words", "empty"]
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of TEXT_FEATURES for each whole text, and one with the root of each word slot's share in 255ths; about PIECE bytes are looked at together."""
+def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each whole text TEXT_FEATURES and the root of each word slot's share in 255ths; about PIECE bytes are looked at together."""
     edges = np.unique(np.concatenate(([0], np.searchsorted(offsets, np.arange(PIECE, len(data), PIECE)), [len(offsets) - 1])))
     parts = [_features(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]) for a, b in zip(edges, edges[1:])]
-    dense, words = zip((np.zeros((0, len(TEXT_FEATURES))), np.zeros((0, WORDS), np.uint8)), *parts)
-    return np.concatenate(dense), np.concatenate(words)
+    return np.concatenate([np.zeros((0, len(TEXT_FEATURES) + WORDS), np.float32), *parts])
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, len(TEXT_FEATURES)))
     size = np.maximum(np.diff(offsets), 1)
     for k, values in enumerate(_CLASSES.values()):
@@ -80,7 +81,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     out[:, k + 8] = counts == 0
     slot = np.repeat(np.arange(len(counts)), counts) * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64)
     share = np.bincount(slot, minlength=len(counts) * WORDS).reshape(len(counts), WORDS) / words[:, None]
-    return out, np.rint(255 * np.sqrt(share)).astype(np.uint8)
+    return np.hstack((out, np.rint(255 * np.sqrt(share)) / 255)).astype(np.float32)
 
 
 def meta_features() -> Column:
@@ -145,45 +146,28 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 VIEWS = ("text", "meta")
 
 
-def _matrix(view: str, *columns: pd.Series) -> np.ndarray:
-    """A view's features from its stored columns."""
-    if not len(columns[0]):
-        return np.zeros((0, len(TEXT_FEATURES) + WORDS if view == "text" else SLOTS + 2))
-    dense = np.stack(columns[0].to_numpy()).astype(float)
-    return dense if view == "meta" else np.hstack((dense, np.frombuffer(b"".join(columns[1]), np.uint8).reshape(len(dense), WORDS) / 255.0))
-
-
-_COLUMNS = {"text": ["text_x", "word_x"], "meta": ["meta_x"]}
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and both views' features of every document, 400 bytes or so each."""
-
-    @F.pandas_udf("text_x array<float>, word_x binary")
-    def content(texts: pd.Series) -> pd.DataFrame:
-        dense, words = text_features(*column(pa.array(texts, pa.large_binary())))
-        return pd.DataFrame({"text_x": list(dense.astype(np.float32)), "word_x": [w.tobytes() for w in words]})
-
-    return docs.select("doc_id", content(F.col("text").cast("binary")).alias("c"), meta_features().cast("array<float>").alias("meta_x")).select("doc_id", "c.*", "meta_x")
+    """doc_id and both views' features (text_x, meta_x) of every document."""
 
+    @F.pandas_udf("array<float>")
+    def content(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(text_features(*column(pa.array(texts, pa.large_binary())))))
 
-def _vector(view: str) -> Column:
-    if view == "meta":
-        return array_to_vector(F.col("meta_x").cast("array<double>"))
-
-    @F.pandas_udf("array<double>")
-    def joined(dense: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix("text", dense, words)))
-
-    return array_to_vector(joined("text_x", "word_x"))
+    return docs.select("doc_id", content(F.col("text").cast("binary")).alias("text_x"), meta_features().cast("array<float>").alias("meta_x"))
 
 
 def _logits(views: list[View]) -> Column:
-    @F.pandas_udf("text double, meta double")
-    def work(text_x: pd.Series, word_x: pd.Series, meta_x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": views[0].logit(_matrix("text", text_x, word_x)), "meta": views[1].logit(_matrix("meta", meta_x))})
+    """A struct of both views' logits, worked out in Spark."""
+
+    def one(v: View, name: str) -> Column:
+        dot = F.aggregate(F.zip_with(f"{name}_x", F.array(*map(F.lit, v.weights.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(v.a) * (dot + F.lit(v.bias)) + F.lit(v.b))).alias(name)
 
-    return work("text_x", "word_x", "meta_x")
+    return F.struct(*[one(v, n) for v, n in zip(views, VIEWS)])
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_rows: int = LABELLED_ROWS) -> Model:
@@ -205,12 +189,12 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     prior = (sums[1] or 0) / sums[0] if sums[0] else 1.0
     if not sums[0] or not 0 < (sums[2] or 0) < (sums[3] or 0) or not 0 < sums[1] - sums[2] < sums[0] - sums[3]:
         return Model([], np.zeros(3), prior)
-    held = known.where("test").select("text_x", "word_x", "meta_x", "y").toPandas()  # bounded by labelled_rows
-    xs = [_matrix(v, *(held[c] for c in _COLUMNS[v])) for v in VIEWS]
+    held = known.where("test").select("text_x", "meta_x", "y").toPandas()  # bounded by labelled_rows
+    xs = [_matrix(held[f"{v}_x"]) for v in VIEWS]
     y = held["y"].to_numpy()
-    fit = known.where("not test").select("text_x", "word_x", "meta_x", "y", F.lit(1.0).alias("w"))
+    fit = known.where("not test").select("text_x", "meta_x", "y", F.lit(1.0).alias("w"))
     labelled = {1: sums[1] - sums[2], 0: sums[0] - sums[3] - (sums[1] - sums[2])}
-    pool = table.where("y is null").select("text_x", "word_x", "meta_x")
+    pool = table.where("y is null").select("text_x", "meta_x")
     learner = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=STEPS, tol=TOLERANCE, regParam=max(1e-4, 0.5 / sums[0]))
     views: list[View] = []
     taught, before = [], None
@@ -240,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
         new = []
         for t, v in enumerate(VIEWS):
             rows = fit.unionByName(lessons[t]) if lessons[t] is not None else fit
-            m = learner.fit(rows.select(_vector(v).alias("x"), "y", "w"))
+            m = learner.fit(rows.select(array_to_vector(F.col(f"{v}_x").cast("array<double>")).alias("x"), "y", "w"))
             view = View(np.asarray(m.coefficients), float(m.intercept))
             view.a, view.b = _calibrate((xs[t] @ view.weights + view.bias)[:, None], y).tolist()
             new.append(view)
@@ -260,10 +244,11 @@ def score(model: Model, threshold: float = THRESHOLD) -> Column:
         if not model.views:
             p = np.full(len(texts), model.prior)
             return pd.DataFrame({"text_score": p, "meta_score": p, "score": p, "keep": np.ones(len(p), bool)})
-        dense, words = text_features(*column(pa.array(texts, pa.large_binary())))
-        # features as they are stored, so that equal rows get equal scores wherever they are worked out
-        a = model.views[0].logit(np.hstack((dense.astype(np.float32).astype(float), words / 255.0)))
-        b = model.views[1].logit(_matrix("meta", metas))
+        a, b = np.zeros(len(texts)), np.zeros(len(texts))
+        for k in range(0, len(texts), ROWS):
+            some = slice(k, k + ROWS)
+            a[some] = model.views[0].logit(text_features(*column(pa.array(texts[some], pa.large_binary()))))
+            b[some] = model.views[1].logit(_matrix(metas[some]))
         both = _sigmoid(a * model.mix[0] + b * model.mix[1] + model.mix[2])
         return pd.DataFrame({"text_score": _sigmoid(a), "meta_score": _sigmoid(b), "score": both, "keep": both >= threshold})
 
