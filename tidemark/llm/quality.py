@@ -174,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     """Co-train on labelled rows and on the pseudo-labels that each view gives the other from all unlabelled documents.
 
     Labels: (doc_id, quality 0/1); null labels and labels without a document are left out, a doc_id
-    labelled twice counts by its smallest label. One labelled row in four (by hash) only calibrates.
+    labelled twice counts by its smallest label, and a document that has rows more than once by one of
+    them. Of more labels than labelled_rows those with the smallest hashes count; the other documents are
+    unlabelled ones here. One labelled row in four (by hash) only calibrates.
     The first round fits both views on the labels. In each further one a view gives the other the CONFIDENT
     share of the unlabelled documents with its highest chances as good and that with its lowest ones as
     bad. How right such choices are is measured on the calibrating rows: they weigh 2 * precision - 1 (with
@@ -182,8 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     nothing. Ends early where the choices don't change any more.
     """
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    table = materialize(featured(docs).join(given, "doc_id", "left"), "features")  # features meet labels once, not in every fit
-    known = table.where("y is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
+    given = given.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    n = given.count()
+    if n > labelled_rows:  # hashes are even, so this leaves little more than is wanted
+        given = given.where(F.col("h") < int(-(2**63) + 2**64 * min(0.999, 1.1 * labelled_rows / n)))
+    chosen = materialize(given.orderBy("h", "doc_id").limit(labelled_rows).select("doc_id", "y"), "chosen")  # labelled_rows at most
+    table = materialize(featured(docs).join(F.broadcast(chosen), "doc_id", "left"), "features")
+    known = table.where("y is not null").dropDuplicates(["doc_id"])
     known = materialize(known.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "labelled")
     sums = known.agg(F.count("*"), F.sum("y"), F.sum(F.when(F.col("test"), F.col("y"))), F.sum(F.col("test").cast("int"))).first()
     prior = (sums[1] or 0) / sums[0] if sums[0] else 1.0
