@@ -64,12 +64,18 @@ def test_models_and_boards(spark, tmp_path):
 
 
 def test_trials(spark, tmp_path):
-    for run in ("main1", "main_debug", "other"):
+    for run in ("models_main", "models_debug_main", "models_other"):
         f = tmp_path / "ds" / run / "forest"
         f.mkdir(parents=True)
-        (f / "result.json").write_text(json.dumps({"auc": 0.7, "done": True}))
-    out = tables.read_trials(spark, str(tmp_path), "main").collect()
-    assert sorted((r.run, r.model, r.debug) for r in out) == [("main1", "forest", False), ("main_debug", "forest", True)]
+        (f / "result.json").write_text("\n".join(json.dumps({"mean_val_auc": a, "done": b}) for a, b in ((0.7, True), (0.8, True), (0.9, False))))
+    trials = tables.read_trials(spark, str(tmp_path), "main")
+    assert sorted((r.run, r.model, r.debug, r.mean_val_auc) for r in trials.collect()) == [("models_debug_main", "forest", True, 0.7), ("models_debug_main", "forest", True, 0.8), ("models_main", "forest", False, 0.7), ("models_main", "forest", False, 0.8)]
+    assert sorted((r.dataset, r.run, r.mean_val_auc, r.debug) for r in tables.best_trials(trials).collect()) == [("ds", "models_debug_main", 0.8, True), ("ds", "models_main", 0.8, False)]
+
+
+def test_numerics_or_waves(spark):
+    s = spark.createDataFrame([("a", "numerics/hr", 1), ("a", "waves/hr", 2), ("b", "waves/hr", 3), ("b", "numerics/abp", 4), ("c", "hr", 5)], "subject_id string, variable string, seq int")
+    assert sorted((r.subject_id, r.variable, r.seq) for r in tables.best_form(s, "hr").collect()) == [("a", "hr", 1), ("b", "hr", 3), ("c", "hr", 5)]
 
 
 def test_describe_table(spark):

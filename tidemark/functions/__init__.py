@@ -55,3 +55,9 @@ def duration_seconds(text: str | Column) -> Column:
 def split_last(name: str | Column) -> tuple[Column, Column]:
     """The parts before and after the last underscore."""
     return F.regexp_extract(col(name), "^(.*)_([^_]+)$", 1), F.regexp_extract(col(name), "^(.*)_([^_]+)$", 2)
+
+
+def renamed(value: str | Column, names: dict[str, str]) -> Column:
+    """A value's name in a map; values without one stay."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), col(value)), col(value)) if pairs else col(value)

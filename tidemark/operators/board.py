@@ -53,9 +53,13 @@ def split_name(df: DataFrame, name: str) -> DataFrame:
 
 def param_grid(spark, grid: dict[str, list], seed: int = 42) -> DataFrame:
     """All combinations of settings, in a seeded order, with their text."""
-    names = list(grid)
-    arrays = [F.array(*[F.lit(str(v)) for v in grid[n]]).alias(n) for n in names]
-    out = spark.range(1).select(*arrays)
+    rows = [(n, str(v)) for n, values in grid.items() for v in values]
+    return grid_of(spark.createDataFrame(rows, "name string, value string"), list(grid), seed)
+
+
+def grid_of(values: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
+    """The same from (name, value) rows: each name's few values as one array, unfolded one after the other."""
+    out = values.agg(*[F.array_sort(F.collect_set(F.when(F.col("name") == n, F.col("value")))).alias(n) for n in names])
     for n in names:
         out = out.withColumn(n, F.explode(n))
     text = F.concat_ws(" ", *[F.concat(F.lit(f"--{n}="), F.col(n)) for n in names])

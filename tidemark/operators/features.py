@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import array_mean, array_std
+from tidemark.functions.ranged import exact_percentiles, joined
 
 
 def align_variables(vectors: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
@@ -29,17 +30,30 @@ def channels(x: str, n: int, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.slice(F.col(x), c * length + 1, F.lit(length)))
 
 
-def downsample(x: str, factor: int, how: str = "mean") -> Column:
+def downsample(x: str, factor: int | Column, how: str = "mean") -> Column:
     """Mean or median of each `factor` steps; a shorter rest goes."""
+    factor = F.lit(factor) if isinstance(factor, int) else factor
     at = F.sequence(F.lit(0), F.floor(F.size(x) / factor).cast("int") - 1)
-    part = lambda i: F.slice(F.col(x), i * factor + 1, F.lit(factor))
+    part = lambda i: F.slice(F.col(x), i * factor + 1, factor)
     if how == "mean":
         value = lambda i: array_mean(part(i))
     else:
-        value = lambda i: (F.get(F.sort_array(part(i)), F.lit((factor - 1) // 2)) + F.get(F.sort_array(part(i)), F.lit(factor // 2))) / 2
+        value = lambda i: (F.get(F.sort_array(part(i)), F.floor((factor - 1) / 2).cast("int")) + F.get(F.sort_array(part(i)), F.floor(factor / 2).cast("int"))) / 2
     return F.when(F.size(x) >= factor, F.transform(at, value)).otherwise(F.array().cast("array<double>"))
 
 
+def common_grid(vectors: DataFrame, how: str = "mean", frequency: int = 60, x: str = "x", variable: str = "variable", by: str = "split") -> DataFrame:
+    """All variables of a split brought to its shortest one's length, then to `frequency` points a minute (of 60).
+
+    A variable's windows are equally long; one row a split and variable says by which factor they shrink.
+    """
+    sizes = vectors.groupBy(by, variable).agg(F.max(F.size(x)).alias("_size"))
+    least = sizes.groupBy(by).agg(F.min("_size").alias("_least"))
+    factors = joined(sizes, least, [by]).select(by, variable, F.floor(F.col("_size") / F.col("_least")).cast("int").alias("_factor"))
+    out = joined(vectors, factors, [by, variable]).withColumn(x, downsample(x, F.col("_factor"), how)).drop("_factor")
+    return out.withColumn(x, downsample(x, 60 // frequency, how)) if frequency < 60 else out
+
+
 def fit_scaler(train: DataFrame, kind: str = "robust", by: str = "variable", x: str = "x", accuracy: int | None = None) -> DataFrame:
     """by, centre, scale: one for each variable over all its windows and steps.
 
@@ -47,8 +61,10 @@ def fit_scaler(train: DataFrame, kind: str = "robust", by: str = "variable", x:
     approximate, in bounded memory); standard: mean and population deviation; minmax: least value and range.
     """
     v = train.select(by, F.explode(F.col(x).cast("array<double>")).alias("v"))
+    if kind == "robust" and not accuracy:
+        return exact_percentiles(v, F.col("v"), [0.1, 0.5, 0.9], [by]).select(by, F.col("q")[1].alias("centre"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
     if kind == "robust":
-        p = (lambda q: F.percentile_approx("v", F.lit(q), F.lit(accuracy))) if accuracy else (lambda q: F.percentile("v", F.lit(q)))
+        p = lambda q: F.percentile_approx("v", F.lit(q), F.lit(accuracy))
         centre, scale = p(0.5), p(0.9) - p(0.1)
     elif kind == "standard":
         centre, scale = F.avg("v"), F.stddev_pop("v")
@@ -117,6 +133,20 @@ def lag_list(length: int, step: int) -> list[int]:
     return [l for l in lags if l > -length and l + step < length or l <= 0 and l > -length]
 
 
+def centred(df: DataFrame, names: list[str]) -> DataFrame:
+    """Array columns' values less their mean, over their deviation (null where that is 0); each worked out once."""
+    stats = df.withColumns({f"_m_{n}": array_mean(n) for n in names} | {f"_s_{n}": array_std(n) for n in names})
+    scaled = lambda n: F.transform(n, lambda v: F.try_divide(v - F.col(f"_m_{n}"), F.col(f"_s_{n}")))
+    out = stats.withColumns({n: scaled(n) for n in names})
+    return out.drop(*[f"_m_{n}" for n in names], *[f"_s_{n}" for n in names])
+
+
+def lagged_dot(x: Column, y: Column, length: int, lag: int) -> Column:
+    """The lagged correlation of two centred() arrays; 0 where undefined."""
+    a, b = (F.slice(x, lag + 1, length - lag), F.slice(y, 1, length - lag)) if lag >= 0 else (F.slice(x, 1, length + lag), F.slice(y, 1 - lag, length + lag))
+    return F.coalesce(F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / length, F.lit(0.0))
+
+
 def lagged_correlation(x: Column, y: Column, length: int, lag: int) -> Column:
     """sum over n of (x[n + lag] - mean x)(y[n] - mean y) / (std x * std y * length); 0 where undefined."""
     a, b = (F.slice(x, lag + 1, length - lag), F.slice(y, 1, length - lag)) if lag >= 0 else (F.slice(x, 1, length + lag), F.slice(y, 1 - lag, length + lag))
@@ -143,11 +173,12 @@ def design_features(df: DataFrame, names: list[str], length: int, x: str = "x",
     means, stds = [array_mean(c) for c in cols.values()], [array_std(c) for c in cols.values()]
     size = length
     if whiten:
-        named = named.withColumns({f"_{n}": difference(c) for n, c in cols.items()})
+        named = named.withColumn("_moments", F.array(*means, *stds)).withColumns({f"_{n}": difference(c) for n, c in cols.items()})
         size -= 1
     lags = lag_list(size, step)
-    corr = [lagged_correlation(cols[ref], c, size, lag) for n, c in cols.items() if n != ref for lag in lags]
-    return named.withColumn("features", F.array(*means, *stds, *corr)).drop(*[f"_{n}" for n in parts])
+    moments = named.withColumn("_moments", F.array(*means, *stds)) if not whiten else named
+    corr = [lagged_dot(cols[ref], c, size, lag) for n, c in cols.items() if n != ref for lag in lags]
+    return centred(moments, list(f"_{n}" for n in cols)).withColumn("features", F.concat("_moments", F.array(*corr))).drop("_moments").drop(*[f"_{n}" for n in parts])
 
 
 def mutual_information(df: DataFrame, label: str, x: str = "x", bins: int = 10) -> DataFrame:
@@ -156,8 +187,7 @@ def mutual_information(df: DataFrame, label: str, x: str = "x", bins: int = 10)
     Bin edges are exact percentiles of each feature; one row a feature, sent to all tasks.
     """
     long = df.select(F.col(label).alias("y"), F.posexplode(x).alias("feature", "v"))
-    q = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = long.groupBy("feature").agg(F.percentile("v", q).alias("edges"))
+    edges = exact_percentiles(long, F.col("v"), [k / bins for k in range(1, bins)], ["feature"]).withColumnRenamed("q", "edges")
     binned = long.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("v") > e)))
     joint = binned.groupBy("feature", "bin", "y").agg(F.count("*").alias("c"))
     n = F.sum("c").over(Window.partitionBy("feature"))
@@ -167,6 +197,24 @@ def mutual_information(df: DataFrame, label: str, x: str = "x", bins: int = 10)
     return terms.groupBy("feature").agg(F.sum("t").alias("mi"))
 
 
+def select_top(scores: DataFrame, percentile: float, score: str = "mi") -> DataFrame:
+    """Adds selected: the features whose score lies above the (100 - percentile)th percentile; of those at it,
+    the first ones that fit into percentile percent of all. One row a feature."""
+    cut = exact_percentiles(scores, F.col(score), [1 - percentile / 100]).select(F.col("q")[0].alias("_cut"))
+    n = scores.agg(F.count("*").alias("_n"))
+    d = scores.join(F.broadcast(cut)).join(F.broadcast(n))
+    above = F.sum((F.col(score) > F.col("_cut")).cast("int")).over(Window.partitionBy(F.lit(0)))
+    tie = F.row_number().over(Window.partitionBy(F.col(score) == F.col("_cut")).orderBy("feature"))
+    room = F.floor(F.col("_n") * percentile / 100) - above
+    return d.withColumn("selected", (F.col(score) > F.col("_cut")) | ((F.col(score) == F.col("_cut")) & (tie <= room))).drop("_cut", "_n")
+
+
+def keep_features(df: DataFrame, selected: DataFrame, x: str = "x") -> DataFrame:
+    """x cut down to the selected features, in their order; the list (a number a feature) goes along in one row."""
+    wanted = selected.where("selected").agg(F.sort_array(F.collect_list(F.col("feature").cast("int"))).alias("_wanted"))
+    return df.join(F.broadcast(wanted)).withColumn(x, F.transform("_wanted", lambda i: F.get(x, i))).drop("_wanted")
+
+
 def convolution_kernels(length: int, n: int, seed: int = 42) -> list[tuple[np.ndarray, float, int]]:
     """Seeded random kernels: centred weights, bias and dilation."""
     rng = np.random.default_rng(seed)

@@ -16,21 +16,23 @@ def change_points(points: DataFrame, key: str, time: str, value: str, end: Colum
 def subtract(valid: DataFrame, bad: DataFrame, key: str = "subject_id") -> DataFrame:
     """Parts of valid intervals (key, segment, start_us, end_us) that no bad interval (key, start_us, end_us) covers.
 
-    A sweep over each key's boundaries: net changes of both counts by time, running sums, and the pieces
-    between neighbouring times. Overlapping valid segments go to the earliest one. No piece is empty.
+    Overlapping valid segments go to the earliest one: each is cut back to what lies after the latest end
+    before it. Then one sweep over each key's boundaries: the number of open bad intervals is a running
+    sum, the segment at hand is carried along. No pair of intervals is formed; no piece is empty.
     """
-    def steps(df: DataFrame, what: str) -> DataFrame:
-        other = "_bad" if what == "_valid" else "_valid"
-        e = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d"))))
-        return df.where("end_us > start_us").select(key, e.alias("e")).select(key, "e.t", F.col("e.d").alias(what), F.lit(0).alias(other))
-
-    net = steps(valid, "_valid").unionByName(steps(bad, "_bad")).groupBy(key, "t").agg(F.sum("_valid").alias("v"), F.sum("_bad").alias("b"))
+    before = Window.partitionBy(key).orderBy("start_us", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    own = valid.where("end_us > start_us").select(key, "segment", F.greatest("start_us", F.coalesce(F.max("end_us").over(before), F.col("start_us"))).alias("start_us"), "end_us")
+    none = F.lit(None).cast(valid.schema["segment"].dataType)
+    point = lambda t, d, begins, segment: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"), F.lit(begins).alias("begins"), segment.alias("segment"))
+    steps = own.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 0, 1, F.col("segment")), point("end_us", 0, 0, none))).alias("e"))
+    steps = steps.unionByName(bad.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 1, None, none), point("end_us", -1, None, none))).alias("e")))
+    # at one time a beginning overrides an end
+    net = steps.groupBy(key, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"), F.max("e.begins").alias("begins"), F.max("e.segment").alias("segment"))
     w = Window.partitionBy(key).orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = net.select(key, F.col("t").alias("start_us"), F.lead("t").over(w).alias("end_us"), F.sum("v").over(upto).alias("v"), F.sum("b").over(upto).alias("b"))
-    good = swept.where("v > 0 and b = 0 and end_us > start_us").select(key, "start_us", "end_us")
-    owner = valid.select(F.col(key), F.col("segment"), F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
-    owned = good.join(owner, key).where("_s <= start_us and _e >= end_us").groupBy(key, "start_us", "end_us").agg(F.min_by("segment", F.struct("_s", "segment")).alias("segment"))
+    state = F.last(F.when(F.col("begins").isNotNull(), F.struct("begins", "segment")), ignorenulls=True).over(upto)
+    swept = net.select(key, F.col("t").alias("start_us"), F.lead("t").over(w).alias("end_us"), F.sum("d").over(upto).alias("bad"), state.alias("s"))
+    owned = swept.where("s.begins = 1 and bad = 0 and end_us > start_us").select(key, "s.segment", "start_us", "end_us")
     v = Window.partitionBy(key, "segment").orderBy("start_us")
     new = owned.withColumn("_new", F.when(F.lag("end_us").over(v) == F.col("start_us"), 0).otherwise(1))
     grouped = new.withColumn("_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

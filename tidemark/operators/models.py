@@ -6,18 +6,20 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranged import running_sums
 from tidemark.operators.split import group_kfold
 
 
 def estimator(kind: str, seed: int = 42, **params) -> Estimator:
-    """One of: logreg_l1, logreg_l2, tree, forest, gbt, svc."""
+    """One of: logreg_l1, logreg_l2, tree, forest, gbt, svc, ridge (least squares on the labels with an L2 penalty; above 1/2 is 1)."""
     base = {"featuresCol": "_x", "labelCol": "_y"}
     if kind in ("logreg_l1", "logreg_l2"):
-        return LogisticRegression(**base, weightCol="_w", elasticNetParam=float(kind == "logreg_l1"), **({"regParam": 0.01, "maxIter": 50} | params))
+        return LogisticRegression(**base, weightCol="_w", **({"regParam": 0.01, "maxIter": 50, "elasticNetParam": float(kind == "logreg_l1")} | params))
     if kind == "tree":
         return DecisionTreeClassifier(**base, seed=seed, weightCol="_w", **params)
     if kind == "forest":
@@ -26,6 +28,8 @@ def estimator(kind: str, seed: int = 42, **params) -> Estimator:
         return GBTClassifier(**base, seed=seed, weightCol="_w", **({"maxIter": 10} | params))
     if kind == "svc":
         return LinearSVC(**base, weightCol="_w", **({"regParam": 0.01, "maxIter": 30} | params))
+    if kind == "ridge":
+        return LinearRegression(**base, weightCol="_w", elasticNetParam=0.0, **({"regParam": 0.1} | params))
     raise ValueError(f"no such model: {kind}")
 
 
@@ -41,6 +45,8 @@ def prepared(df: DataFrame, x: str, y: str) -> DataFrame:
 def scored(model: Model, df: DataFrame) -> DataFrame:
     """Adds score (probability of class 1, or the margin) and yhat."""
     out = model.transform(df)
+    if "rawPrediction" not in out.columns:
+        return out.withColumn("score", F.col("prediction")).withColumn("yhat", (F.col("score") >= 0.5).cast("int"))
     if "probability" in out.columns:
         return out.withColumn("score", vector_to_array("probability")[1]).withColumn("yhat", (F.col("score") >= 0.5).cast("int"))
     return out.withColumn("score", vector_to_array("rawPrediction")[1]).withColumn("yhat", (F.col("score") >= 0).cast("int"))
@@ -56,22 +62,13 @@ def confusion(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
 def roc_auc(df: DataFrame, score: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Exact area under the curve by ranks with ties at their mean.
 
-    Scores are counted first, so the running sums go over distinct scores, in ranges: each range's counts
-    are carried in one row, and no task orders all rows.
+    Scores are counted first, so the running sums go over distinct scores of a group, in ranges: each range's
+    counts are carried in one row, and no task orders all rows.
     """
     by = by or []
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) == 0).cast("long")).alias("_q"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        below = counts.withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)))
-    else:
-        cuts = counts.agg(F.percentile_approx("_s", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000)).alias("_cuts"))
-        part = counts.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("_s") > c))).drop("_cuts")
-        sums = part.groupBy("_part").agg(F.sum("_q").alias("_sum"))
-        before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-        w = Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        below = part.join(F.broadcast(before), "_part").withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)) + F.col("_before"))
-    agg = below.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
+    below = running_sums(counts, "_s", ["_q"], by)
+    agg = below.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("below__q") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
     return agg.withColumn("auc", F.try_divide("_u", F.col("n_pos") * F.col("n_neg"))).drop("_u")
 
 
@@ -88,15 +85,8 @@ def best_threshold(df: DataFrame, score: str, y: str) -> DataFrame:
     Counts by distinct score first; running sums over those.
     """
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) == 0).cast("long")).alias("_q"))
-    cuts = counts.agg(F.percentile_approx("threshold", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000)).alias("_cuts"))
-    part = counts.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("threshold") > c))).drop("_cuts")
-    sums = part.groupBy("_part").agg(F.sum("_p").alias("_sp"), F.sum("_q").alias("_sq"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(F.lit(0))
-    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_s{c}").over(w), F.lit(0)).alias(f"_b{c}") for c in "pq"], *[F.sum(f"_s{c}").over(total).alias(f"_n{c}") for c in "pq"])
-    v = Window.partitionBy("_part").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    run = part.join(F.broadcast(offsets), "_part").withColumns({f"_u{c}": F.coalesce(F.sum(f"_{c}").over(v), F.lit(0)) + F.col(f"_b{c}") for c in "pq"})
-    value = (F.try_divide(F.col("_np") - F.col("_up"), F.col("_np")) + F.try_divide("_uq", F.col("_nq"))) / 2
+    run = running_sums(counts, "threshold", ["_p", "_q"])
+    value = (F.try_divide(F.col("all__p") - F.col("below__p"), F.col("all__p")) + F.try_divide("below__q", F.col("all__q"))) / 2
     best = run.withColumn("balanced_accuracy", F.round(value, 12)).agg(F.max(F.struct("balanced_accuracy", (-F.col("threshold")).alias("t"))).alias("b"))
     return best.select((-F.col("b.t")).alias("threshold"), F.col("b.balanced_accuracy").alias("balanced_accuracy"))
 
@@ -136,6 +126,39 @@ def cv_search(df: DataFrame, kind: str, grid: list[dict], folds: DataFrame, grou
     return model, results
 
 
+def random_settings(space: dict[str, tuple], n: int, seed: int = 42) -> list[dict]:
+    """n settings drawn from a space: name -> ("choice", values), ("uniform", lo, hi[, step]), ("loguniform", lo, hi),
+    ("randint", lo, hi[, step]) or ("lograndint", lo, hi); hi of the integer kinds isn't drawn."""
+    import math
+    import random
+
+    rng = random.Random(seed)
+
+    def draw(kind: str, *a):
+        if kind == "choice":
+            return rng.choice(list(a[0]))
+        value = math.exp(rng.uniform(math.log(a[0]), math.log(a[1]))) if kind.startswith("log") else rng.uniform(a[0], a[1])
+        if len(a) > 2:
+            value = round(value / a[2]) * a[2]
+        if kind in ("randint", "lograndint"):
+            return min(max(int(value), a[0]), a[1] - 1) if len(a) < 3 else int(value)
+        if kind not in ("uniform", "loguniform"):
+            raise ValueError(f"no such distribution: {kind}")
+        return value
+
+    return [{name: draw(*d) for name, d in space.items()} for _ in range(n)]
+
+
+def search_summary(results: DataFrame) -> DataFrame:
+    """Mean and population deviation over all folds, and the gap from train to validation, of both metrics, for each setting."""
+    out = []
+    for m in ("auc", "balanced_accuracy"):
+        for part in ("train", "val"):
+            out += [F.avg(f"{part}_{m}").alias(f"mean_{part}_{m}"), F.stddev_pop(f"{part}_{m}").alias(f"std_{part}_{m}")]
+        out.append((F.avg(f"train_{m}") - F.avg(f"val_{m}")).alias(f"gap_{m}"))
+    return results.groupBy("setting", "params").agg(F.count("*").alias("folds"), *out)
+
+
 def holdout_confusion(df: DataFrame, kind: str, group: str, x: str, y: str, seed: int = 42) -> DataFrame:
     """Confusion matrix of a fit on one half of the groups, on the other half."""
     folds = group_kfold(df, y, group, 2, 1, seed).select(group, "fold")
@@ -144,11 +167,11 @@ def holdout_confusion(df: DataFrame, kind: str, group: str, x: str, y: str, seed
     return confusion(scored(model, data.where("fold = 1")).withColumn("_y", F.col("_y").cast("int")), "_y", "yhat").withColumnRenamed("_y", "y")
 
 
-def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y: str, k: int, blocks: int = 8, tcol: str | None = None) -> DataFrame:
+def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y: str, k: int, block_rows: int = 4096, tcol: str | None = None) -> DataFrame:
     """qid, tid, distance, rank, label: each query's k nearest training vectors, exactly.
 
-    A stated query set against all training rows, in blocks: queries are packed into rows of a block, each
-    block meets every training partition, and k rows a query and partition are merged. tcol: the training
+    A stated query set against all training rows, in blocks of about block_rows (so their number follows the
+    rows): each block of queries meets every block of training rows, and k rows a query and block are merged. tcol: the training
     rows' id column, if not named like qid; a row is no neighbour of its own id.
     """
     import numpy as np
@@ -156,22 +179,28 @@ def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y
 
     tcol = tcol or qid
     packed = queries.select(F.col(qid).alias("_q"), F.col(x).cast("array<double>").alias("_v")).where("_v is not null")
-    packed = packed.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_q", "_v"))).alias("_qs"))
+    n_queries, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, train))
+    packed = packed.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(n_queries)).cast("int")).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_q", "_v"))).alias("_qs"))
     parts = train.select(F.col(tcol).alias("_t"), F.col(x).cast("array<double>").alias("_v"), F.col(y).alias("_y")).where("_v is not null")
     parts = parts.withColumn("_part", F.pmod(F.xxhash64("_t"), F.lit(blocks)).cast("int")).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_t", "_v", "_y"))).alias("_ts"))
-    jobs = packed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parts, "_part").repartition("_block", "_part")
+    jobs = packed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parts, "_part")
 
     def work(batches):
         for batch in batches:
             for qs, ts in zip(batch.column("_qs").to_pylist(), batch.column("_ts").to_pylist()):
                 t = np.array([r["_v"] for r in ts])
                 names, labels = np.array([r["_t"] for r in ts]), np.array([r["_y"] for r in ts])
-                for q in qs:
-                    d = np.sqrt(((t - np.array(q["_v"])) ** 2).sum(1))
-                    d[names == q["_q"]] = np.inf
-                    top = np.lexsort((names, d))[: k]
-                    top = top[np.isfinite(d[top])]
-                    yield pa.RecordBatch.from_pydict({"q": pa.array([q["_q"]] * len(top), pa.int64()), "t": names[top], "distance": d[top], "label": labels[top].astype(np.int64)})
+                for i in range(0, len(qs), 8):
+                    some = qs[i : i + 8]
+                    far = np.sqrt(((t[None] - np.array([q["_v"] for q in some])[:, None]) ** 2).sum(2))
+                    found = []
+                    for q, d in zip(some, far):
+                        d[names == q["_q"]] = np.inf
+                        near = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
+                        top = near[np.lexsort((names[near], d[near]))][:k]
+                        top = top[np.isfinite(d[top])]
+                        found.append((np.full(len(top), q["_q"], np.int64), names[top], d[top], labels[top].astype(np.int64)))
+                    yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(("q", "t", "distance", "label"), zip(*found))})
 
     near = jobs.select("_qs", "_ts").mapInArrow(work, "q long, t long, distance double, label long")
     w = Window.partitionBy("q").orderBy("distance", "t")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranged import exact_percentiles, hash_rank
+
 
 def tertiles(df: DataFrame, value: str, name: str, q: int = 3) -> DataFrame:
     """Bins 0..q-1 at exact quantiles, closed on the right, the lowest value included."""
-    cuts = df.agg(*[F.percentile(F.col(value), F.lit(k / q)).alias(f"_q{k}") for k in range(1, q)])
+    cuts = exact_percentiles(df, F.col(value), [k / q for k in range(1, q)]).select(*[F.get("q", F.lit(k - 1)).alias(f"_q{k}") for k in range(1, q)])
     joined = df.join(F.broadcast(cuts))
     bin_ = sum((F.col(value) > F.col(f"_q{k}") + 1e-9 * F.abs(F.col(f"_q{k}"))).cast("int") for k in range(1, q))
     return joined.withColumn(name, bin_).drop(*[f"_q{k}" for k in range(1, q)])
@@ -22,10 +24,9 @@ def stratified_split(df: DataFrame, key: str, stratum_col: str, fraction: float
     """Adds split: `train` for exactly round(fraction * n) subjects, each stratum as near its share as whole subjects allow.
 
     Strata get the floor of their share; the largest remainders get one more until the total is exact.
-    Ranks come from windows over strata; the top-up runs on one row a stratum.
+    Ranks follow md5 of key and seed, in ranges of the hash; the top-up runs on one row a stratum.
     """
-    w = Window.partitionBy(stratum_col).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
-    ranked = df.withColumn("_rank", F.row_number().over(w))
+    ranked = hash_rank(df, key, F.lit(seed), [stratum_col], "_rank").withColumn("_rank", F.col("_rank") + 1)
     sizes = df.groupBy(stratum_col).agg(F.count("*").alias("_n")).withColumn("_share", F.col("_n") * fraction)
     total = Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_base", F.floor("_share")).withColumn("_want", F.round(F.sum("_n").over(total) * fraction) - F.sum("_base").over(total))
@@ -38,20 +39,21 @@ def group_kfold(df: DataFrame, label: str, group: str, k: int = 5, repeats: int
     """group, repeat, fold: each group in one fold a repeat, label shares as even as the groups allow.
 
     Groups are ranked within bands of like size and label share, shuffled by a seeded hash, and dealt to
-    folds in snake order; no step holds all groups in one task.
+    folds in snake order; ranks and the first fold of a band follow md5, in ranges of the hash.
     """
     per = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
     per = per.withColumn("_band", F.floor(F.log2(F.col("n"))) * 100 + F.floor(F.coalesce("rate", F.lit(0.0)) * 10))
     rep = per.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", "_band").orderBy(F.xxhash64(F.col(group).cast("string"), F.col("repeat") + seed), group)
-    dealt = rep.withColumn("_r", F.row_number().over(w) - 1 + F.pmod(F.xxhash64("_band", F.col("repeat") + seed), F.lit(k)))
+    first = F.md5(F.concat_ws(":", F.col("_band").cast("string"), (F.col("repeat") + seed).cast("string")).cast("binary"))
+    ranked = hash_rank(rep.withColumn("_band", F.col("_band").cast("long")), group, F.col("repeat") + seed, ["repeat", "_band"], "_place")
+    dealt = ranked.withColumn("_r", F.col("_place") + F.conv(F.substring(first, 1, 8), 16, 10).cast("long") % k)
     turn, at = F.floor(F.col("_r") / k), F.col("_r") % k
     return dealt.select(group, "repeat", F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"), "n", "rate")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for the same keys and seed."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def group_subsample(df: DataFrame, label: str, group: str, about: int, rows: int, seed: int = 42) -> DataFrame:

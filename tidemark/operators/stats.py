@@ -7,12 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranged import exact_percentiles, joined
+
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact percentiles."""
-    c = F.col(value).cast("double")
-    exact = [F.percentile(c, F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles]
-    return df.groupBy(*(by or [])).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *exact, F.max(c).alias("max"))
+    """Count, mean, sample deviation, extremes and exact percentiles (null where a group has no values)."""
+    by, c = by or [], F.col(value).cast("double")
+    plain = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_percentiles(df, c, list(percentiles), by)
+    # a group without values has no percentiles; null groups are equal
+    q = q.unionByName(plain.where("n = 0").select(*by, F.lit(None).cast("array<double>").alias("q")))
+    both = joined(plain, q, by) if by else plain.join(F.broadcast(q))
+    return both.select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(percentiles)], "max")
 
 
 def value_share(df: DataFrame, value: str) -> DataFrame:

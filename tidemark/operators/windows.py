@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import SECOND
 
+#: Rows of a gap that one array holds.
+GAP_ROWS = 4096
+
 
 def bounds(t: str, mode: str, window_us: int) -> tuple[Column, Column]:
     """Start and end (exclusive) of the window of a label time: before, mean, smooth and count look back; after; within."""
@@ -66,14 +69,34 @@ def look_back(df: DataFrame, key: str, time: str, rows: int, step_us: int, aggre
 
 
 def thin(labels: DataFrame, key: str, time: str, window_us: int) -> DataFrame:
-    """Greedy thinning: the first time, then each next one at least a window after the last kept; by key in parallel."""
-    folded = labels.where(F.col(time).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(time)).alias("_t"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
-    kept = F.aggregate(
-        "_t", zero,
-        lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= window_us), F.struct(F.array_append(s["kept"], t).alias("kept"), t.alias("last"))).otherwise(s),
-    )
-    return folded.select(key, F.explode(kept["kept"]).alias(time))
+    """Greedy thinning: the first time, then each next one at least a window after the last kept; by key in parallel.
+
+    A key's times go by in order and only the last kept one is remembered, so a key of any size takes no
+    more memory than one batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        at, last = (), 0
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            a, rows = 0, []
+            while a < len(keys):
+                b = a + 1 if keys[a] != keys[-1] else len(keys)
+                while b < len(keys) and keys[b] == keys[a]:
+                    b += 1
+                i = a if (keys[a],) != at else a + int(np.searchsorted(times[a:b], last + window_us))
+                at = (keys[a],)
+                while i < b:
+                    rows.append(i)
+                    last = int(times[i])
+                    i += max(1, int(np.searchsorted(times[i:b], last + window_us)))
+                a = b
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    ordered = labels.select(key, F.col(time).cast("long").alias(time)).where(F.col(time).isNotNull()).repartition(key).sortWithinPartitions(key, time)
+    return ordered.mapInArrow(work, ordered.schema)
 
 
 def impute_linear(df: DataFrame, window: list[str], time: str, value: str, most_missing: float = 0.25) -> DataFrame:
@@ -103,8 +126,10 @@ def gap_fill(segments: DataFrame, key: str = "subject_id") -> DataFrame:
     s = s.withColumn("_end", F.col("start_us") + F.size("samples") * F.col("_step"))
     rows = s.select(key, "_zero", "_step", "start_us", F.posexplode("samples").alias("_i", "value"))
     have = rows.select(key, (F.col("start_us") - F.col("_zero") + F.col("_i") * F.col("_step")).alias("rel_us"), "value")
-    n = F.floor((F.col("_next") - F.col("_end")) / F.col("_step")).cast("int")
-    gaps = s.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    n = F.floor((F.col("_next") - F.col("_end")) / F.col("_step"))
+    gaps = s.select(key, "_end", "_zero", "_step", n.alias("_n")).where("_n > 0")
+    gaps = gaps.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(GAP_ROWS).cast("long"))))  # long gaps in pieces
+    gaps = gaps.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + GAP_ROWS) - 1)))
     empty = gaps.select(key, (F.col("_end") - F.col("_zero") + F.col("_i") * F.col("_step")).alias("rel_us"), F.lit(None).cast("double").alias("value"))
     return have.unionByName(empty)
 

@@ -133,7 +133,14 @@ def tertile_strata(spark, d):
     return _strata(spark, d).select("o_custkey", "ta", "tb", "tc", "stratum")
 
 
-@query()
+_MD5 = lambda key, salt: f"md5({key}::varchar || ':' || ({salt})::varchar)"
+
+
+@query("with " + _STRATA + f""", u as (select o_custkey, ta::varchar || tb::varchar || tc::varchar as stratum from t),
+z as (select stratum, count(*) as n from u group by 1), b as (select *, floor(n * 0.8) as base, row_number() over (order by round(n * 0.8 - floor(n * 0.8), 9) desc, stratum) as k from z),
+w as (select stratum, base + (k <= (select round(sum(n) * 0.8) - sum(base) from b))::int as train from b),
+r as (select o_custkey, stratum, row_number() over (partition by stratum order by {_MD5('o_custkey', 42)}, o_custkey) as k from u)
+select o_custkey, stratum, case when k <= train then 'train' else 'test' end as split from r join w using (stratum)""")
 def stratified_split(spark, d):
     return split.stratified_split(_strata(spark, d), "o_custkey", "stratum").select("o_custkey", "stratum", "split")
 
@@ -150,20 +157,31 @@ def _labelled(spark, d):
     return t.limits(spark, d).withColumn("y", F.col("mean").between(F.col("lower"), F.col("upper")).cast("int")).where("y is not null")
 
 
-@query()
+def _folds(k, repeats, seed=42):
+    """SQL of split.group_kfold over the labelled subject-days."""
+    return f"""y as (select subject_id, day, (mean between lower and upper)::int as y from limits where mean between lower and upper is not null),
+p as (select subject_id, count(*) as n, avg(y::double) as rate from y group by 1), b as (select *, (floor(log2(n)) * 100 + floor(rate * 10))::bigint as band from p),
+e as (select *, unnest(range({repeats}))::int as repeat from b),
+f as (select *, row_number() over (partition by repeat, band order by {_MD5('subject_id', f'repeat + {seed}')}, subject_id) - 1 + ('0x' || substr({_MD5('band', f'repeat + {seed}')}, 1, 8))::bigint % {k} as r from e),
+folds as (select subject_id, repeat, (case when (r // {k}) % 2 = 0 then r % {k} else {k} - 1 - r % {k} end)::int as fold, n, rate from f)"""
+
+
+@query(sql("limits", _folds(5, 3) + " select * from folds"))
 def group_kfold(spark, d):
     return split.group_kfold(_labelled(spark, d), "y", "subject_id", 5, 3)
 
 
-@query()
+@query(sql("signal", f"x as (select distinct subject_id from signal) select subject_id from x order by {_MD5('subject_id', 42)}, subject_id limit 20"))
 def hash_sample(spark, d):
     return split.hash_sample(t.signal(spark, d).select("subject_id").distinct(), "subject_id", 20)
 
 
-@query()
+@query(sql("limits", _folds(3, 1) + " select subject_id, day, y from y semi join (select subject_id from folds where fold = 0) using (subject_id)"))
 def group_subsample(spark, d):
+    """Whole subjects with about a third of the rows."""
     rows = _labelled(spark, d)
-    return split.group_subsample(rows, "y", "subject_id", 1000, rows.count()).select("subject_id", "day", "y")
+    n = rows.count()
+    return split.group_subsample(rows, "y", "subject_id", max(1, n // 3), 3 * max(1, n // 3)).select("subject_id", "day", "y")
 
 
 @query("select 'doc' as kind, quality as y, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from labels group by quality")
@@ -282,8 +300,9 @@ def split_name(spark, d):
 
 @query("""select '--brand=' || brand || ' --mode=' || mode || ' --flag=' || flag as setting, brand, mode, flag from (select distinct p_brand as brand from part), (select distinct p_type as mode from part), (select distinct l_returnflag as flag from lineitem)""")
 def param_grid(spark, d):
-    values = lambda name, c: sorted(r[0] for r in t.table(spark, d, name).select(c).distinct().collect())  # noqa: E731  a few names
-    return board.param_grid(spark, {"brand": values("part", "p_brand"), "mode": values("part", "p_type"), "flag": values("lineitem", "l_returnflag")}).select("setting", "brand", "mode", "flag")
+    values = lambda name, column, c: t.table(spark, d, name).select(F.lit(name).alias("name"), F.col(column).alias("value")).withColumn("name", F.lit(c)).distinct()
+    every = values("part", "p_brand", "brand").union(values("part", "p_type", "mode")).union(values("lineitem", "l_returnflag", "flag"))
+    return board.grid_of(every, ["brand", "mode", "flag"]).select("setting", "brand", "mode", "flag")
 
 
 # scores

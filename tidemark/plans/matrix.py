@@ -72,6 +72,20 @@ def downsample_median(spark, d):
     return _downsampled(spark, d, "median")
 
 
+_GRID = [("long", 1, 64), ("middle", 9, 32), ("short", 17, 16)]
+
+
+@query(sql("vectors", "s as (" + " union all ".join(f"select id, case when id % 5 = 0 then 'test' else 'train' end as split, '{n}' as variable, x[{a}:{a + size - 1}] as x, {size // 16} as f from vectors" for n, a, size in _GRID) + """),
+e as (select id, split, variable, f, unnest(x) as v, unnest(range(len(x))) as i from s), g as (select id, split, variable, i // f as place, avg(v) as v from e group by all)
+select id, split, variable, place // 2 as pos, round(avg(v), 6) as v from g group by all"""))
+def common_grid(spark, d):
+    """Variables of three lengths on the shortest one's grid, then at thirty points a minute."""
+    v = t.vectors(spark, d).withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.slice("x", a, size).alias("x")) for n, a, size in _GRID])).alias("e")
+    g = fe.common_grid(v.select("id", "split", rows).select("id", "split", "e.*"), "mean", 30)
+    return g.select("id", "split", "variable", F.posexplode("x").alias("pos", "v")).select("id", "split", "variable", F.col("pos").cast("long").alias("pos"), R("v").alias("v"))
+
+
 def _by_label(spark, d):
     return t.vectors(spark, d).select("id", F.col("label").cast("string").alias("variable"), "x")
 
@@ -137,9 +151,9 @@ m as (select *, list_aggregate(a, 'avg') as ma, list_aggregate(b, 'avg') as mb,
 k as (select *, unnest([-12, -8, -4, 0, 4, 8]) as lag from m), n as (select *, unnest(range(16)) as i from k)
 select id, name, lag, round(sum((a[i + 1] - ma) * (b[i - lag + 1] - mb)) filter (where i - lag between 0 and 15) / (any_value(sa) * any_value(sb) * 16), 6) as r from n group by id, name, lag"""))
 def lag_xcorr(spark, d):
-    v = t.vectors(spark, d).withColumns({n: F.slice("x", 16 * i + 1, 16) for i, n in enumerate(CHANNELS)})
+    v = fe.centred(t.vectors(spark, d).withColumns({n: F.slice("x", 16 * i + 1, 16) for i, n in enumerate(CHANNELS)}), CHANNELS)
     lags = fe.lag_list(STEPS, 4)
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lag).alias("lag"), R(fe.lagged_correlation(F.col("abp"), F.col(n), STEPS, lag)).alias("r")) for n in CHANNELS[1:] for lag in lags]))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lag).alias("lag"), R(fe.lagged_dot(F.col("abp"), F.col(n), STEPS, lag)).alias("r")) for n in CHANNELS[1:] for lag in lags]))
     return v.select("id", rows.alias("e")).select("id", "e.name", "e.lag", "e.r")
 
 
@@ -158,6 +172,27 @@ def mutual_info_rank(spark, d):
     return fe.mutual_information(v, "y").select(F.col("feature").cast("long").alias("feature"), R("mi", 9).alias("mi"))
 
 
+_MI = ORACLES["mutual_info_rank"].replace("select feature, round(sum(c / n * ln(c * n / (nx * ny))), 9) as mi from w group by feature", ", m as (select feature, round(sum(c / n * ln(c * n / (nx * ny))), 9) as mi from w group by feature)")
+
+
+@query(_MI.rstrip() + """, k as (select quantile_cont(mi, 0.8) as k, count(*) as n from m), r as (select m.*, mi > k as above, mi = k as tie, sum((mi > k)::int) over () as n_above, row_number() over (partition by mi = k order by feature) as place, n from m, k)
+select feature, mi, above or (tie and place <= floor(n * 20 / 100.0) - n_above) as selected from r""")
+def mutual_info_select(spark, d):
+    """The fifth of the features that tell most about the class."""
+    return fe.select_top(mutual_info_rank(spark, d), 20).select("feature", "mi", "selected")
+
+
+@query()
+def selected_features_model(spark, d):
+    """A model on the selected features, scored on rows it hasn't seen."""
+    v = _set(spark, d)
+    top = fe.select_top(fe.mutual_information(v.where("id % 5 != 0"), "y"), 50)
+    v = fe.keep_features(v, top)
+    model = models.estimator("logreg_l2").fit(models.prepared(v.where("id % 5 != 0"), "x", "y"))
+    out = models.scored(model, v.where("id % 5 = 0").withColumns({"_x": array_to_vector("x"), "_y": F.col("y").cast("double")}))
+    return models.evaluate(out)
+
+
 @query()
 def pca_variance(spark, d):
     v = t.vectors(spark, d)
@@ -243,12 +278,38 @@ def holdout_confusion(spark, d):
     return models.holdout_confusion(_set(spark, d), "logreg_l2", "id", "x", "y")
 
 
-@query()
+def _kernels(n):
+    """The seeded kernels as SQL rows."""
+    rows = [f"({k}, [{', '.join(repr(float(x)) for x in w)}], {b!r}, {dil}, {(len(w) - 1) * dil})" for k, (w, b, dil) in enumerate(fe.convolution_kernels(64, n))]
+    return "k(kid, w, b, dil, span) as (values " + ", ".join(rows) + ")"
+
+
+@query(sql("vectors", _kernels(20) + """, n as (select id, x, list_aggregate(x, 'avg') as m, list_aggregate(x, 'stddev_pop') as s from vectors), z as (select id, list_transform(x, lambda v: (v - m) / s) as z from n),
+c as (select id, kid, b, w, dil, z, unnest(range(64 - span)) as i from z, k),
+v as (select id, kid, b + list_sum(list_transform(range(len(w)), lambda j: w[j + 1] * z[i + j * dil + 1])) as v from c), f as (select id, kid, avg((v > 0)::int) + max(v) as t from v group by all)
+select id, (2 * count(*))::int as n, round(sum(t), 4) as total from f group by id"""))
 def conv_features(spark, d):
     f = fe.convolution_features(_set(spark, d), "x", 20)
     return f.select("id", F.size("features").alias("n"), R(_total("features"), 4).alias("total"))
 
 
+@query()
+def conv_ridge(spark, d):
+    """A ridge model on random convolutions, scored on rows it hasn't seen."""
+    v = fe.convolution_features(_set(spark, d), "x", 40)
+    model = models.estimator("ridge", regParam=1.0).fit(models.prepared(v.where("id % 5 != 0"), "features", "y"))
+    out = models.scored(model, v.where("id % 5 = 0").withColumns({"_x": array_to_vector("features"), "_y": F.col("y").cast("double")}))
+    return models.evaluate(out)
+
+
+@query()
+def random_search_summary(spark, d):
+    """Three settings drawn at random on three folds: mean, deviation and gap of each."""
+    v = _set(spark, d)
+    grid = models.random_settings({"regParam": ("loguniform", 1e-3, 10.0), "elasticNetParam": ("choice", [0.0, 1.0])}, 3)
+    return models.search_summary(models.cv_search(v, "logreg_l2", grid, split.group_kfold(v, "y", "id", 3, 1), "id", "x", "y")[1])
+
+
 @query()
 def cv_search_logreg(spark, d):
     v = _set(spark, d)

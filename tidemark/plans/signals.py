@@ -233,16 +233,16 @@ def _cleaned(s):
     return stored.select("subject_id", F.col("ts_us").cast("long").alias("ts_us"), R("stored").alias("stored"), R("value").alias("value"))
 
 
-@query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error' and ts_us % 2 = 0)
+@query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error')
 select subject_id, ts_us::bigint as ts_us, round(coalesce(value, -99999), 6) as stored, round(value, 6) as value from v where value is null or value between 0 and 90"""))
 def clean_signal(spark, d):
-    return _cleaned(t.signal(spark, d).where((F.col("variable") != "error") & (F.col("ts_us") % 2 == 0)))
+    return _cleaned(t.signal(spark, d).where("variable != 'error'"))
 
 
 @query(sql("signal", """v as (select subject_id, ts_us, seq, case when nullif(value, 50) > 5 then nullif(value, 50) end as value from signal where variable != 'error')
 select subject_id, ts_us::bigint as ts_us, round(coalesce(value, -99999), 6) as stored, round(value, 6) as value from v where value is null or value between 0 and 90"""))
 def clean_signal_all(spark, d):
-    """clean_signal on every event that is no error, at odd times too."""
+    """clean_signal by its former name."""
     return _cleaned(t.signal(spark, d).where("variable != 'error'"))
 
 
@@ -251,12 +251,11 @@ def near_zero_count(spark, d):
     return t.signal(spark, d).agg(clean.near_equal_count("value").alias("near_zero"), clean.near_equal_count("value", 50.0).alias("near_fifty"))
 
 
-@query(sql("signal", """w as (select ts_us // 86400000000 as day, subject_id, value from signal where variable = 'view'),
-f as (select subject_id, day, value, row_number() over (partition by subject_id, day order by value) as k from w)
-select day, max(case when subject_id = '1' then value end) as s1, max(case when subject_id = '2' then value end) as s2, max(case when subject_id = '3' then value end) as s3 from f where k = 1 and subject_id in ('1', '2', '3') group by day"""))
+@query(sql("signal", "select subject_id, ts_us // 86400000000 as day, " + ", ".join(f"min(value) filter (where variable = '{v}') as \"{v}\"" for v in ("click", "error", "purchase", "signup", "view")) + " from signal group by all"))
 def pivot_by_time(spark, d):
-    s = t.signal(spark, d).where("variable = 'view' and subject_id in ('1', '2', '3')").withColumn("day", F.floor(F.col("ts_us") / DAY))
-    return s.groupBy("day").pivot("subject_id", ["1", "2", "3"]).agg(F.min("value")).toDF("day", "s1", "s2", "s3")
+    """Variables (a handful of kinds) as columns, by subject and day; subjects are too many for columns, see pivot_by_time_long."""
+    s = t.signal(spark, d).withColumn("day", F.floor(F.col("ts_us") / DAY))
+    return s.groupBy("subject_id", "day").pivot("variable").agg(F.min("value"))
 
 
 @query(sql("signal", "select ts_us // 86400000000 as day, variable, subject_id, min(value) as value from signal group by all"))

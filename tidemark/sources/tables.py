@@ -37,9 +37,24 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("duration_s", duration_seconds("duration"))
 
 
-def read_variable(spark: SparkSession, path: str, variable: str) -> DataFrame:
-    """One variable's samples; a table partitioned by variable is read in that partition only."""
-    return spark.read.parquet(path).where(F.col("variable") == variable)
+def read_variable(spark: SparkSession, path: str, variable: str, key: str = "subject_id") -> DataFrame:
+    """One variable's samples: a recording's numerics, or its waves where it has no numerics.
+
+    Variables are named `numerics/<name>`, `waves/<name>` or plainly; a table partitioned by variable is read
+    in those partitions only.
+    """
+    return best_form(spark.read.parquet(path), variable, key)
+
+
+def best_form(samples: DataFrame, variable: str, key: str = "subject_id") -> DataFrame:
+    """Of each recording the samples of the first of numerics, waves and the plain name that it has."""
+    if key not in samples.columns:  # no recordings to tell apart
+        return samples.where(F.col("variable") == variable)
+    forms = [f"numerics/{variable}", f"waves/{variable}", variable]
+    rank = F.array_position(F.array(*map(F.lit, forms)), F.col("variable"))
+    named = samples.where(F.col("variable").isin(forms)).withColumn("_form", rank)
+    least = named.groupBy(key).agg(F.min("_form").alias("_least"))
+    return named.join(least, key).where("_form = _least").drop("_form", "_least").withColumn("variable", F.lit(variable))
 
 
 def segment_end(start: str = "start_us", length: str = "length", frequency: str = "frequency") -> Column:
@@ -48,11 +63,19 @@ def segment_end(start: str = "start_us", length: str = "length", frequency: str
 
 
 def read_trials(spark: SparkSession, path: str, run_name: str) -> DataFrame:
-    """JSON results under <dataset>/<run>/<model>/, those of one run, finished ones marked from their fields."""
+    """Finished JSON results under <dataset>/models[_debug]_<run>/<model>/ of runs whose folder holds run_name; debug says which kind."""
     raw = spark.read.option("recursiveFileLookup", "true").json(path).withColumn("_file", F.col("_metadata.file_path"))
     p = r"([^/]+)/([^/]+)/([^/]+)/[^/]*$"
     named = raw.withColumns({"dataset": F.regexp_extract("_file", p, 1), "run": F.regexp_extract("_file", p, 2), "model": F.regexp_extract("_file", p, 3)})
-    return named.where(F.col("run").startswith(run_name)).withColumn("debug", F.col("run").contains("debug")).drop("_file")
+    done = named.where("done") if "done" in raw.columns else named.where("false")
+    return done.where(F.col("run").contains(run_name)).withColumn("debug", F.col("run").contains("debug")).drop("_file")
+
+
+def best_trials(trials: DataFrame, selector: str = "mean_val_auc") -> DataFrame:
+    """The row with the highest selector of each dataset, run and model; of equal ones any, by the row's text."""
+    key = ["dataset", "run", "model"]
+    best = trials.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in trials.columns if c not in key]), F.struct(F.col(selector), F.to_json(F.struct("*")))).alias("_b"))
+    return best.select(*key, "_b.*")
 
 
 def describe_table(df: DataFrame) -> DataFrame:
