@@ -200,9 +200,8 @@ def mutual_information(df: DataFrame, label: str, x: str = "x", bins: int = 10)
 def select_top(scores: DataFrame, percentile: float, score: str = "mi") -> DataFrame:
     """Adds selected: the features whose score lies above the (100 - percentile)th percentile; of those at it,
     the first ones that fit into percentile percent of all. One row a feature."""
-    cut = exact_percentiles(scores, F.col(score), [1 - percentile / 100]).select(F.col("q")[0].alias("_cut"))
-    n = scores.agg(F.count("*").alias("_n"))
-    d = scores.join(F.broadcast(cut)).join(F.broadcast(n))
+    cut = scores.agg(F.percentile(score, F.lit(1 - percentile / 100)).alias("_cut"), F.count("*").alias("_n"))
+    d = scores.join(F.broadcast(cut))
     above = F.sum((F.col(score) > F.col("_cut")).cast("int")).over(Window.partitionBy(F.lit(0)))
     tie = F.row_number().over(Window.partitionBy(F.col(score) == F.col("_cut")).orderBy("feature"))
     room = F.floor(F.col("_n") * percentile / 100) - above

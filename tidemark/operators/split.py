@@ -10,10 +10,17 @@ from tidemark.functions.ranged import exact_percentiles, hash_rank
 
 def tertiles(df: DataFrame, value: str, name: str, q: int = 3) -> DataFrame:
     """Bins 0..q-1 at exact quantiles, closed on the right, the lowest value included."""
-    cuts = exact_percentiles(df, F.col(value), [k / q for k in range(1, q)]).select(*[F.get("q", F.lit(k - 1)).alias(f"_q{k}") for k in range(1, q)])
-    joined = df.join(F.broadcast(cuts))
-    bin_ = sum((F.col(value) > F.col(f"_q{k}") + 1e-9 * F.abs(F.col(f"_q{k}"))).cast("int") for k in range(1, q))
-    return joined.withColumn(name, bin_).drop(*[f"_q{k}" for k in range(1, q)])
+    return tertiles_of(df, {value: name}, q)
+
+
+def tertiles_of(df: DataFrame, names: dict[str, str], q: int = 3) -> DataFrame:
+    """The same for several columns (column: name of its bins), whose quantiles are found together."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(v).cast("double").alias("_v")) for v, n in names.items()])).alias("e")).select("e.*")
+    cuts = exact_percentiles(long, F.col("_v"), [k / q for k in range(1, q)], ["_name"])
+    row = cuts.agg(*[F.first(F.when(F.col("_name") == n, F.col("q")), ignorenulls=True).alias(f"_q_{n}") for n in names.values()])
+    above = lambda v, n: F.size(F.filter(f"_q_{n}", lambda c: F.col(v) > c + 1e-9 * F.abs(c)))
+    joined = df.join(F.broadcast(row))
+    return joined.withColumns({n: F.when(F.col(v).isNotNull(), above(v, n)) for v, n in names.items()}).drop(*[f"_q_{n}" for n in names.values()])
 
 
 def stratum(columns: list[str]):

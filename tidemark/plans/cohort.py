@@ -123,8 +123,7 @@ t as (select o_custkey, (a > a1 + 1e-9 * a1)::int + (a > a2 + 1e-9 * a2)::int as
 def _strata(spark, d):
     o = t.table(spark, d, "orders").withColumn("p", F.col("o_totalprice").cast("double"))
     s = o.groupBy("o_custkey").agg(F.sum("p").alias("a"), F.count("*").cast("double").alias("b"), F.max("p").alias("c"))
-    for c in "abc":
-        s = split.tertiles(s, c, f"t{c}")
+    s = split.tertiles_of(s, {c: f"t{c}" for c in "abc"})
     return s.withColumn("stratum", split.stratum(["ta", "tb", "tc"]))
 
 
