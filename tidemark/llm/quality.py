@@ -23,7 +23,7 @@ CONFIDENT = 0.02
 #: What a class's pseudo-labels weigh together, at most, as a share of its labels.
 PSEUDO_WEIGHT = 0.2
 #: Steps of one fit, at most, and its tolerance.
-STEPS, TOLERANCE = 50, 1e-6
+STEPS, TOLERANCE = 25, 1e-6
 #: Rows scored together.
 ROWS = 1000
 #: Slots for hashed words of the text.
