@@ -127,16 +127,23 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights and bias of a small logistic fit by Newton steps.
 
     Weights of the scaled columns are held back by a ridge: with few rows a column must be very telling to
-    count, with many the ridge doesn't matter.
+    count, with many the ridge doesn't matter. Targets are drawn in from 0 and 1 as if each class held one row
+    of the other, so that rows which a view tells apart without fault still have a best fit.
     """
+    good = y.sum()
+    y = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
     scale = np.where(x.std(0) > 0, x.std(0), 1.0)
     z = np.column_stack((x / scale, np.ones(len(x))))
     w, hold = np.zeros(z.shape[1]), ridge * np.append(np.ones(x.shape[1]), 1e-6)
+    loss = lambda v: (np.logaddexp(0, z @ v) - y * (z @ v)).sum() + (hold * v * v).sum() / 2
     for _ in range(50):
         p = _sigmoid(z @ w)
         h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(hold)
         step = np.linalg.solve(h, z.T @ (y - p) - hold * w)
-        w += step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+        size, now = 1.0, loss(w)
+        while size > 1e-9 and loss(w + size * step) > now:  # a whole step may overshoot where all chances are near 0 or 1
+            size /= 2
+        w += size * step
         if np.abs(step).max() < 1e-8:
             break
     w[:-1] = np.maximum(w[:-1], 0) / scale  # a view may say nothing, never the contrary
