@@ -362,6 +362,20 @@ def test_cotraining_against_a_twin_in_numpy(spark, monkeypatch):
     assert right("score") >= max(right("text_score"), right("meta_score")) - 0.01 and right("score") > 0.95
 
 
+def test_a_view_of_no_use_leaves_the_others_calibration_alone():
+    """A column that would get a weight below 0 is left out and the others and the bias are fitted without it."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(2000) < 0.85).astype(float)
+    telling = 2 * y - 1 + rng.normal(0, 0.7, 2000)
+    contrary = 1.75 - 0.01 * y + rng.normal(0, 0.01, 2000)
+    alone = quality._calibrate(telling[:, None], y)
+    both = quality._calibrate(np.column_stack((telling, contrary)), y)
+    assert both[1] == 0 and np.allclose(both[[0, 2]], alone)
+    assert np.array_equal(quality._calibrate(np.column_stack((contrary, telling)), y), both[[1, 0, 2]])
+    nothing = quality._calibrate(contrary[:, None], y)
+    assert nothing[0] == 0 and abs(quality._sigmoid(nothing[1]) - y.mean()) < 0.01
+
+
 def test_columns_named_like_the_classifiers_own_stay(spark):
     docs = spark.createDataFrame([(1, "some text", "en", "s", 9, "mine", "too")], "doc_id long, text string, lang string, source string, n_chars long, _quality string, _quality_ string")
     r = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int")).first()

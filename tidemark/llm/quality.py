@@ -124,12 +124,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias of a small logistic fit by Newton steps.
+    """Weights, none below 0, and bias of a small logistic fit by Newton steps.
 
     Weights of the scaled columns are held back by a ridge: with few rows a column must be very telling to
     count, with many the ridge doesn't matter. Targets are drawn in from 0 and 1 as if each class held one row
-    of the other, so that rows which a view tells apart without fault still have a best fit.
+    of the other, so that rows which a view tells apart without fault still have a best fit. A view may say
+    nothing, never the contrary: a column whose weight is below 0 is left out and the others, the bias too, are fitted anew.
     """
+    w = _fit(x, y, ridge)
+    if x.shape[1] and w[:-1].min() < 0:
+        worst = int(w[:-1].argmin())
+        w = np.insert(_calibrate(np.delete(x, worst, axis=1), y, ridge), worst, 0.0)
+    return w
+
+
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """The fit of _calibrate, weights of either sign."""
     good = y.sum()
     y = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
     scale = np.where(x.std(0) > 0, x.std(0), 1.0)
@@ -146,7 +156,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         w += size * step
         if np.abs(step).max() < 1e-8:
             break
-    w[:-1] = np.maximum(w[:-1], 0) / scale  # a view may say nothing, never the contrary
+    w[:-1] /= scale
     return w
 
 
