@@ -372,8 +372,9 @@ def test_a_view_of_no_use_leaves_the_others_calibration_alone():
     both = quality._calibrate(np.column_stack((telling, contrary)), y)
     assert both[1] == 0 and np.allclose(both[[0, 2]], alone)
     assert np.array_equal(quality._calibrate(np.column_stack((contrary, telling)), y), both[[1, 0, 2]])
-    nothing = quality._calibrate(contrary[:, None], y)
-    assert nothing[0] == 0 and abs(quality._sigmoid(nothing[1]) - y.mean()) < 0.01
+    for useless in (contrary, np.full(2000, 1.7), 1.7 + 1e-16 * rng.normal(size=2000), 1e6 * (1 + 1e-15 * rng.normal(size=2000))):
+        nothing = quality._calibrate(useless[:, None], y)
+        assert nothing[0] == 0 and abs(quality._sigmoid(nothing[1]) - y.mean()) < 0.01
 
 
 def test_columns_named_like_the_classifiers_own_stay(spark):

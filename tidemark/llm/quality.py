@@ -139,11 +139,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """The fit of _calibrate, weights of either sign."""
+    """The fit of _calibrate, weights of either sign; a column that is constant but for rounding gets none."""
     good = y.sum()
     y = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
-    z = np.column_stack((x / scale, np.ones(len(x))))
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-9 * (1 + np.abs(mean)), scale, np.inf)
+    z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
     w, hold = np.zeros(z.shape[1]), ridge * np.append(np.ones(x.shape[1]), 1e-6)
     loss = lambda v: (np.logaddexp(0, z @ v) - y * (z @ v)).sum() + (hold * v * v).sum() / 2
     for _ in range(50):
@@ -157,6 +158,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
         if np.abs(step).max() < 1e-8:
             break
     w[:-1] /= scale
+    w[-1] -= w[:-1] @ mean
     return w
 
 
