@@ -24,8 +24,8 @@ CONFIDENT = 0.02
 PSEUDO_WEIGHT = 0.2
 #: Steps of one fit, at most, and its tolerance.
 STEPS, TOLERANCE = 25, 1e-6
-#: Rows scored together.
-ROWS = 1000
+#: Rows scored together, and rows of a fit that one task holds.
+ROWS, FIT_ROWS = 1000, 20_000
 #: Slots for hashed words of the text.
 WORDS = 256
 #: Slots for hashed source and language names.
@@ -180,13 +180,14 @@ def featured(docs: DataFrame) -> DataFrame:
 
 
 def _logits(views: list[View]) -> Column:
-    """A struct of both views' logits, worked out in Spark."""
+    """A struct of both views' logits; a batch of rows is one matrix a view."""
 
-    def one(v: View, name: str) -> Column:
-        dot = F.aggregate(F.zip_with(f"{name}_x", F.array(*map(F.lit, v.weights.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(v.a) * (dot + F.lit(v.bias)) + F.lit(v.b))).alias(name)
+    @F.arrow_udf("text double, meta double")
+    def work(text: pa.Array, meta: pa.Array) -> pa.Array:
+        xs = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), len(v.weights)).astype(float) for v, c in zip(views, (text, meta))]
+        return pa.StructArray.from_arrays([pa.array(v.logit(x)) for v, x in zip(views, xs)], list(VIEWS))
 
-    return F.struct(*[one(v, n) for v, n in zip(views, VIEWS)])
+    return work(*[F.col(f"{v}_x") for v in VIEWS])
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_rows: int = LABELLED_ROWS) -> Model:
@@ -226,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
     taught, before = [], None
     for k in range(rounds):
         lessons: list[DataFrame | None] = [None, None]
+        more = [0, 0]
         if views:
             guessed = pool.withColumn("l", _logits(views))
             ends = guessed.agg(*[F.percentile_approx(f"l.{v}", F.array(F.lit(CONFIDENT), F.lit(1 - CONFIDENT)), F.lit(10_000)) for v in VIEWS]).first()
@@ -234,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
             if before == (ends, numbers):
                 break
             before = (ends, numbers)
+            given: list[Column] = []
             for t, v in enumerate(VIEWS):
                 said, weight = views[t].logit(xs[t]), {}
                 for (name, c), n in zip(chosen, numbers):
@@ -242,14 +245,18 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled_row
                         together = PSEUDO_WEIGHT * labelled[c] * max(0.0, 2 * (right.sum() + 1) / (len(right) + 2) - 1)
                         if n and together:
                             weight[c] = together / n
+                            more[1 - t] += n
                             taught.append((k, v, c, int(n), together))
-                if weight:
-                    guess = F.coalesce(*[F.when(chosen[v, c], float(c)) for c in weight])
-                    rows = guessed.withColumn("y", guess).where("y is not null")
-                    lessons[1 - t] = rows.withColumn("w", F.coalesce(*[F.when(F.col("y") == c, F.lit(w)) for c, w in weight.items()])).drop("l")
+                lesson = [F.when(chosen[v, c], F.struct(F.lit(float(c)).alias("y"), F.lit(float(w)).alias("w"))) for c, w in weight.items()]
+                given.append(F.coalesce(*lesson, F.lit(None).cast("struct<y:double,w:double>")).alias(f"{v}_says"))
+            # Written once: a fit then reads few small files in each step, not a task for each part of all documents.
+            told = materialize(guessed.select("text_x", "meta_x", *given).where("text_says is not null or meta_says is not null"), "lessons")
+            for t, v in enumerate(VIEWS):
+                lessons[1 - t] = told.where(f"{v}_says is not null").select("text_x", "meta_x", f"{v}_says.y", f"{v}_says.w")
         new = []
         for t, v in enumerate(VIEWS):
             rows = fit.unionByName(lessons[t]) if lessons[t] is not None else fit
+            rows = rows.coalesce(1 + (sums[0] + more[t]) // FIT_ROWS)  # each step is a job, whose tasks cost more than few rows
             m = learner.fit(rows.select(array_to_vector(F.col(f"{v}_x").cast("array<double>")).alias("x"), "y", "w"))
             view = View(np.asarray(m.coefficients), float(m.intercept))
             view.a, view.b = _calibrate((xs[t] @ view.weights + view.bias)[:, None], y).tolist()
