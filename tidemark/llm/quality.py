@@ -184,8 +184,9 @@ def _logits(views: list[View]) -> Column:
 
     @F.arrow_udf("text double, meta double")
     def work(text: pa.Array, meta: pa.Array) -> pa.Array:
-        xs = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), len(v.weights)).astype(float) for v, c in zip(views, (text, meta))]
-        return pa.StructArray.from_arrays([pa.array(v.logit(x)) for v, x in zip(views, xs)], list(VIEWS))
+        xs = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), len(v.weights)) for v, c in zip(views, (text, meta))]
+        parts = [[v.logit(x[k : k + ROWS].astype(float)) for k in range(0, len(x), ROWS)] for v, x in zip(views, xs)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *p])) for p in parts], list(VIEWS))
 
     return work(*[F.col(f"{v}_x") for v in VIEWS])
 
