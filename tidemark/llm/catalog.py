@@ -10,6 +10,7 @@ from tidemark.llm.quality import op8_cotrained_quality
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.rollups import op3_token_rollups
 from tidemark.llm.sharding import op10_feistel_sharding
+from tidemark.llm.spelling import op11_spelling_variants
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_cotrained_quality": op8_cotrained_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
