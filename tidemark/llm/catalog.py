@@ -11,6 +11,7 @@ from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.rollups import op3_token_rollups
 from tidemark.llm.sharding import op10_feistel_sharding
 from tidemark.llm.spelling import op11_spelling_variants
+from tidemark.llm.toplists import OP12_SQL, op12_nra_top_k
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -24,8 +25,10 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_feistel_sharding": op10_feistel_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_nra_top_k": op12_nra_top_k,
 }
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op12_nra_top_k": OP12_SQL,
 }
