@@ -6,6 +6,7 @@ from tidemark.llm.jaccard import OP9_SQL, op9_jaccard_join
 from tidemark.llm.media import op1_media_columns
 from tidemark.llm.packing import op2_harmonic_packing
 from tidemark.llm.pieces import op6_sentencepiece_scan
+from tidemark.llm.prefixtrie import OP13_SQL, op13_prefix_trie
 from tidemark.llm.quality import op8_cotrained_quality
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.rollups import op3_token_rollups
@@ -26,9 +27,11 @@ QUERIES = {
     "op10_feistel_sharding": op10_feistel_sharding,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_nra_top_k": op12_nra_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op12_nra_top_k": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
