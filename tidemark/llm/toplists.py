@@ -94,13 +94,14 @@ def top_rows(q: np.ndarray, x: np.ndarray, k: int) -> Best:
     size = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(width, 1)
     exact = size < _EXACT
     slack = 0.0 if exact else size * 2.0**-40  # bounds are rounded where products leave 53 bits
+    held = lambda b: b if exact else np.clip(b, _LOW, _HIGH)  # noqa: E731  as the scores are
     signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)]).astype(float)
     at, leaf = 0, FIRST_LEAF
     while at < len(x):
         lists = Lists(x[at : at + leaf].astype(float))
         n = len(lists.x)
         bounds = [lists.read(min(n, max(1, round(n * share)))) for share in DEPTHS]
-        reach = signed @ np.concatenate(lists.heads()) + slack >= best.least
+        reach = held(signed @ np.concatenate(lists.heads()) + slack) >= best.least
         for a in range(0, len(q), TOGETHER):
             mine = a + np.flatnonzero(reach[a : a + TOGETHER])
             if not len(mine):
@@ -109,8 +110,8 @@ def top_rows(q: np.ndarray, x: np.ndarray, k: int) -> Best:
             open_ = np.ones((len(mine), n), bool)
             for upper, lower in bounds:
                 if n > k:
-                    least = np.maximum(least, np.partition(signed[mine] @ lower.T, n - k, axis=1)[:, n - k] - slack)
-                open_ &= signed[mine] @ upper.T + slack >= least[:, None]
+                    least = np.maximum(least, held(np.partition(signed[mine] @ lower.T, n - k, axis=1)[:, n - k] - slack))
+                open_ &= held(signed[mine] @ upper.T + slack) >= least[:, None]
                 if open_.mean() <= FEW:
                     break
             i, j = np.nonzero(open_)
