@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one document chunk, at most; a chunk is what one task holds at a time.
 CHUNK_ROWS = 2048
 #: Bytes of text that a chunk holds at most, if it holds more than one row.
 CHUNK_BYTES = 1 << 26
-#: Rows whose sizes are summed to find out how many make a chunk.
-_BLOCK = 64
+#: Places where heavy chunks are cut that are broadcast, at most (16 MB); more are joined by a shuffle.
+MOST_CUTS = 1 << 20
 _kept: set[str] = set()
 
 
@@ -68,29 +68,45 @@ def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 class Chunks:
     """Documents in chunks: rows has doc_id, text as UTF-8 bytes, and a stable address: chunk (a run of rows of one
-    file) and row within the file. size: UTF-8 bytes of all texts. count: about how many chunks there are.
+    file) and row within the file. size: UTF-8 bytes of all texts. count: how many chunks there are, about.
 
     The address comes from the Parquet reader, so a lost task that is run again finds the same chunks.
-    Frames that are no plain scan are written to the shared folder first. A chunk has `most` rows, or
-    fewer where so many rows could hold more than CHUNK_BYTES (one row at least).
+    Frames that are no plain scan are written to the shared folder first. A chunk is a run of `most` rows; a
+    run whose texts hold more than `most_bytes` is cut into several chunks where its sum of bytes reaches
+    that, and a text of more than half of it is a chunk of its own. Other runs stay as they are.
     """
 
-    def __init__(self, docs: DataFrame, most: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES):
-        picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")]
-        try:
-            docs.select(*address(most), *picked).schema  # noqa: B018  resolves the columns
-        except AnalysisException:
-            docs = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "documents")
-        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        block = min(_BLOCK, most)
-        sizes = docs.select(file.alias("file"), F.floor(row / F.lit(block)).alias("block"), F.octet_length("text").cast("long").alias("bytes"))
-        sizes = sizes.groupBy("file", "block").agg(F.sum("bytes").alias("bytes")).groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count("*").alias("n"))
-        total, largest, blocks, files = sizes.agg(F.sum("bytes"), F.max("most"), F.sum("n"), F.count("*")).first()
-        n = most
-        while n > 1 and (largest or 0) * n > most_bytes * block:
-            n //= 2
-        self.size, self.count = int(total or 0), (blocks or 0) * block // n + files
-        self.rows = docs.select(*address(n), *picked)
+    def __init__(self, docs: DataFrame, most: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES, columns: tuple[str, ...] = ("doc_id", "text")):
+        self.docs, self.most, half = scanned(docs, list(columns)), most, most_bytes // 2
+        file, row = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        sizes = self.docs.select(file, row, F.floor(F.col("_metadata.row_index") / F.lit(most)).alias("_run"), F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("_bytes"))
+        run_bytes = sizes.groupBy("_file", "_run").agg(F.sum("_bytes").alias("_sum"))
+        heavy = F.col("_sum") > most_bytes
+        total, runs, many = run_bytes.agg(F.sum("_sum"), F.count("*"), F.count_if(heavy)).first()
+        self.size, self.count, self.cuts, self.cut_rows = int(total or 0), runs, None, 0
+        if many:
+            along = Window.partitionBy("_file", "_run").orderBy("_row")
+            cell = F.floor((F.sum("_bytes").over(along) - F.col("_bytes")) / half)
+            marked = sizes.join(run_bytes.where(heavy), ["_file", "_run"], "left_semi").withColumns({"_cell": cell, "_big": F.col("_bytes") > half})
+            new = (F.col("_cell") != F.lag("_cell").over(along)) | F.col("_big") | F.lag("_big").over(along)
+            cuts = marked.withColumn("_new", new).where("_new").groupBy("_file", "_run").agg(F.sort_array(F.collect_list("_row")).alias("_cuts"))  # `most` at most
+            self.cuts = materialize(cuts, "cuts")
+            self.cut_rows = self.cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0
+            self.count += self.cut_rows
+        self.rows = self.addressed(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+    def addressed(self, *columns: Column | str, prefix: str = "") -> DataFrame:
+        """Columns of all documents after their chunk and row."""
+        chunk, row = f"{prefix}chunk", f"{prefix}row"
+        if self.cuts is None:
+            return self.docs.select(*address(self.most, prefix), *columns)
+        at = F.col("_metadata.row_index")
+        rows = self.docs.select(F.xxhash64("_metadata.file_path", F.floor(at / F.lit(self.most))).alias(chunk), at.alias(row), *columns, F.col("_metadata.file_path").alias("_file"), F.floor(at / F.lit(self.most)).alias("_run"))
+        few = self.cut_rows <= MOST_CUTS
+        joined = rows.join(F.broadcast(self.cuts) if few else self.cuts, ["_file", "_run"], "left")
+        place = F.size(F.filter("_cuts", lambda c: c <= F.col(row)))
+        out = joined.withColumn(chunk, F.when(F.col("_cuts").isNull() | (place == 0), F.col(chunk)).otherwise(F.xxhash64(chunk, place))).drop("_file", "_run", "_cuts")
+        return out if few else out.repartition(chunk).sortWithinPartitions(chunk, row)
 
 
 def power_of_two(x: float, least: int = 1) -> int:

@@ -294,7 +294,7 @@ def _rest_links(rest: DataFrame, classes: DataFrame, percent: int, block: int) -
     return full.groupBy("token", "i", "j").applyInPandas(_check_blocks(percent), "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, block: int = BLOCK) -> DataFrame:
+def jaccard_groups(docs: DataFrame | Chunks, percent: int = PERCENT, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, block: int = BLOCK) -> DataFrame:
     """Every document with its shingle-set size and the smallest doc_id reachable by links.
 
     Sets: distinct 5-word shingles after lower-casing A-Z; a text of fewer words is one shingle; no words,
@@ -307,7 +307,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, buck
     not read. Also returned: chunk, row (the document's address) and label, which is the component's
     own whatever its doc_ids (null: no words).
     """
-    chunks = Chunks(docs)
+    chunks = Chunks(docs) if isinstance(docs, DataFrame) else docs
     pieces, bits = chunks.rows, power_of_two(chunks.size / bucket_bytes).bit_length() - 1
     asked = pieces.mapInArrow(_ask(bits), "chunk long, first_row long, n_rows int, bucket int, keys binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(hot), "chunk long, first_row long, n_rows int, bucket int, kinds binary"), "answers")

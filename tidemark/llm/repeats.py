@@ -196,7 +196,7 @@ def _remove(window: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame | Chunks, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Remove each word covered by a window of `window` words whose sequence also starts earlier in the corpus.
 
     1. Reference blocks of window/2 words lie back to back in every document; every rolling window of
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     their address. An empty table gives an empty result; other columns are not read.
     """
     block = window // 2
-    chunks = Chunks(docs)
+    chunks = Chunks(docs) if isinstance(docs, DataFrame) else docs
     pieces, bits = chunks.rows, power_of_two(chunks.size / bucket_bytes).bit_length() - 1
     probes = pieces.mapInArrow(_probe(block, bits), "chunk long, first_row long, n_rows int, bucket int, keys binary, flags binary")
     hits = materialize(probes.groupBy("bucket").applyInArrow(_hits, "chunk long, first_row long, n_rows int, bucket int, mask binary, n int"), "hits")

@@ -1,12 +1,14 @@
 """Word hashes of many texts at once, in numpy.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit polynomials over the
-bytes, taken from one prefix sum: (P[end] - P[start]) / r**start modulo 2**64, then mixed. Two different
-words (or windows) share a hash with a chance of about 2**-64 a pair.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its 64-bit hash takes in eight bytes at a
+time, each time through a bijective finalizer; words of more than LONG bytes get BLAKE2b. The hash of a
+window is a tree over its words' hashes, each node finalized. No step is linear in the text, so no family
+of texts shares hashes by its form; two given words or windows share one with a chance of about 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +18,6 @@ import pyarrow as pa
 PIECE = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_R = 0x9E3779B97F4A7C15 | 1
-_Q = 0xD1B54A32D192ED03 | 1
-
-
-def _splitmix(n: int) -> np.ndarray:
-    x = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    return mix(x)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -35,32 +28,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = _splitmix(256)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown when needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
-        return self.up, self.down
+#: Bytes of the longest word that is hashed eight bytes at a time.
+LONG = 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
 
-_BYTES, _WORDS = _Powers(_R), _Powers(_Q)
+def _of_words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    eight = np.ndarray(len(part), "<u8", np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))  # eight bytes from each byte on
+    h = size.astype(np.uint64) * _A
+    rest, at = np.arange(len(size)), 0
+    while len(rest):
+        left = size[rest] - at
+        h[rest] = mix((h[rest] ^ (eight[starts[rest] + at] & _FIRST[np.minimum(left, 8)])) * _B + _C)
+        rest, at = rest[left > 8], at + 8
+        if at == LONG:
+            for k in rest.tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(part[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+            break
+    return h
 
 
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +109,16 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each text's number of words. lower: A-Z count as a-z."""
-    table, hashes = (_LOWER if lower else _BYTE), []
+    hashes = []
     counts = np.zeros(len(offsets) - 1, np.int64)
     for a, b in _pieces(data, offsets):
         i, j = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
-        part = data[a:b]
+        part = _LOWER[data[a:b]] if lower else data[a:b]
         inner = np.clip(offsets[i : j + 1] - a, 0, b - a)
         starts, ends, n = spans(part, inner)
         counts[i:j] += n
         if len(starts):
-            up, down = _BYTES.get(len(part))
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(table[part] * up[: len(part)], out=total[1:])
-            hashes.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+            hashes.append(_of_words(part, starts, ends))
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
 
 
@@ -144,10 +130,19 @@ def windows(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     ends = np.cumsum(counts)
     left = np.repeat(ends, counts) - np.arange(total)  # words of the text from here on
     starts = np.flatnonzero(left >= n)
-    up, down = _WORDS.get(total)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(hashes * up[:total], out=sums[1:])
-    return mix((sums[starts + n] - sums[starts]) * down[starts]), starts
+    tree, whole = hashes, None  # tree: hashes of 2**k words from each word on
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            whole = tree if whole is None else _pair(tree, whole, 1 << k)  # the larger part comes first
+        if n >> k + 1:
+            tree = _pair(tree, tree, 1 << k)
+    return mix(whole[starts] + np.uint64(n)), starts
+
+
+def _pair(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    """A hash of left[i] and right[i + gap], as far as both exist."""
+    size = max(0, min(len(left), len(right) - gap))
+    return mix(left[:size] * _A + right[gap : gap + size] + _B)
 
 
 def runs(batches, key: str = "chunk") -> Iterator[pa.Table]:
