@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import address, materialize, read_table, scanned
+from tidemark.llm.common import Chunks, materialize, read_table
 from tidemark.llm.jaccard import jaccard_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import classify
@@ -33,11 +33,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Among equal doc_ids the row's address decides. Rows without words are in no group: those without a
     doc_id stay, others as one for each doc_id and text.
     """
-    docs = scanned(docs, COLUMNS)
-    grouped = jaccard_groups(docs).where("label is not null")
+    chunks = Chunks(docs, columns=tuple(COLUMNS))
+    docs = chunks.docs
+    grouped = jaccard_groups(chunks).where("label is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "row")).alias("m")
     chosen = grouped.groupBy("label").agg(first).select(F.col("m.chunk").alias("_chunk"), F.col("m.row").alias("_row"))
-    rows = docs.select(*COLUMNS, *address(prefix="_")).join(chosen, ["_chunk", "_row"], "left_semi")
+    rows = chunks.addressed(*COLUMNS, prefix="_").join(chosen, ["_chunk", "_row"], "left_semi")
     wordless = docs.where(F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*\z"), F.lit(True)))
     named = wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return rows.select(*COLUMNS).unionByName(named).unionByName(wordless.where("doc_id is null"))
@@ -51,9 +52,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays, a null doc_id being smallest and equal ones in the order of their rows. Null and empty texts
     stay as they are; no documents give none.
     """
-    docs = scanned(docs, COLUMNS)
-    changed = remove_repeats(docs).where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("kept_text").alias("_kept"))
-    joined = docs.select(*COLUMNS, *address(prefix="_")).join(materialize(changed, "changed"), ["_chunk", "_row"], "left")
+    chunks = Chunks(docs, columns=tuple(COLUMNS))
+    changed = remove_repeats(chunks).where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("kept_text").alias("_kept"))
+    joined = chunks.addressed(*COLUMNS, prefix="_").join(materialize(changed, "changed"), ["_chunk", "_row"], "left")
     text = F.coalesce("_kept", "text")
     rows = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
     return rows.where("_kept is null or _kept != ''").select(*COLUMNS)
