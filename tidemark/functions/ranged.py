@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import folder
+
 #: Ranges of one group.
 PARTS = 64
+#: Values of a group that one aggregate holds.
+HELD = 1 << 16
 
 
 def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -37,22 +43,89 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     return out.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_b_{c}") for c in sums}).drop("_part", "_one", *[f"_b_{c}" for c in sums])
 
 
-def exact_percentiles(df: DataFrame, value: Column, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """by, and q: the exact percentiles at shares, on the line between neighbours; nulls don't count.
+def ordered_bits(value: Column) -> Column:
+    """The bits of doubles as longs that have their order (-0.0 as 0.0, NaN last)."""
+
+    @F.pandas_udf("long")
+    def bits(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(np.float64) + 0.0
+        return pd.Series(_flipped(np.where(np.isnan(x), np.nan, x).view(np.int64)))
+
+    return bits(value)
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    @F.pandas_udf("double")
+    def value(b: pd.Series) -> pd.Series:
+        return pd.Series(_flipped(b.to_numpy(np.int64)).view(np.float64))
+
+    return value(bits)
+
+
+def _flipped(b: np.ndarray) -> np.ndarray:
+    return b ^ (b >> 63 & np.int64((1 << 63) - 1))
+
+
+def order_statistics(bits: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """by, _rank, _v: the values of the wanted (by, _rank from 0) among (by, _bits), by radix selection.
+
+    Each of four passes counts the next 16 bits of what agrees with a wanted value so far, so a group and
+    value never take more than 65,536 counts, however many rows or different values there are.
+    """
+    found = wanted.select(*by, "_rank", F.lit(0).cast("long").alias("_below"), F.lit(0).cast("long").alias("_prefix"))
+    for shift in (48, 32, 16, 0):
+        digits = bits.select(*by, F.shiftright("_bits", shift).alias("_next"))
+        if shift < 48:
+            digits = joined(digits.withColumn("_prefix", F.shiftright("_next", 16)), found.select(*by, "_prefix").distinct(), [*by, "_prefix"])
+        else:
+            digits = digits.withColumn("_prefix", F.lit(0).cast("long"))
+        counts = digits.groupBy(*by, "_prefix", "_next").agg(F.count("*").alias("_c"))
+        along = Window.partitionBy(*by, "_prefix").orderBy("_next")
+        counts = counts.withColumn("_upto", F.sum("_c").over(along))
+        place = joined(found, counts, [*by, "_prefix"])
+        at = F.col("_rank") - F.col("_below")
+        hit = place.where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c")))
+        found = hit.select(*by, "_rank", (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"), F.col("_next").alias("_prefix"))
+        if shift:
+            path = folder(bits.sparkSession, "ranks")
+            found.write.parquet(path)
+            found = bits.sparkSession.read.schema(found.schema).parquet(path)
+    return found.select(*by, "_rank", from_ordered_bits(F.col("_prefix")).alias("_v"))
+
+
+def exact_percentiles(df: DataFrame, value: Column, shares: list[float], by: list[str] | None = None, held: int = HELD) -> DataFrame:
+    """by, and q: the exact percentiles at shares, on the line between neighbours; nulls don't count.  Groups without values have no row.
 
-    Equal values are counted first; a place in the order is then found from running sums.
+    Groups of up to `held` values are aggregated as they are. The values of larger ones are found by
+    radix selection (order_statistics) in the order of their bits, which are written once.
     """
     by = list(by or [])
-    counts = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    run = running_sums(counts, "_v", ["_c"], by)
-    ends = []
-    for s in shares:
-        at = (F.col("all__c") - 1) * F.lit(float(s))
-        hit = lambda i: F.max(F.when((F.col("below__c") <= i) & (i < F.col("below__c") + F.col("_c")), F.col("_v")))
-        ends += [hit(F.floor(at)), hit(F.ceil(at)), F.max(at - F.floor(at))]
-    row = run.groupBy(*by).agg(*[e.alias(f"_e{k}") for k, e in enumerate(ends)])
-    one = lambda k: F.when(F.col(f"_e{k}") == F.col(f"_e{k + 1}"), F.col(f"_e{k}")).otherwise(F.col(f"_e{k}") * (1 - F.col(f"_e{k + 2}")) + F.col(f"_e{k + 1}") * F.col(f"_e{k + 2}"))
-    return row.select(*by, F.array(*[one(3 * k) for k in range(len(shares))]).alias("q"))
+    v = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    sizes = v.groupBy(*by).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    plain = lambda rows: rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).where("q is not null")
+    if most <= held:
+        return plain(v)
+    large = sizes.where(F.col("_n") > held).withColumn("_large", F.lit(True))
+    if by:
+        known = large.withColumnsRenamed({c: f"_r_{c}" for c in by}).drop("_n")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by])
+        told = v.join(known, same, "left").drop(*[f"_r_{c}" for c in by])
+    else:
+        told = v.withColumn("_large", F.lit(True))
+    path = folder(df.sparkSession, "bits")
+    told.where("_large").select(*by, ordered_bits(F.col("_v")).alias("_bits")).write.parquet(path)
+    bits = df.sparkSession.read.schema(told.select(*by, F.lit(0).cast("long").alias("_bits")).schema).parquet(path)
+    at = lambda s: (F.col("_n") - 1) * F.lit(float(s))
+    ends = F.array_distinct(F.array(*[f(at(s)).cast("long") for s in shares for f in (F.floor, F.ceil)]))
+    values = order_statistics(bits, large.select(*by, F.explode(ends).alias("_rank")), by)
+    maps = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    row = joined(large, maps, by) if by else large.crossJoin(F.broadcast(maps))
+    part = lambda s: at(s) - F.floor(at(s))
+    end = lambda s, f: F.element_at("_m", f(at(s)).cast("long"))
+    q = F.array(*[F.when(part(s) == 0, end(s, F.floor)).otherwise(end(s, F.floor) * (1 - part(s)) + end(s, F.ceil) * part(s)) for s in shares])
+    out = row.select(*by, q.alias("q"))
+    return out.unionByName(plain(told.where("_large is null"))) if by else out
 
 
 def hash_rank(df: DataFrame, key: str, salt: Column, by: list[str], name: str) -> DataFrame:

@@ -13,7 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import col
+from tidemark.functions import DAY, col
+
+
+#: Microseconds of time that one bucket covers where nothing else is asked for.
+BUCKET_US = DAY
+
+
+def time_bucket(time: str | Column, width: int = BUCKET_US) -> Column:
+    return F.floor(col(time) / width)
 
 
 @dataclass(frozen=True)
@@ -48,6 +56,10 @@ def highest(value: str | Column, own: bool = True) -> Running:
     return Running("max", col(value), False, own)
 
 
+def lowest(value: str | Column, own: bool = True) -> Running:
+    return Running("min", col(value), False, own)
+
+
 def mixed(value: str | Column, own: bool = True) -> Running:
     """Bitwise exclusive or up to the row."""
     return Running("xor", col(value), False, own)
@@ -93,3 +105,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, colum
     down = inside.orderBy(F.col("_edge").desc(), *[F.col(o).desc() for o in order])
     found = {n: c.over(F.col(f"_v_{n}"), (down if c.ahead else up).rowsBetween(Window.unboundedPreceding, 0 if c.own else -1)) for n, c in columns.items()}
     return out.withColumns(found).where("_edge = 0").drop("_bucket", "_edge", *[f"_v_{n}" for n in columns])
+
+
+def with_halo(df: DataFrame, time: str, reach: int, width: int = BUCKET_US) -> DataFrame:
+    """Rows in their bucket of time (_bucket), and again (_halo true) in the next one whose start they reach.
+
+    A frame that looks back by less than `reach` finds all its rows within (key, _bucket).
+    """
+    width = max(width, reach)
+    own, later = F.floor(F.col(time) / width), F.floor((F.col(time) + reach) / width)
+    places = df.withColumn("_bucket", F.explode(F.when(later > own, F.array(own, later)).otherwise(F.array(own))))
+    return places.withColumn("_halo", ~F.col("_bucket").eqNullSafe(own))

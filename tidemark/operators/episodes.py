@@ -1,30 +1,31 @@
-"""Runs, episodes, sessions and rolling fractions of ordered series."""
+"""Runs, episodes, sessions and rolling fractions of ordered series; a key may hold any share of the rows (functions.scan)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scan import BUCKET_US, previous, scan, time_bucket, total, with_halo
 
-def _upto(key: str, order: list[str]):
-    return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-
-def run_ids(df: DataFrame, key: str, order: list[str], value: str, name: str = "run") -> DataFrame:
+def run_ids(df: DataFrame, key: str, order: list[str], value: str, name: str = "run", bucket_us: int = BUCKET_US) -> DataFrame:
     """Numbers the runs of equal values (nulls are equal) of each key from 1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    changed = df.withColumn("_new", (first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    return changed.withColumn(name, F.sum("_new").over(_upto(key, order))).drop("_new")
+    seen = scan(df, [key], order, time_bucket(order[0], bucket_us), {"_before": previous(value)})
+    changed = F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col(f"_before.{value}"))
+    return scan(seen.withColumn("_new", changed.cast("int")), [key], order, time_bucket(order[0], bucket_us), {name: total("_new")}).drop("_new", "_before")
+
 
+def outside_episodes(df: DataFrame, key: str, order: list[str], flag: str, step_us: int, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Maximal runs of a true flag: start is the time before the run (or one step earlier), end its last time.
 
-def outside_episodes(df: DataFrame, key: str, order: list[str], flag: str, step_us: int) -> DataFrame:
-    """Maximal runs of a true flag: start is the time before the run (or one step earlier), end its last time."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = order[0]
-    before = df.withColumn("_before", F.coalesce(F.lag(t).over(w), F.col(t) - step_us))
-    runs = run_ids(before, key, order, flag).where(F.col(flag))
-    return runs.groupBy(key, "run").agg(F.min("_before").alias("start_us"), F.max(t).alias("end_us"), F.count("*").alias("n")).withColumn("duration_us", F.col("end_us") - F.col("start_us"))
+    A run's first row is one whose flag is true and that of the row before isn't; rows count their run's first ones.
+    """
+    t, bucket = order[0], time_bucket(order[0], bucket_us)
+    seen = scan(df, [key], order, bucket, {"_before": previous(t, flag)})
+    changed = F.col("_before").isNull() | ~F.col(flag).eqNullSafe(F.col(f"_before.{flag}"))
+    start = F.coalesce(F.col(f"_before.{t}"), F.col(t) - step_us)
+    runs = scan(seen.withColumns({"_new": changed.cast("int"), "_start": start}), [key], order, bucket, {"run": total("_new")}).where(F.col(flag))
+    return runs.groupBy(key, "run").agg(F.min("_start").alias("start_us"), F.max(t).alias("end_us"), F.count("*").alias("n")).withColumn("duration_us", F.col("end_us") - F.col("start_us"))
 
 
 def episode_stats(episodes: DataFrame, key: str, duration: str, recorded_us: DataFrame | None = None) -> DataFrame:
@@ -36,21 +37,21 @@ def episode_stats(episodes: DataFrame, key: str, duration: str, recorded_us: Dat
     return out
 
 
-def sessionize(df: DataFrame, key: str, order: list[str], gap_us: int, value: str | None = None, name: str = "cluster") -> DataFrame:
+def sessionize(df: DataFrame, key: str, order: list[str], gap_us: int, value: str | None = None, name: str = "cluster", bucket_us: int = BUCKET_US) -> DataFrame:
     """Clusters, from 0: a new one after a gap of more than gap_us, or where value is null."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = order[0]
-    new = F.coalesce(F.col(t) - F.lag(t).over(w) > gap_us, F.lit(False))
+    t, bucket = order[0], time_bucket(order[0], bucket_us)
+    new = F.coalesce(F.col(t) - F.col(f"_before.{t}") > gap_us, F.lit(False))
     if value:
         new = new | F.col(value).isNull()
-    return df.withColumn("_new", new.cast("int")).withColumn(name, F.sum("_new").over(_upto(key, order))).drop("_new")
+    seen = scan(df, [key], order, bucket, {"_before": previous(t)}).withColumn("_new", new.cast("int"))
+    return scan(seen, [key], order, bucket, {name: total("_new")}).drop("_new", "_before")
 
 
-def rolling_inside(df: DataFrame, keys: list[str], time: str, out: str, window_us: int, least: int) -> DataFrame:
+def rolling_inside(df: DataFrame, keys: list[str], time: str, out: str, window_us: int, least: int, bucket_us: int = BUCKET_US) -> DataFrame:
     """Share inside over (t - window, t] within keys, where at least `least` rows count."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-window_us + 1, 0)
-    rolled = df.withColumns({"n": F.count(out).over(w), "frac_in": 1 - F.avg(F.col(out).cast("double")).over(w)})
-    return rolled.where(F.col("n") >= least)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(time).rangeBetween(-window_us + 1, 0)
+    rolled = with_halo(df, time, window_us, bucket_us).withColumns({"n": F.count(out).over(w), "frac_in": 1 - F.avg(F.col(out).cast("double")).over(w)})
+    return rolled.where((F.col("n") >= least) & ~F.col("_halo")).drop("_bucket", "_halo")
 
 
 def by_elapsed(df: DataFrame, start: DataFrame, key: str, time: str, flag: str, step_us: int) -> DataFrame:
@@ -75,7 +76,7 @@ def time_to_first(labels: DataFrame, recordings: DataFrame, key: str, columns: l
     return joined.select(key, value.alias("seconds_to_first"))
 
 
-def trajectories(df: DataFrame, key: str, order: list[str], state: str, values: dict[str, Column]) -> DataFrame:
+def trajectories(df: DataFrame, key: str, order: list[str], state: str, values: dict[str, Column], bucket_us: int = BUCKET_US) -> DataFrame:
     """One row a run of equal states: the state, its extent and aggregates."""
-    runs = run_ids(df, key, order, state)
+    runs = run_ids(df, key, order, state, bucket_us=bucket_us)
     return runs.groupBy(key, "run").agg(F.first(state).alias(state), F.min(order[0]).alias("start_us"), F.max(order[0]).alias("end_us"), *[a.alias(n) for n, a in values.items()])

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scan import BUCKET_US, following, highest, last, previous, scan, time_bucket, total
 
-def change_points(points: DataFrame, key: str, time: str, value: str, end: Column | None = None) -> DataFrame:
+
+def change_points(points: DataFrame, key: str, time: str, value: str, end: Column | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """Change points become intervals [start_us, end_us) with their value; the last one ends at `end` (or at itself)."""
-    w = Window.partitionBy(key).orderBy(time)
-    last = end if end is not None else F.col(time)
-    return points.select(key, F.col(time).alias("start_us"), F.coalesce(F.lead(time).over(w), last).alias("end_us"), F.col(value).alias("value"))
+    ends = end if end is not None else F.col(time)
+    ahead = scan(points, [key], [time], time_bucket(time, bucket_us), {"_after": following(time)})
+    return ahead.select(key, F.col(time).alias("start_us"), F.coalesce(F.col(f"_after.{time}"), ends).alias("end_us"), F.col(value).alias("value"))
 
 
-def subtract(valid: DataFrame, bad: DataFrame, key: str = "subject_id") -> DataFrame:
+def subtract(valid: DataFrame, bad: DataFrame, key: str = "subject_id", bucket_us: int = BUCKET_US) -> DataFrame:
     """Parts of valid intervals (key, segment, start_us, end_us) that no bad interval (key, start_us, end_us) covers.
 
     Overlapping valid segments go to the earliest one: each is cut back to what lies after the latest end
     before it. Then one sweep over each key's boundaries: the number of open bad intervals is a running
-    sum, the segment at hand is carried along. No pair of intervals is formed; no piece is empty.
+    sum, the segment at hand is carried along. No pair of intervals is formed; no piece is empty. Sweeps go
+    bucket by bucket of time, so a key may hold any share of the rows.
     """
-    before = Window.partitionBy(key).orderBy("start_us", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    own = valid.where("end_us > start_us").select(key, "segment", F.greatest("start_us", F.coalesce(F.max("end_us").over(before), F.col("start_us"))).alias("start_us"), "end_us")
+    seen = scan(valid.where("end_us > start_us").select(key, "segment", "start_us", "end_us"), [key], ["start_us", "segment"], time_bucket("start_us", bucket_us), {"_before": highest("end_us", own=False)})
+    own = seen.select(key, "segment", F.greatest("start_us", F.coalesce("_before", "start_us")).alias("start_us"), "end_us")
     none = F.lit(None).cast(valid.schema["segment"].dataType)
     point = lambda t, d, begins, segment: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"), F.lit(begins).alias("begins"), segment.alias("segment"))
     steps = own.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 0, 1, F.col("segment")), point("end_us", 0, 0, none))).alias("e"))
     steps = steps.unionByName(bad.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 1, None, none), point("end_us", -1, None, none))).alias("e")))
     # at one time a beginning overrides an end
     net = steps.groupBy(key, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"), F.max("e.begins").alias("begins"), F.max("e.segment").alias("segment"))
-    w = Window.partitionBy(key).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = F.last(F.when(F.col("begins").isNotNull(), F.struct("begins", "segment")), ignorenulls=True).over(upto)
-    swept = net.select(key, F.col("t").alias("start_us"), F.lead("t").over(w).alias("end_us"), F.sum("d").over(upto).alias("bad"), state.alias("s"))
+    begun = F.when(F.col("begins").isNotNull(), F.struct("begins", "segment"))
+    swept = scan(net, [key], ["t"], time_bucket("t", bucket_us), {"_after": following("t"), "bad": total("d"), "s": last(begun)})
+    swept = swept.select(key, F.col("t").alias("start_us"), F.col("_after.t").alias("end_us"), "bad", "s")
     owned = swept.where("s.begins = 1 and bad = 0 and end_us > start_us").select(key, "s.segment", "start_us", "end_us")
-    v = Window.partitionBy(key, "segment").orderBy("start_us")
-    new = owned.withColumn("_new", F.when(F.lag("end_us").over(v) == F.col("start_us"), 0).otherwise(1))
-    grouped = new.withColumn("_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    along = ([key, "segment"], ["start_us"], time_bucket("start_us", bucket_us))
+    new = scan(owned, *along, {"_before": previous("end_us")}).withColumn("_new", (~F.col("_before.end_us").eqNullSafe(F.col("start_us"))).cast("int"))
+    grouped = scan(new.drop("_before"), *along, {"_run": total("_new")})
     return grouped.groupBy(key, "segment", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_run")
 
 
@@ -64,8 +66,8 @@ def assign(points: DataFrame, segments: DataFrame, key: str = "subject_id", buck
     return first.select(*[c for c in points.columns if c != "_bucket"], "_s.segment", "_s.start_us", "_s.end_us")
 
 
-def overlapping(segments: DataFrame, key: str = "subject_id") -> DataFrame:
+def overlapping(segments: DataFrame, key: str = "subject_id", bucket_us: int = BUCKET_US) -> DataFrame:
     """key, segments, overlaps: how many segments end after the next one starts."""
-    w = Window.partitionBy(key).orderBy("start_us", "segment")
-    flagged = segments.withColumn("_late", F.col("end_us") > F.lead("start_us").over(w))
+    ahead = scan(segments.select(key, "segment", "start_us", "end_us"), [key], ["start_us", "segment"], time_bucket("start_us", bucket_us), {"_after": following("start_us")})
+    flagged = ahead.withColumn("_late", F.col("end_us") > F.col("_after.start_us"))
     return flagged.groupBy(key).agg(F.count("*").alias("segments"), F.count_if("_late").alias("overlaps"))
