@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import array_mean, array_std
 from tidemark.functions.ranged import exact_percentiles, joined
+from tidemark.operators.pca import by_variance as pca_by_variance  # noqa: F401
 
 
 def align_variables(vectors: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
@@ -113,20 +112,6 @@ def power_transform(df: DataFrame, value: str, lam: float, name: str) -> DataFra
     return t.join(F.broadcast(s)).withColumn(name, F.try_divide(F.col("_t") - F.col("_m"), F.col("_s"))).drop("_t", "_m", "_s")
 
 
-def pca_by_variance(train: DataFrame, test: DataFrame, x: str = "x", variance: float = 0.95, max_k: int = 5000) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Both frames projected on the fewest components of the training rows that explain more than `variance`."""
-    first = train.select(F.size(x).alias("d")).first()
-    d, n = first["d"], train.count()
-    k = min(n, d, max_k)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(train.select(array_to_vector(F.col(x)).alias("_v")))
-    vec = lambda df: centred.transform(df.withColumn("_v", array_to_vector(F.col(x))))
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(vec(train))
-    shares = list(model.explainedVariance)
-    keep = next((i + 1 for i, c in enumerate(np.cumsum(shares)) if c > variance), k)
-    cut = lambda df: model.transform(vec(df)).withColumn(x, F.slice(vector_to_array("_p"), 1, keep)).drop("_v", "_c", "_p")
-    return cut(train), cut(test), [float(s) for s in shares[:keep]]
-
-
 def lag_list(length: int, step: int) -> list[int]:
     """Multiples of step below the length in size, without the highest when it would be the last sample's."""
     lags = list(range(-((length - 1) // step) * step, length - 1, step))

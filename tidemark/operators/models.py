@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranged import running_sums
+from tidemark.operators.neighbours import knn_join  # noqa: F401
 from tidemark.operators.split import group_kfold
 
 
@@ -167,46 +168,6 @@ def holdout_confusion(df: DataFrame, kind: str, group: str, x: str, y: str, seed
     return confusion(scored(model, data.where("fold = 1")).withColumn("_y", F.col("_y").cast("int")), "_y", "yhat").withColumnRenamed("_y", "y")
 
 
-def knn_join(queries: DataFrame, train: DataFrame, qid: str, tid: str, x: str, y: str, k: int, block_rows: int = 4096, tcol: str | None = None) -> DataFrame:
-    """qid, tid, distance, rank, label: each query's k nearest training vectors, exactly.
-
-    A stated query set against all training rows, in blocks of about block_rows (so their number follows the
-    rows): each block of queries meets every block of training rows, and k rows a query and block are merged. tcol: the training
-    rows' id column, if not named like qid; a row is no neighbour of its own id.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    tcol = tcol or qid
-    packed = queries.select(F.col(qid).alias("_q"), F.col(x).cast("array<double>").alias("_v")).where("_v is not null")
-    n_queries, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, train))
-    packed = packed.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(n_queries)).cast("int")).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_q", "_v"))).alias("_qs"))
-    parts = train.select(F.col(tcol).alias("_t"), F.col(x).cast("array<double>").alias("_v"), F.col(y).alias("_y")).where("_v is not null")
-    parts = parts.withColumn("_part", F.pmod(F.xxhash64("_t"), F.lit(blocks)).cast("int")).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_t", "_v", "_y"))).alias("_ts"))
-    jobs = packed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parts, "_part")
-
-    def work(batches):
-        for batch in batches:
-            for qs, ts in zip(batch.column("_qs").to_pylist(), batch.column("_ts").to_pylist()):
-                t = np.array([r["_v"] for r in ts])
-                names, labels = np.array([r["_t"] for r in ts]), np.array([r["_y"] for r in ts])
-                for i in range(0, len(qs), 8):
-                    some = qs[i : i + 8]
-                    far = np.sqrt(((t[None] - np.array([q["_v"] for q in some])[:, None]) ** 2).sum(2))
-                    found = []
-                    for q, d in zip(some, far):
-                        d[names == q["_q"]] = np.inf
-                        near = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
-                        top = near[np.lexsort((names[near], d[near]))][:k]
-                        top = top[np.isfinite(d[top])]
-                        found.append((np.full(len(top), q["_q"], np.int64), names[top], d[top], labels[top].astype(np.int64)))
-                    yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(("q", "t", "distance", "label"), zip(*found))})
-
-    near = jobs.select("_qs", "_ts").mapInArrow(work, "q long, t long, distance double, label long")
-    w = Window.partitionBy("q").orderBy("distance", "t")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnsRenamed({"q": qid, "t": tid})
-
-
 def knn_vote(near: DataFrame, qid: str, weights: str = "uniform") -> DataFrame:
     """qid, yhat: the label with the most votes (or the largest sum of 1 / distance); ties to the smaller label."""
     vote = F.sum(F.lit(1.0) if weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12)))
