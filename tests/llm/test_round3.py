@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import prefixtrie, spelling, toplists
+from tidemark.llm import graphann, prefixtrie, spelling, toplists
 
 
 def tally(rows):
@@ -268,3 +268,41 @@ def test_sketch_proves_singletons_only(spark):
         counts = Counter((d, p) for _, d, p, _ in rows)
         assert all(counts[d, p] == 1 for c, d, p, _ in rows if alone.get(c) == d)
         assert cells == 1 or len(alone) >= 35
+
+
+# nearest neighbours on vectors that aren't even
+
+
+def uneven(kind, n, d=16):
+    rng = np.random.default_rng(2)
+    if kind == "elongated":
+        return rng.normal(size=(n, d)) * np.exp(-np.arange(d) / 4)
+    if kind == "copies":
+        x = rng.normal(size=(40, d))[rng.integers(0, 40, n)]
+        x[:, :3] += 1e-6 * rng.normal(size=(n, 3))
+        return x
+    return rng.normal(size=(int(kind), d))[rng.integers(0, int(kind), n)] + 0.01 * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("kind", ["40", "200", "elongated", "copies"])
+@pytest.mark.parametrize("shard_rows", [2000, 500])
+def test_recall_on_uneven_vectors(spark, kind, shard_rows):
+    x = uneven(kind, 2000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = graphann.search(graphann.build_index(df, shard_rows=shard_rows), graphann.usable(df).where("vec_id % 20 = 0")).collect()
+    hits = 0
+    for i in range(0, 2000, 20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        mine = [r for r in got if r.query_id == i]
+        assert len(mine) == 10 and all(abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
+        hits += sum(r.score <= np.partition(d, 9)[9] + 1e-15 for r in mine)
+    assert hits >= 0.9 * 1000
+
+
+def test_every_node_is_reached():
+    x = uneven("40", 1500)
+    edges, entries = graphann.build_graph(x)
+    assert graphann.reached(edges, entries).all()
+    cut = np.full((300, 4), -1)  # no edges at all: one entry must lead to all others
+    assert graphann.reached(graphann.reconnect(x[:300], cut, np.array([0]), 8, 16), np.array([0])).all()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,10 @@ SHARD_LEAST, SHARD_MOST = 1 << 12, 1 << 16
 QUERY_BLOCK = 512
 #: Most edges of a node, relaxation of the pruning rule, beam width when building and when searching.
 DEGREE, ALPHA, BUILD_BEAM, BEAM = 24, 1.2, 48, 128
+#: Entries of a shard's graph: one for so many nodes, and at most; a search starts at the START nearest of them.
+ENTRY_NODES, ENTRIES, START = 32, 512, 12
+#: Further edges of a node, for nodes that no entry leads to otherwise.
+SPARE = 4
 K = 10
 
 
@@ -28,8 +31,8 @@ def _distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.einsum("qcd,qcd->qc", d, d)
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, beam: int, keep_visited: bool = False):
-    """Greedy search of all queries in step: each expands its nearest unexpanded candidate.
+def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray | int, q: np.ndarray, beam: int, keep_visited: bool = False):
+    """Greedy search of all queries in step, from the entries nearest to each: it expands its nearest unexpanded candidate.
 
     edges: (n, degree) neighbour numbers, -1 for none. Returns the beam's ids and squared distances,
     nearest first (-1 and inf for none), and the expanded nodes of each query if asked.
@@ -38,11 +41,14 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, bea
     ids = np.full((n_q, beam), -1, np.int64)
     dist = np.full((n_q, beam), np.inf)
     done = np.zeros((n_q, beam), bool)
-    ids[:, 0] = entry
-    dist[:, 0] = _distances(x, q, np.full((n_q, 1), entry))[:, 0]
+    entries = np.atleast_1d(entries)
+    many = min(beam, START, len(entries))
+    rough = (x[entries] ** 2).sum(1) - 2 * (q @ x[entries].T)
+    ids[:, :many] = entries[np.argpartition(rough, many - 1, axis=1)[:, :many]]
+    dist[:, :many] = _distances(x, q, ids[:, :many])
     visited: list[np.ndarray] = []
     seen = np.zeros((n_q, len(x)), bool)
-    seen[:, entry] = True
+    seen[np.arange(n_q)[:, None], ids[:, :many]] = True
     while True:
         open_ = np.where(done | (ids < 0), np.inf, dist)
         pick = open_.argmin(1)
@@ -98,10 +104,55 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
     return edges
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 128, seed: int = 5) -> tuple[np.ndarray, int]:
-    """Edges and entry of a shard's graph: two passes over all points in batches, first without relaxation."""
+def entries_of(x: np.ndarray) -> np.ndarray:
+    """The node nearest to the middle, then nodes each of which is the farthest from those before it: one in every tight
+    cluster, as long as there are no more of them than entries."""
+    chosen = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    far = ((x - x[chosen[0]]) ** 2).sum(1)
+    for _ in range(min(ENTRIES, len(x) // ENTRY_NODES)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return np.unique(chosen)
+
+
+def reached(edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which nodes some entry leads to."""
+    seen = np.zeros(len(edges), bool)
+    front = np.unique(entries)
+    seen[front] = True
+    while len(front):
+        near = np.unique(edges[front])
+        front = near[(near >= 0) & ~seen[np.maximum(near, 0)]]
+        seen[front] = True
+    return seen
+
+
+def reconnect(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, beam: int, batch: int) -> np.ndarray:
+    """edges with SPARE more columns: a node that no entry leads to gets an edge from the nearest node found that has one to
+    spare, batch after batch, until there is none left."""
+    edges = np.hstack([edges, np.full((len(edges), SPARE), -1, edges.dtype)])
+    used = np.zeros(len(edges), np.int64)
+    while len(lost := np.flatnonzero(~reached(edges, entries))):
+        some = lost[:: max(1, len(lost) // batch)][:batch]
+        ids, _, _ = beam_search(x, edges, entries, x[some], beam)
+        free = np.flatnonzero(reached(edges, entries) & (used < SPARE))
+        for point, near in zip(some, ids):
+            near = near[near >= 0]
+            near = near[used[near] < SPARE]
+            if not len(near) and not len(free):
+                break  # those just linked have edges to spare in the next round
+            at = near[0] if len(near) else free[((x[free] - x[point]) ** 2).sum(1).argmin()]
+            edges[at, edges.shape[1] - SPARE + used[at]] = point
+            used[at] += 1
+            free = free[used[free] < SPARE]
+    return edges
+
+
+def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 128, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and entries of a shard's graph: two passes over all points in batches, first without relaxation; then every
+    node that can't be reached from an entry is linked."""
     n = len(x)
-    entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    entry = entries_of(x)
     if n <= degree + 1:  # everyone's neighbour
         full = np.tile(np.arange(n), (n, 1))
         edges = np.full((n, degree), -1, np.int64)
@@ -129,7 +180,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
             for k in range(0, len(targets), 8 * batch):
                 t, more = targets[k : k + 8 * batch], wide[k : k + 8 * batch]
                 edges[t] = robust_prune(x, t, np.concatenate((edges[t], more), 1), a, degree)
-    return edges, entry
+    return reconnect(x, edges, entry, beam, batch), entry
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -175,43 +226,49 @@ def build_index(vectors: DataFrame, shard_rows: int | None = None) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """Each query's k nearest found over all shards: query_id, rank, vec_id, score (Euclidean distance).
 
-    Queries are packed into blocks; each block visits every shard's graph of its width, and k rows a query
-    and shard come back. queries: usable rows (vec_id, x). A query is a distinct (vec_id, x): rows that repeat
+    Every query visits every shard's graph of its width. Queries are dealt into sets of 64 blocks; a task has
+    one shard's graph, loaded once, and one set, searched block by block, and gives k rows a query. queries:
+    usable rows (vec_id, x). A query is a distinct (vec_id, x): rows that repeat
     it are answered once, a vec_id with two vectors has two answers. A row is no neighbour of its own
     vec_id; repeated rows of another are each a neighbour. Ties go to the smaller vec_id. No queries or an
     empty index give an empty result.
     """
     shards = (index.select("n_shards").first() or [1])[0]
     asked = queries.select("vec_id", "x").dropDuplicates().withColumns({"width": F.size("x"), "vector": F.xxhash64("x")})
-    blocks = max(1, -(-queries.count() // block))
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = packed.groupBy("block", "width").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "x"))).alias("queries"))
-    jobs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(8 * shards, "shard", "width")
-    jobs = jobs.join(index.select("shard", "width", "graph").repartition(8 * shards, "shard", "width"), ["shard", "width"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, graph in zip(batch.column("queries").to_pylist(), batch.column("graph").to_pylist()):
-                ids, times, starts, x, edges, entry = pickle.loads(graph)
-                names, vectors = np.array([a["vec_id"] for a in asked], np.int64), np.array([a["vector"] for a in asked], np.int64)
-                q = np.array([a["x"] for a in asked], np.float64)
-                found, _, _ = beam_search(x, edges, entry, q, min(beam, len(x)))
-                r, c = np.nonzero(found >= 0)
-                hit = found[r, c]
-                many = np.minimum(starts[hit + 1] - starts[hit], k + 1)  # a vector's first k rows besides the query's own
-                at = np.repeat(starts[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                r, hit = np.repeat(r, many), np.repeat(hit, many)
-                other = ids[at] != names[r]
-                again = np.minimum(times[at[other]], k)
-                r, hit, vec = np.repeat(r[other], again), np.repeat(hit[other], again), np.repeat(ids[at[other]], again)
-                score = _distances_exact(x[hit], q[r])
-                order = np.lexsort((vec, score, r))
-                r, vec, score = r[order], vec[order], score[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                top = place < k
-                yield pa.RecordBatch.from_pydict({"query_id": names[r[top]], "vector": vectors[r[top]], "vec_id": vec[top], "score": score[top]})
-
-    near = jobs.select("queries", "graph").mapInArrow(work, "query_id long, vector long, vec_id long, score double")
+    sets = max(1, -(-queries.count() // (64 * block)))
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    put = asked.withColumns({"set": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sets)).cast("int"), "shard": each(shards)})
+    graphs = index.select("shard", "width", "graph", each(sets).alias("set"))
+    types = pa.schema([("query_id", pa.int64()), ("vector", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def work(queries: pa.Table, graphs: pa.Table) -> pa.Table:
+        if not len(queries) or not len(graphs):
+            return types.empty_table()
+        ids, times, starts, x, edges, entries = pickle.loads(graphs.column("graph")[0].as_py())
+        queries, out = queries.sort_by([("vec_id", "ascending"), ("vector", "ascending")]), []
+        for at in range(0, len(queries), block):
+            asked = queries.slice(at, block)
+            names, vectors = asked.column("vec_id").to_numpy(), asked.column("vector").to_numpy()
+            column = asked.column("x").combine_chunks()
+            q = column.flatten().to_numpy().reshape(len(column), -1)
+            found, _, _ = beam_search(x, edges, entries, q, min(beam, len(x)))
+            r, c = np.nonzero(found >= 0)
+            hit = found[r, c]
+            many = np.minimum(starts[hit + 1] - starts[hit], k + 1)  # a vector's first k rows besides the query's own
+            place = np.repeat(starts[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            r, hit = np.repeat(r, many), np.repeat(hit, many)
+            other = ids[place] != names[r]
+            again = np.minimum(times[place[other]], k)
+            r, hit, vec = np.repeat(r[other], again), np.repeat(hit[other], again), np.repeat(ids[place[other]], again)
+            score = _distances_exact(x[hit], q[r])
+            order = np.lexsort((vec, score, r))
+            r, vec, score = r[order], vec[order], score[order]
+            top = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pa.Table.from_arrays([pa.array(names[r[top]]), pa.array(vectors[r[top]]), pa.array(vec[top]), pa.array(score[top])], schema=types))
+        return pa.concat_tables(out)
+
+    key = ["shard", "width", "set"]
+    near = put.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInArrow(work, "query_id long, vector long, vec_id long, score double")
     order = Window.partitionBy("query_id", "vector").orderBy("score", "vec_id")  # each task keeps k rows a query before the shuffle
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
