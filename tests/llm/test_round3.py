@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import graphann, prefixtrie, spelling, toplists
+from tidemark.llm import common, contexttree, graphann, jaccard, pieces, prefixtrie, repeats, sharding, spelling, textarrays, toplists
 
 
 def tally(rows):
@@ -306,3 +306,76 @@ def test_every_node_is_reached():
     assert graphann.reached(edges, entries).all()
     cut = np.full((300, 4), -1)  # no edges at all: one entry must lead to all others
     assert graphann.reached(graphann.reconnect(x[:300], cut, np.array([0]), 8, 16), np.array([0])).all()
+
+
+# rows that repeat addresses, ties, heavy texts, colliding words
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 1024, 4096])
+def test_no_family_of_words_shares_hashes(spark, n):
+    a, b = thue_morse(n)
+    data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    h, _ = textarrays.hash_words(data, np.array([0, len(data)]))
+    assert h[0] == h[2] != h[1]
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b), (5, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 20}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs.where("doc_id in (3, 4)")).collect()} == {3: 3, 4: 4}
+    words = [a, b] * 8
+    sequences = [np.frombuffer(" ".join(words[k] for k in order).encode(), np.uint8) for order in ([0, 1, 1, 0] * 5, [1, 0, 0, 1] * 5)]
+    one, two = (textarrays.windows(*textarrays.hash_words(s, np.array([0, len(s)])), 20)[0] for s in sequences)
+    assert one[0] != two[0]
+
+
+def test_window_hashes_are_those_of_their_words():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, counts = textarrays.hash_words(data, offsets)
+    for n in (1, 2, 5, 10, 20, 33):
+        got, starts = textarrays.windows(hashes, counts, n)
+        want = [tuple(t.split()[k : k + n]) for t in texts for k in range(len(t.split()) - n + 1)]
+        assert len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_joined_frames_repeat_no_addresses(spark, tmp_path, awkward):
+    awkward.select("doc_id", "text").where("doc_id >= 100").coalesce(1).write.parquet(f"{tmp_path}/d")
+    twice = spark.read.parquet(f"{tmp_path}/d").join(spark.createDataFrame([(1,), (2,), (3,)], "n int"))
+    rows = common.Chunks(twice).rows
+    assert rows.count() == rows.select("chunk", "row").distinct().count() == 180
+    long = spark.createDataFrame([(1, "long words again " * 5000)], "doc_id long, text string")
+    long.write.parquet(f"{tmp_path}/l")
+    many = spark.read.parquet(f"{tmp_path}/l").join(spark.createDataFrame([(1,), (2,)], "n int"))
+    one = pieces.encode_documents(long, giant=1000, chunk=700).first()
+    assert one.n_chunks > 64 and one.ids == pieces.encode_documents(long, giant=10**9).first().ids
+    assert [r.ids for r in pieces.encode_documents(many, giant=1000, chunk=700).collect()] == [one.ids] * 2
+    assert sorted(r.n_removed for r in repeats.remove_repeats(many.withColumn("doc_id", F.col("n").cast("long"))).collect()) == [14997, 15000]
+
+
+def test_a_heavy_text_leaves_other_chunks_alone(spark, tmp_path, monkeypatch):
+    rows = [(i, "x" * (3_000_000 if i == 5000 else 100)) for i in range(9000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/h")
+    docs = spark.read.parquet(f"{tmp_path}/h")
+    for most in (1 << 20, 0):  # cuts broadcast, and joined by a shuffle
+        monkeypatch.setattr(common, "MOST_CUTS", most)
+        chunks = common.Chunks(docs, most_bytes=1_000_000)
+        n = dict(map(tuple, chunks.rows.groupBy("chunk").count().collect()))
+        heavy = chunks.rows.where("doc_id = 5000").first().chunk
+        assert n[heavy] == 1 and sorted(n.values()) == sorted([1, 5000 - 4096, 6144 - 5001, 2048, 2048, 2048, 9000 - 8192])
+        assert chunks.addressed("doc_id", prefix="_").join(chunks.rows.select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("doc_id").alias("d")), ["_chunk", "_row"]).where("doc_id = d").count() == 9000
+
+
+def test_ties_are_divided_into_ranges(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    placed = sharding.shard_documents(docs)
+    assert placed.select("global_row").distinct().count() == 20_000 and {r["count"] for r in placed.groupBy("shard").count().collect()} == {1250}
+    tied = docs.where("doc_id is null").select(F.xxhash64(F.monotonically_increasing_id()).alias("_tie"), "doc_id")
+    sizes = [r["count"] for r in tied.repartitionByRange(8, "doc_id", "_tie").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3000

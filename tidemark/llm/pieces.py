@@ -418,9 +418,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
     ends = products.groupBy("chunk", "row").applyInPandas(between_sets, "chunk long, row long, set int, enters int, leaves int")
     fixed = found.groupBy("chunk", "row", "set").cogroup(ends.groupBy("chunk", "row", "set")).applyInPandas(within_set, "chunk long, row long, part int, enters int, leaves int")
     ids = parts.join(fixed.repartition(tasks, *key), key).mapInArrow(traced, "chunk long, row long, part int, ids binary" + more)
-    joined = ids.groupBy("chunk", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids", *names[6:]))).alias("parts"), F.count("*").cast("int").alias("n_chunks"))
-    whole_of = lambda c: F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p[c]))
-    joined = joined.select("chunk", "row", whole_of("ids").alias("ids"), "n_chunks", *([F.substring(whole_of("decoded"), 2, 2**31 - 1).alias("decoded")] if decode else []))
+    whole_of = lambda c: F.expr(f"listagg({c}) within group (order by part)")
+    joined = ids.groupBy("chunk", "row").agg(whole_of("ids").alias("ids"), F.count("*").cast("int").alias("n_chunks"), *([F.substring(whole_of("decoded"), 2, 2**31 - 1).alias("decoded")] if decode else []))
     return small.unionByName(large.select("chunk", "row", "doc_id", "text").join(joined, ["chunk", "row"]))
 
 

@@ -7,13 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm.common import materialize, read_table, scanned
 
 SHARDS = 16
 SEED = 20240229
 ROUNDS = 6
 #: Rows of one range of the global order.
 BIN_ROWS = 100_000
+#: Bins, at most; larger tables get larger bins.
+BINS = 16_384
 
 
 def feistel(x: np.ndarray, n: int, seed: int = SEED, rounds: int = ROUNDS) -> np.ndarray:
@@ -53,29 +55,32 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number", bins:
     """Adds the global row number (from 0) in the given order without one task seeing all rows.
 
     Rows are range-partitioned and sorted, and written with their partition's number; the offsets come
-    from one count for each partition. Rows that tie in order may change places between runs over
-    different inputs, never within one result.
+    from one count for each partition, BINS at most. Rows that tie in order may change places between
+    runs over different inputs, never within one result; ranges can't divide them.
     """
-    bins = bins or max(4, df.count() // BIN_ROWS)
+    bins = bins or min(BINS, max(4, df.count() // BIN_ROWS))
     ranged = df.repartitionByRange(bins, *order).sortWithinPartitions(*order)
     kept = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
     before = kept.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))  # a row for each bin: input rows / BIN_ROWS
+    offsets = before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))  # a row for each bin
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Law `rows`: each document's shard and slot, computed from its permuted global row number.
 
-    Global rows are numbered by (doc_id, text checksum, size). With permuted number v, shard is v mod
+    Global rows are numbered by (doc_id, text checksum, size), and rows that agree in these by a hash of
+    their address, so that ranges can divide them, however many there are. With permuted number v, shard is v mod
     shards and slot is v div shards: shards differ by one row at most and slots have no gaps.
 
     A null text has size 1 and the checksum of the empty text; a null doc_id sorts first; repeated rows
     each get a place of their own; an empty table gives an empty result. Other columns are not read.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = docs.select(F.col("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    numbered = number_rows(rows, ["doc_id", "text_crc32", "size"], "_row")
+    docs = scanned(docs, ["doc_id", "text"])
+    tie = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_tie")
+    rows = docs.select(F.col("doc_id"), tie, (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
+    numbered = number_rows(rows, ["doc_id", "text_crc32", "size", "_tie"], "_row")
     n = numbered.count()
 
     @F.pandas_udf("long")
