@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import array_mean, array_std
-from tidemark.functions.ranged import exact_percentiles, joined
+from tidemark.functions.ranged import exact_percentiles, joined, running_sums
 from tidemark.operators.pca import by_variance as pca_by_variance  # noqa: F401
+from tidemark.sources.scratch import folder
 
 
 def align_variables(vectors: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
@@ -182,6 +184,65 @@ def mutual_information(df: DataFrame, label: str, x: str = "x", bins: int = 10)
     return terms.groupBy("feature").agg(F.sum("t").alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """The digamma function of positive integers: its asymptotic series, ten steps further up."""
+    m = n.cast("double") + 10
+    series = F.ln(m) - 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * F.pow(m, F.lit(4.0))) - 1 / (252 * F.pow(m, F.lit(6.0))) + 1 / (240 * F.pow(m, F.lit(8.0)))
+    return series - reduce(lambda a, b: a + b, [1 / (n.cast("double") + i) for i in range(10)])
+
+
+def mutual_information_near(df: DataFrame, label: str, x: str = "x", k: int = 3, parts: int = 64) -> DataFrame:
+    """feature, mi: mutual information in nats of each feature with the class, estimated from nearest neighbours.
+
+    For each row the distance r to its k-th nearest value of the same class and feature (fewer in smaller classes, rows
+    of classes of one don't count) and the number m of values of all classes nearer than r (at r = 0: equal
+    ones) give digamma(n) + mean digamma(k) - mean digamma(class size) - mean digamma(m), 0 at least.
+
+    A feature's values are cut into ranges at approximate quantiles. Each range is sorted on its own, with
+    the k nearest values of each class before and after it; m is a difference of two ranks, which
+    running sums over the ranges give. So no task orders a whole feature. Null values and labels don't count.
+    """
+    long = df.select(F.col(label).alias("y"), F.posexplode(x).alias("feature", "v")).select("feature", "y", F.col("v").cast("double").alias("v")).where("v is not null and y is not null")
+    sizes = long.groupBy("feature", "y").agg(F.count("*").alias("size")).where("size > 1")
+    cuts = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_cuts"))
+    known = long.join(sizes, ["feature", "y"]).join(F.broadcast(cuts), "feature").withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("v") > c))).drop("_cuts")
+    path = folder(df.sparkSession, "near")
+    known.write.parquet(path)
+    known = df.sparkSession.read.schema(known.schema).parquet(path)
+    halo = []
+    for after in (False, True):
+        end = Window.partitionBy("feature", "y", "_part").orderBy(F.col("v") if after else F.col("v").desc())
+        ends = known.withColumn("_i", F.row_number().over(end)).where(F.col("_i") <= k).groupBy("feature", "y", "_part").agg(F.sort_array(F.collect_list("v"), asc=after).alias("_e"))
+        along = Window.partitionBy("feature", "y").orderBy(F.col("_part").desc() if after else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        near = ends.withColumn("_e", F.slice(F.flatten(F.reverse(F.collect_list("_e").over(along))), 1, k))  # k values a range, nearest first
+        halo.append(near.select("feature", "y", F.explode("_e").alias("v"), F.lit(None).cast("long").alias("size"), "_part"))
+    both = known.unionByName(halo[0]).unionByName(halo[1])
+    w = Window.partitionBy("feature", "y", "_part").orderBy("v")
+    apart = lambda other: F.struct(F.abs(other - F.col("v")).alias("d"), other.alias("w"))
+    around = F.array(*[apart(f("v", i).over(w)) for f in (F.lag, F.lead) for i in range(1, k + 1)])
+    sorted_ = both.withColumn("_d", F.array_sort(F.filter(around, lambda d: d["d"].isNotNull()))).where("size is not null")
+    order = F.least(F.lit(k), F.col("size") - 1).cast("int")
+    found = sorted_.withColumns({"_k": order, "_e": F.element_at("_d", order)}).select("feature", "v", "size", "_k", F.col("_e.d").alias("_r"), F.col("_e.w").alias("_w"))
+    # m: ranks of both ends of the open interval (closed where it is a point), from one running sum over values and ends
+    # the k-th neighbour is one of the ends as it is, since v + (w - v) may differ from w
+    low, high = F.when(F.col("_w") <= F.col("v"), F.col("_w")).otherwise(F.col("v") - F.col("_r")), F.when(F.col("_w") >= F.col("v"), F.col("_w")).otherwise(F.col("v") + F.col("_r"))
+    ends = F.array(F.struct(low.alias("at"), F.lit(-1).alias("sign"), (F.col("_r") > 0).alias("upto")), F.struct(high.alias("at"), F.lit(1).alias("sign"), (F.col("_r") == 0).alias("upto")))
+    asked = found.withColumn("_id", F.monotonically_increasing_id())
+    path = folder(df.sparkSession, "asked")
+    asked.write.parquet(path)
+    asked = df.sparkSession.read.schema(asked.schema).parquet(path)
+    points = asked.select("feature", "_id", F.explode(ends).alias("e")).select("feature", "_id", "e.*")
+    values = known.groupBy("feature", "v").agg(F.count("*").alias("_c"))
+    counts = values.select("feature", F.col("v").alias("at"), "_c").unionByName(points.select("feature", "at", F.lit(0).cast("long").alias("_c")).distinct()).groupBy("feature", "at").agg(F.sum("_c").alias("_c"))
+    ranks = running_sums(counts, "at", ["_c"], ["feature"], parts).select("feature", "at", "below__c", "_c")
+    placed = points.join(ranks, ["feature", "at"])
+    m = placed.groupBy("_id").agg(F.sum(F.col("sign") * (F.col("below__c") + F.when(F.col("upto"), F.col("_c")).otherwise(0))).alias("_m"))
+    told = asked.join(m, "_id")
+    n = F.count("*")
+    mi = digamma(n) + F.avg(digamma(F.col("_k"))) - F.avg(digamma(F.col("size"))) - F.avg(digamma(F.col("_m")))
+    return told.groupBy("feature").agg(F.greatest(F.lit(0.0), mi).alias("mi"))
+
+
 def select_top(scores: DataFrame, percentile: float, score: str = "mi") -> DataFrame:
     """Adds selected: the features whose score lies above the (100 - percentile)th percentile; of those at it,
     the first ones that fit into percentile percent of all. One row a feature."""

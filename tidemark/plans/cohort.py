@@ -234,6 +234,15 @@ def pareto_front(spark, d):
     return board.pareto_front(t.trial_results(spark, d), "auc", "balanced_accuracy").select("brand", "type", "auc", "balanced_accuracy")
 
 
+@query("""with c as (select o_custkey as custkey, count(*) as orders, round(max(o_totalprice)::double, 2) as largest, round(min(o_totalprice)::double, 2) as smallest, datediff('day', date '1970-01-01', max(o_orderdate)::date)::bigint as latest from orders group by 1)
+select * from c a where not exists (select 1 from c b where b.orders >= a.orders and b.largest >= a.largest and b.smallest >= a.smallest and b.latest >= a.latest and (b.orders > a.orders or b.largest > a.largest or b.smallest > a.smallest or b.latest > a.latest))""")
+def pareto_front_of_four(spark, d):
+    """Customers that no other one surpasses in number, largest, smallest and latest order."""
+    o, price = t.table(spark, d, "orders"), F.col("o_totalprice").cast("double")
+    c = o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"), F.round(F.max(price), 2).alias("largest"), F.round(F.min(price), 2).alias("smallest"), F.datediff(F.max("o_orderdate").cast("date"), F.lit("1970-01-01")).cast("long").alias("latest"))
+    return board.pareto_front(c, "orders", "largest", "smallest", "latest")
+
+
 def _board_parts(spark, d):
     part = t.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"))
     line = t.table(spark, d, "lineitem").withColumn("third", F.col("l_orderkey") % 3)

@@ -172,6 +172,13 @@ def mutual_info_rank(spark, d):
     return fe.mutual_information(v, "y").select(F.col("feature").cast("long").alias("feature"), R("mi", 9).alias("mi"))
 
 
+@query()
+def mutual_info_near(spark, d):
+    """The estimate from nearest neighbours."""
+    v = t.vectors(spark, d).withColumn("y", F.col("label") % 2)
+    return fe.mutual_information_near(v, "y").select(F.col("feature").cast("long").alias("feature"), R("mi", 9).alias("mi"))
+
+
 _MI = ORACLES["mutual_info_rank"].replace("select feature, round(sum(c / n * ln(c * n / (nx * ny))), 9) as mi from w group by feature", ", m as (select feature, round(sum(c / n * ln(c * n / (nx * ny))), 9) as mi from w group by feature)")
 
 
