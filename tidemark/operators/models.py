@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranged import running_sums
+from tidemark.operators import stacked
 from tidemark.operators.neighbours import knn_join  # noqa: F401
 from tidemark.operators.split import group_kfold
 
@@ -35,8 +36,11 @@ def estimator(kind: str, seed: int = 42, **params) -> Estimator:
 
 
 def prepared(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Adds the vector, label and class-balancing weight n / (2 n_c) that estimators read."""
-    d = df.withColumns({"_x": array_to_vector(F.col(x).cast("array<double>")), "_y": F.col(y).cast("double")})
+    """Adds the vector, label and class-balancing weight n / (2 n_c) that estimators read; to be called on training rows only."""
+    return weighted(df.withColumns({"_x": array_to_vector(F.col(x).cast("array<double>")), "_y": F.col(y).cast("double")}))
+
+
+def weighted(d: DataFrame) -> DataFrame:
     counts = d.groupBy("_y").agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"))
     weights = counts.join(F.broadcast(total)).select("_y", (F.col("_n") / (2 * F.col("_c"))).alias("_w"))
@@ -99,32 +103,65 @@ def evaluate(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return a.join(b, by) if by else a.join(F.broadcast(b))
 
 
+_METRICS = ["auc", "balanced_accuracy"]
+_RESULTS = "setting int, params string, repeat int, fold int, train_auc double, val_auc double, train_balanced_accuracy double, val_balanced_accuracy double"
+
+
 def cv_search(df: DataFrame, kind: str, grid: list[dict], folds: DataFrame, group: str, x: str, y: str, rank: str = "auc", parallelism: int = 4) -> tuple[Model, DataFrame]:
-    """Fits every setting on every fold; the best setting refitted on all rows, and a row of metrics for each setting and fold."""
-    data = prepared(df, x, y).join(folds.select(group, "repeat", "fold"), group)
-    data = data.select("_x", "_y", "_w", "repeat", "fold").persist()
+    """Fits every setting on every fold; the best setting refitted on all rows, and a row of metrics for each setting and fold.
+
+    Logistic regressions (up to stacked.WIDEST features) are fitted and scored all together, each pass over
+    the rows serving every setting and fold; other kinds one by one, `parallelism` at a time. Classes are balanced within
+    the training rows of each fit.
+    """
+    shared = kind.startswith("logreg") and all(set(p) <= {"regParam", "elasticNetParam"} for p in grid)
+    shared = shared and (df.select(F.max(F.size(x))).first()[0] or 0) <= stacked.WIDEST
+    results = (_shared_search if shared else _separate_search)(df, kind, grid, folds, group, x, y, parallelism)
+    rows = results.collect()  # a row a setting and fold
+    mean = {i: [r[f"val_{rank}"] for r in rows if r["setting"] == i and r[f"val_{rank}"] is not None] for i in range(len(grid))}
+    best = max(mean, key=lambda i: (sum(mean[i]) / len(mean[i]) if mean[i] else -1, -i))
+    return estimator(kind, **grid[best]).fit(prepared(df, x, y)), df.sparkSession.createDataFrame(rows, _RESULTS)
+
+
+def _shared_search(df: DataFrame, kind: str, grid: list[dict], folds: DataFrame, group: str, x: str, y: str, parallelism: int) -> DataFrame:
+    repeats = folds.agg(F.max("repeat")).first()[0] + 1
+    of_group = folds.groupBy(group).agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"_f{r}") for r in range(repeats)])
+    data = df.select(group, F.col(x).alias("_x"), F.col(y).cast("int").alias("_y")).join(of_group, group)
+    data = data.select("_x", "_y", F.array(*[f"_f{r}" for r in range(repeats)]).alias("_f")).persist()
+    pairs = [tuple(r) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]  # repeats * k rows
+    base = {"regParam": 0.01, "elasticNetParam": float(kind == "logreg_l1")}
+    jobs = [(i, repeat, fold) for i in range(len(grid)) for repeat, fold in pairs]
+    fits = [stacked.Fit(**(base | grid[i]), repeat=repeat, fold=fold) for i, repeat, fold in jobs]
+    found = stacked.scores(data, "_x", stacked.fit(data, "_x", "_y", "_f", fits))
+    each = found.select("_y", "_f", F.posexplode("scores").alias("fit", "score"))
+    named = df.sparkSession.createDataFrame([(n, i, str(sorted(grid[i].items())), repeat, fold) for n, (i, repeat, fold) in enumerate(jobs)], "fit int, setting int, params string, repeat int, fold int")
+    told = each.join(F.broadcast(named), "fit").withColumns({"part": F.when(F.get("_f", F.col("repeat")) == F.col("fold"), "val").otherwise("train"), "yhat": (F.col("score") >= 0.5).cast("int")})
+    by = ["fit", "part"]
+    metrics = roc_auc(told, "score", "_y", by).select(*by, "auc").join(balanced_accuracy(told, "_y", "yhat", by), by)
+    picked = [F.max(F.when(F.col("part") == p, F.col(m))).alias(f"{p}_{m}") for m in _METRICS for p in ("train", "val")]
+    rows = metrics.groupBy("fit").agg(*picked).join(F.broadcast(named), "fit").select("setting", "params", "repeat", "fold", *[f"{p}_{m}" for m in _METRICS for p in ("train", "val")]).collect()
+    data.unpersist()
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r["setting"], r["repeat"], r["fold"])), _RESULTS)
+
+
+def _separate_search(df: DataFrame, kind: str, grid: list[dict], folds: DataFrame, group: str, x: str, y: str, parallelism: int) -> DataFrame:
+    data = df.withColumns({"_x": array_to_vector(F.col(x).cast("array<double>")), "_y": F.col(y).cast("double")}).join(folds.select(group, "repeat", "fold"), group)
+    data = data.select("_x", "_y", "repeat", "fold").persist()
     pairs = [tuple(r) for r in data.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]  # repeats * k rows
 
     def one(job: tuple[int, dict, tuple[int, int]]) -> tuple:
         setting, params, (repeat, fold) = job
         mine = data.where(F.col("repeat") == repeat)
-        model = estimator(kind, **params).fit(mine.where(F.col("fold") != fold))
+        model = estimator(kind, **params).fit(weighted(mine.where(F.col("fold") != fold)))
         out = scored(model, mine).withColumn("part", F.when(F.col("fold") == fold, "val").otherwise("train"))
         m = {r["part"]: r for r in evaluate(out, ["part"]).collect()}
         get = lambda p, c: float(m[p][c]) if p in m and m[p][c] is not None else None
-        return (setting, str(sorted(params.items())), repeat, fold, get("train", "auc"), get("val", "auc"), get("train", "balanced_accuracy"), get("val", "balanced_accuracy"))
+        return (setting, str(sorted(params.items())), repeat, fold, *[get(p, c) for c in _METRICS for p in ("train", "val")])
 
-    jobs = [(i, p, pair) for i, p in enumerate(grid) for pair in pairs]
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(one, jobs))
-    names = ["auc", "balanced_accuracy"]
-    results = df.sparkSession.createDataFrame(rows, "setting int, params string, repeat int, fold int, train_auc double, val_auc double, train_balanced_accuracy double, val_balanced_accuracy double")
-    at = 5 + 2 * names.index(rank)
-    mean = {i: [r[at] for r in rows if r[0] == i and r[at] is not None] for i in range(len(grid))}
-    best = max(mean, key=lambda i: (sum(mean[i]) / len(mean[i]) if mean[i] else -1, -i))
-    model = estimator(kind, **grid[best]).fit(prepared(df, x, y))
+        rows = list(pool.map(one, [(i, p, pair) for i, p in enumerate(grid) for pair in pairs]))
     data.unpersist()
-    return model, results
+    return df.sparkSession.createDataFrame(rows, _RESULTS)
 
 
 def random_settings(space: dict[str, tuple], n: int, seed: int = 42) -> list[dict]:
@@ -163,8 +200,8 @@ def search_summary(results: DataFrame) -> DataFrame:
 def holdout_confusion(df: DataFrame, kind: str, group: str, x: str, y: str, seed: int = 42) -> DataFrame:
     """Confusion matrix of a fit on one half of the groups, on the other half."""
     folds = group_kfold(df, y, group, 2, 1, seed).select(group, "fold")
-    data = prepared(df, x, y).join(folds, group)
-    model = estimator(kind, seed).fit(data.where("fold = 0"))
+    data = df.withColumns({"_x": array_to_vector(F.col(x).cast("array<double>")), "_y": F.col(y).cast("double")}).join(folds, group)
+    model = estimator(kind, seed).fit(weighted(data.where("fold = 0")))
     return confusion(scored(model, data.where("fold = 1")).withColumn("_y", F.col("_y").cast("int")), "_y", "yhat").withColumnRenamed("_y", "y")
 
 
