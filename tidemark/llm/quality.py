@@ -172,9 +172,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and both views' features (text_x, meta_x) of every document."""
 
-    @F.pandas_udf("array<float>")
-    def content(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(text_features(*column(pa.array(texts, pa.large_binary())))))
+    @F.arrow_udf("array<float>")
+    def content(texts: pa.Array) -> pa.Array:
+        flat = np.concatenate([np.zeros((0, len(TEXT_FEATURES) + WORDS), np.float32), *(text_features(*column(texts.slice(k, ROWS))) for k in range(0, len(texts), ROWS))])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
     return docs.select("doc_id", content(F.col("text").cast("binary")).alias("text_x"), meta_features().cast("array<float>").alias("meta_x"))
 
@@ -273,18 +274,20 @@ _SCORES = "text_score double, meta_score double, score double, keep boolean"
 def score(model: Model, threshold: float = THRESHOLD) -> Column:
     """A struct of calibrated chances of good quality by each view and together, and whether to keep the document."""
 
-    @F.pandas_udf(_SCORES)
-    def work(texts: pd.Series, metas: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_SCORES)
+    def work(texts: pa.Array, metas: pa.Array) -> pa.Array:
+        names, n = [c.split()[0] for c in _SCORES.split(", ")], len(texts)
         if not model.views:
-            p = np.full(len(texts), model.prior)
-            return pd.DataFrame({"text_score": p, "meta_score": p, "score": p, "keep": np.ones(len(p), bool)})
-        a, b = np.zeros(len(texts)), np.zeros(len(texts))
-        for k in range(0, len(texts), ROWS):
+            p = pa.array(np.full(n, model.prior))
+            return pa.StructArray.from_arrays([p, p, p, pa.array(np.ones(n, bool))], names)
+        a, b = np.zeros(n), np.zeros(n)
+        meta = metas.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        for k in range(0, n, ROWS):  # the features of a batch together would take as much as its texts
             some = slice(k, k + ROWS)
-            a[some] = model.views[0].logit(text_features(*column(pa.array(texts[some], pa.large_binary()))))
-            b[some] = model.views[1].logit(_matrix(metas[some]))
+            a[some] = model.views[0].logit(text_features(*column(texts.slice(k, ROWS))))
+            b[some] = model.views[1].logit(meta[some].astype(float))
         both = _sigmoid(a * model.mix[0] + b * model.mix[1] + model.mix[2])
-        return pd.DataFrame({"text_score": _sigmoid(a), "meta_score": _sigmoid(b), "score": both, "keep": both >= threshold})
+        return pa.StructArray.from_arrays([pa.array(_sigmoid(a)), pa.array(_sigmoid(b)), pa.array(both), pa.array(both >= threshold)], names)
 
     return work(F.col("text").cast("binary"), meta_features().cast("array<float>"))
 
