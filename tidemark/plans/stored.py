@@ -112,6 +112,26 @@ def published_artifacts(spark, d):
     return spark.read.parquet(path).select("artifact", "n", "most")
 
 
+@query(sql("limits", "select subject_id, 'mean' as mode, count(*) as days, case when subject_id::bigint % 2 = 0 then 2 else 1 end as run from limits group by subject_id"))
+def versioned_results(spark, d):
+    """S10 in versions that readers see whole: a second run replaces its own partitions."""
+    path = scratch.folder(spark, "in_out")
+    r = t.limits(spark, d).groupBy("subject_id").agg(F.count("*").alias("days")).withColumns({"mode": F.lit("mean"), "run": F.lit(1)}).repartition(4)
+    sinks.publish_in_out(r, path)
+    sinks.publish_in_out(r.where(F.col("subject_id").cast("long") % 2 == 0).withColumn("run", F.lit(2)), path)
+    return sinks.read_published(spark, path).select("subject_id", "mode", "days", "run")
+
+
+@query("select o_orderpriority as artifact, count(*) as n, max(o_totalprice)::double as most from orders group by 1")
+def versioned_artifacts(spark, d):
+    """S11 in versions: artefacts created once, then one of them replaced."""
+    path = scratch.folder(spark, "published")
+    a = t.table(spark, d, "orders").groupBy(F.substring("o_orderpriority", 1, 20).alias("artifact")).agg(F.count("*").alias("n"), F.max("o_totalprice").cast("double").alias("most"))
+    sinks.publish_artifacts(a.withColumn("n", F.when(F.col("artifact") != "1-URGENT", F.col("n")).otherwise(F.lit(0).cast("long"))), path)
+    sinks.publish_artifacts(a.where("artifact = '1-URGENT'"), path, overwrite=True)
+    return sinks.read_published(spark, path).select("artifact", "n", "most")
+
+
 @query(sql("vectors", "select count(*) as n, true as same from vectors"))
 def stored_model(spark, d):
     """A fitted model saved, loaded and applied gives what it gave before."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.published import Published
+
 
 def write_vectors(df: DataFrame, path: str) -> None:
     """Window vectors by split and variable; rows marked invalid stay out."""
@@ -25,6 +27,21 @@ def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
         df.write.mode("errorifexists").partitionBy("artifact").parquet(path)
 
 
+def publish_in_out(df: DataFrame, path: str, exclusive: bool = False) -> int:
+    """write_in_out for readers that must see each version whole (see Published)."""
+    return Published(df.sparkSession, path).replace(df, ["mode", "subject_id"], whole=exclusive)
+
+
+def publish_artifacts(df: DataFrame, path: str, overwrite: bool = False) -> int:
+    """publish in one step: of two writers of a new target one is refused; replacing is never seen half done."""
+    table = Published(df.sparkSession, path)
+    return table.replace(df, ["artifact"]) if overwrite else table.create(df, ["artifact"])
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return Published(spark, path).read(version)
+
+
 def save_model(model, path: str) -> None:
     PipelineModel([model]).write().overwrite().save(path)
 
