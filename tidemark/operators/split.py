@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import random
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranged import exact_percentiles, hash_rank
@@ -68,3 +71,70 @@ def group_subsample(df: DataFrame, label: str, group: str, about: int, rows: int
     folds = max(1, rows // about)
     keep = group_kfold(df, label, group, folds, 1, seed).where("fold = 0").select(group)
     return df.join(keep, group, "left_semi")
+
+
+#: Sizes up to this are told apart exactly when groups are allotted to folds; larger ones to about 1 / FINE of them.
+EXACT_SIZE, FINE = 64, 16
+
+
+def _kind(n: str) -> Column:
+    """A number as it is up to EXACT_SIZE, beyond as the foot of its step on a scale of FINE steps an octave."""
+    c = F.col(n)
+    steps = F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double")) * FINE)
+    return F.when(c <= EXACT_SIZE, c.cast("long")).otherwise(EXACT_SIZE + steps).cast("long")
+
+
+def _allot(kinds: list[tuple], k: int, seed: int) -> list[tuple]:
+    """(kind, folds of its groups beyond equal shares): each goes where the labels' shares come out most even.
+
+    kinds: (size kind, positives kind, groups, mean size, mean positives). Equal numbers of each kind's groups go
+    to every fold beforehand. Kinds follow by how uneven their labels are; ties of folds go to the one with fewest rows.
+    """
+    rng = random.Random(seed)
+    totals = np.maximum(np.sum([[(n - p) * g, p * g] for _, _, g, n, p in kinds], axis=0), 1e-300)
+    folds = np.sum([np.tile([(n - p) * (g // k), p * (g // k)], (k, 1)) for _, _, g, n, p in kinds], axis=0)
+    out = []
+    order = [(kind, [n - p, p]) for kind in kinds for _, _, g, n, p in [kind] for _ in range(g % k)]
+    rng.shuffle(order)
+    order.sort(key=lambda o: -np.std(o[1]))
+    taken: dict[tuple, list[int]] = {}
+    for kind, counts in order:
+        tried = np.tile(folds, (k, 1, 1))
+        tried[np.arange(k), np.arange(k)] += counts
+        uneven = np.round((tried / totals).std(axis=1).mean(axis=1), 12)
+        best = min(range(k), key=lambda f: (uneven[f], folds[f].sum()))
+        folds[best] += counts
+        taken.setdefault(kind[:2], []).append(best)
+    for kind in kinds:
+        out.append((kind[0], kind[1], int(kind[2]), taken.get(kind[:2], [])))
+    return out
+
+
+def balanced_group_kfold(df: DataFrame, label: str, group: str, k: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """group, repeat, fold, n, positives: each group in one fold a repeat, so that folds have like shares of both labels.
+
+    Groups are counted by kind, their numbers of rows and of positives (large numbers in small steps, so there are
+    never more than some 100,000 kinds, which the driver holds). Each kind's groups go to all folds in equal
+    numbers; the fewer than k left over of each are allotted one by one, those with the most uneven labels first,
+    to the fold where the labels' shares over folds come out most even. A group's place within its kind
+    follows a seeded hash. Null labels count as 0; a null group is a group.
+    """
+    per = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
+    per = per.withColumns({"_a": _kind("n"), "_b": _kind("positives")})
+    kinds = [tuple(r) for r in per.groupBy("_a", "_b").agg(F.count("*"), F.avg("n"), F.avg("positives")).orderBy("_a", "_b").collect()]
+    if not kinds:
+        return per.select(group, F.lit(0).alias("repeat"), F.lit(0).alias("fold"), "n", "positives")
+    rows = [(r, *kind) for r in range(repeats) for kind in _allot(kinds, k, seed + r)]
+    allotted = df.sparkSession.createDataFrame(rows, "repeat int, _a long, _b long, _g long, _left array<int>")
+    rep = per.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    ranked = hash_rank(rep, group, F.col("repeat") + seed, ["repeat", "_a", "_b"], "_place")
+    placed = ranked.join(F.broadcast(allotted), ["repeat", "_a", "_b"])
+    even = F.col("_g") - F.col("_g") % k
+    fold = F.when(F.col("_place") < even, F.col("_place") % k).otherwise(F.get("_left", (F.col("_place") - even).cast("int")))
+    return placed.select(group, "repeat", fold.cast("int").alias("fold"), "n", "positives")
+
+
+def balanced_group_subsample(df: DataFrame, label: str, group: str, about: int, rows: int, seed: int = 42) -> DataFrame:
+    """Whole groups of about so many rows with the labels' shares of all: one of rows // about balanced folds."""
+    keep = balanced_group_kfold(df, label, group, max(1, rows // about), 1, seed).where("fold = 0").select(F.col(group).alias("_keep"))
+    return df.join(keep, F.col(group).eqNullSafe(F.col("_keep")), "left_semi")

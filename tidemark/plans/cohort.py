@@ -175,6 +175,13 @@ def hash_sample(spark, d):
     return split.hash_sample(t.signal(spark, d).select("subject_id").distinct(), "subject_id", 20)
 
 
+@query(sql("limits", "y as (select subject_id, (mean between lower and upper)::int as y from limits where mean between lower and upper is not null) select repeat, count(*) as n, sum(y)::bigint as positives from y cross join range(3) as r(repeat) group by repeat").replace("select repeat,", "select repeat::int as repeat,"))
+def balanced_group_kfold(spark, d):
+    """Folds of balanced label shares over three repeats: every subject is in one fold of each, so each repeat adds up to all rows."""
+    folds = split.balanced_group_kfold(_labelled(spark, d), "y", "subject_id", 5, 3)
+    return folds.groupBy("repeat").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+
+
 @query(sql("limits", _folds(3, 1) + " select subject_id, day, y from y semi join (select subject_id from folds where fold = 0) using (subject_id)"))
 def group_subsample(spark, d):
     """Whole subjects with about a third of the rows."""
