@@ -88,3 +88,23 @@ def test_few_or_no_rows(spark):
     assert sorted((r.id, r.nid, r.rank, r.distance) for r in rows) == [(1, 2, 1, 2.0), (2, 1, 1, 2.0)]
     assert neighbours.knn_join(df, df.where("false"), "id", "nid", "x", "label", 4).count() == 0
     assert neighbours.knn_join(df.where("false"), df, "id", "nid", "x", "label", 4).count() == 0
+
+
+def test_correlations_at_all_lags(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import features
+
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=n).tolist(), rng.normal(size=n).tolist()) for k, n in enumerate([50, 50, 3, 1, 300, 50])]
+    rows += [(10, [1.0] * 50, rng.normal(size=50).tolist()), (11, None, [1.0]), (12, [1.0, 2.0], [1.0]), (13, [], []), (14, [1.0, None, 3.0], [1.0, 2.0, 4.0])]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y array<double>").repartition(2)
+    lags = [-299, -60, -2, -1, 0, 1, 2, 7, 49]
+    got = {r.k: r.c for r in df.select("k", features.lagged_correlations(F.col("x"), F.col("y"), lags).alias("c")).collect()}
+    for k, x, y in rows[:7]:
+        x, y = np.array(x), np.array(y)
+        n, s = len(x), x.std() * y.std() * len(x)
+        for lag, c in zip(lags, got[k]):
+            pairs = [(x[i + lag] - x.mean()) * (y[i] - y.mean()) for i in range(n) if 0 <= i + lag < n]
+            assert abs(c - (sum(pairs) / s if s > 1e-12 else 0)) < 1e-12
+    assert got[11] is None and all(got[k] == [0.0] * len(lags) for k in (10, 12, 13, 14))

@@ -134,6 +134,36 @@ def lagged_dot(x: Column, y: Column, length: int, lag: int) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / length, F.lit(0.0))
 
 
+def lagged_correlations(x: Column, y: Column, lags: list[int]) -> Column:
+    """lagged_correlation of two arrays at all lags, as an array, from one zero-padded Fourier transform a batch of rows.
+
+    Rows whose arrays differ in length, and lags beyond it, give 0 like undefined ones; null arrays give null.
+    """
+
+    @F.arrow_udf("array<double>")
+    def work(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.zeros((len(a), len(lags)))
+        given = np.logical_and(*(c.is_valid().to_numpy(zero_copy_only=False) for c in (a, b)))
+        size, other = (np.where(given, c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0) for c in (a, b))
+        for length in np.unique(size[(size == other) & (size > 0)]):
+            rows = np.flatnonzero(given & (size == length) & (other == length))
+            wide = 1 << int(2 * length - 1).bit_length()
+            some = max(1, (1 << 21) // wide)
+            near = np.array([k for k, lag in enumerate(lags) if abs(lag) < length], int)
+            for i in range(0, len(rows), some):
+                part = rows[i : i + some]
+                p, q = (c.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), length) for c in (a, b))
+                p, q = p - p.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
+                scale = np.sqrt((p * p).mean(1) * (q * q).mean(1)) * length
+                both = np.fft.irfft(np.fft.rfft(p, wide) * np.conj(np.fft.rfft(q, wide)), wide)
+                found = both[:, [lags[k] % wide for k in near]] / np.where(scale > 0, scale, 1)[:, None]
+                out[np.ix_(part, near)] = np.where(scale[:, None] > 0, np.nan_to_num(found), 0)
+        offsets = pa.array(np.arange(len(a) + 1) * len(lags), pa.int32(), mask=np.append(~given, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return work(x.cast("array<double>"), y.cast("array<double>"))
+
+
 def lagged_correlation(x: Column, y: Column, length: int, lag: int) -> Column:
     """sum over n of (x[n + lag] - mean x)(y[n] - mean y) / (std x * std y * length); 0 where undefined."""
     a, b = (F.slice(x, lag + 1, length - lag), F.slice(y, 1, length - lag)) if lag >= 0 else (F.slice(x, 1, length + lag), F.slice(y, 1 - lag, length + lag))

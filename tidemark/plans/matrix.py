@@ -151,9 +151,10 @@ m as (select *, list_aggregate(a, 'avg') as ma, list_aggregate(b, 'avg') as mb,
 k as (select *, unnest([-12, -8, -4, 0, 4, 8]) as lag from m), n as (select *, unnest(range(16)) as i from k)
 select id, name, lag, round(sum((a[i + 1] - ma) * (b[i - lag + 1] - mb)) filter (where i - lag between 0 and 15) / (any_value(sa) * any_value(sb) * 16), 6) as r from n group by id, name, lag"""))
 def lag_xcorr(spark, d):
-    v = fe.centred(t.vectors(spark, d).withColumns({n: F.slice("x", 16 * i + 1, 16) for i, n in enumerate(CHANNELS)}), CHANNELS)
-    lags = fe.lag_list(STEPS, 4)
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lag).alias("lag"), R(fe.lagged_dot(F.col("abp"), F.col(n), STEPS, lag)).alias("r")) for n in CHANNELS[1:] for lag in lags]))
+    v, lags = t.vectors(spark, d), fe.lag_list(STEPS, 4)
+    part = {n: F.slice("x", 16 * i + 1, 16) for i, n in enumerate(CHANNELS)}
+    v = v.withColumns({n: fe.lagged_correlations(part["abp"], part[n], lags) for n in CHANNELS[1:]})
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lag).alias("lag"), R(F.col(n)[k]).alias("r")) for n in CHANNELS[1:] for k, lag in enumerate(lags)]))
     return v.select("id", rows.alias("e")).select("id", "e.name", "e.lag", "e.r")
 
 
