@@ -285,10 +285,19 @@ def _value(tops: list[Level]):
     return work
 
 
+def _own(parts: pa.Table, valued: pa.Table) -> pa.Table:
+    """Each part's answers, in the order of its keys: a part gets what it asked for, not the whole bucket."""
+    columns = ["kind", "bucket", "part"]
+    if not len(parts) or not len(valued):
+        return parts.slice(0, 0).select(columns).append_column("given", pa.array([], pa.binary()))
+    known, answers = (np.frombuffer(valued.column(c)[0].as_py(), t) for c, t in (("known", "<u8"), ("answers", "<f8")))
+    given = [answers[np.searchsorted(known, np.frombuffer(k, "<u8"))].tobytes() for k in parts.column("keys").to_pylist()]
+    return parts.select(columns).append_column("given", pa.array(given, pa.binary()))
+
+
 def _answer(places: pa.Table, values: pa.Table) -> pa.Table:
     """Each asker's answers, in the order of its keys."""
-    mine, known, answers = (np.frombuffer(values.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("known", "<u8"), ("answers", "<f8")))
-    given = answers[np.searchsorted(known, mine)]
+    given = np.frombuffer(values.column("given")[0].as_py(), "<f8")
     found = [given[np.frombuffer(v, "<u4")].tobytes() for v in places.column("vals").to_pylist()]
     return places.select(["chunk", "first_row", "n_rows", "kind", "bucket"]).append_column("vals", pa.array(found, pa.binary()))
 
@@ -396,7 +405,7 @@ def score_documents(docs: DataFrame, chunk_rows: int = CHUNK, bucket_bytes: int
     train_docs = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0).count()
     train_tokens, vocabulary = (words[0] or 0) + train_docs, (words[1] or 0) + (train_docs > 0)
     valued = totals.where("what = 'total'").select("kind", "bucket", "keys", "vals").mapInArrow(_value(_top_levels(totals)), "kind int, bucket int, known binary, answers binary")
-    values = parts.drop("vals").join(valued, ["kind", "bucket"])
+    values = parts.drop("vals").groupBy("kind", "bucket").cogroup(valued.groupBy("kind", "bucket")).applyInArrow(_own, "kind int, bucket int, part int, given binary")
     places = gathered.where("what = 'place'").select(*[F.col(c).alias(c) for c in ("kind", "bucket", "part", "chunk", "first_row", "n_rows", "vals")])
     key = ["kind", "bucket", "part"]
     answers = places.groupBy(*key).cogroup(values.groupBy(*key)).applyInArrow(_answer, "chunk long, first_row long, n_rows int, kind int, bucket int, vals binary")
