@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import root
+
 #: Rows of one document chunk, at most; a chunk is what one task holds at a time.
 CHUNK_ROWS = 2048
 #: Bytes of text that a chunk holds at most, if it holds more than one row.
@@ -18,11 +20,10 @@ _kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application's own in what all executors share: spark.checkpoint.dir, or where that is
-    unset the context's checkpoint folder or the warehouse. It is deleted when the application ends."""
+    """A folder of this application's own in what all executors share (see sources.scratch.root). It is deleted when the
+    application ends."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tidemark/{sc.applicationId}"
+    path = f"{root(spark)}/tidemark/{sc.applicationId}"
     if path not in _kept:
         _kept.add(path)
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
