@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import folder
 
-#: Ranges of one group.
-PARTS = 64
+#: Rows meant for one range, and ranges of a group at most.
+PART_ROWS, MOST_PARTS = 1 << 16, 4096
 #: Values of a group that one aggregate holds.
 HELD = 1 << 16
 
@@ -24,16 +24,26 @@ def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(named, same).drop(*[f"_r_{c}" for c in on])
 
 
-def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, parts: int = PARTS) -> DataFrame:
+def parts_for(rows: DataFrame, by: list[str] | None = None) -> int:
+    """How many ranges the largest group needs."""
+    sizes = rows.groupBy(*(by or [])).agg(F.count("*").alias("_n"))
+    return min(MOST_PARTS, max(1, -(-(sizes.agg(F.max("_n")).first()[0] or 1) // PART_ROWS)))
+
+
+def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Adds below_<c> (the sum of c over rows of the group with a smaller value) and all_<c> (of the whole group).
 
-    counts: one row for each group and value. Values are cut into ranges at approximate quantiles; each
-    range is summed on its own, and one row a group and range carries what lies below it.
+    counts: one row for each group and value. Values are cut into ranges of about PART_ROWS rows at
+    approximate quantiles; each range is summed on its own, and one row a group and range carries what lies below it.
     """
     by = list(by or [])
     named = counts if by else counts.withColumn("_one", F.lit(0))
     key = by or ["_one"]
-    cuts = named.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_cuts"))
+    parts = parts or parts_for(counts, by)
+    if parts == 1:
+        below, every = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
+        return named.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in sums} | {f"all_{c}": F.sum(c).over(every) for c in sums}).drop("_one")
+    cuts = named.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(1000, 8 * parts))).alias("_cuts"))
     cut = joined(named, cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(value) > c))).drop("_cuts")
     before, every = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
     offsets = cut.groupBy(*key, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])

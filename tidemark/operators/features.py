@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import array_mean, array_std
-from tidemark.functions.ranged import exact_percentiles, joined, running_sums
+from tidemark.functions.ranged import exact_percentiles, joined, parts_for, running_sums
 from tidemark.operators.pca import by_variance as pca_by_variance  # noqa: F401
 from tidemark.sources.scratch import folder
 
@@ -221,7 +221,7 @@ def digamma(n: Column) -> Column:
     return series - reduce(lambda a, b: a + b, [1 / (n.cast("double") + i) for i in range(10)])
 
 
-def mutual_information_near(df: DataFrame, label: str, x: str = "x", k: int = 3, parts: int = 64) -> DataFrame:
+def mutual_information_near(df: DataFrame, label: str, x: str = "x", k: int = 3, parts: int | None = None) -> DataFrame:
     """feature, mi: mutual information in nats of each feature with the class, estimated from nearest neighbours.
 
     For each row the distance r to its k-th nearest value of the same class and feature (fewer in smaller classes, rows
@@ -234,7 +234,9 @@ def mutual_information_near(df: DataFrame, label: str, x: str = "x", k: int = 3,
     """
     long = df.select(F.col(label).alias("y"), F.posexplode(x).alias("feature", "v")).select("feature", "y", F.col("v").cast("double").alias("v")).where("v is not null and y is not null")
     sizes = long.groupBy("feature", "y").agg(F.count("*").alias("size")).where("size > 1")
-    cuts = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_cuts"))
+    parts = parts or parts_for(long, ["feature"])
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(max(1000, 8 * parts))) if parts > 1 else F.array().cast("array<double>")
+    cuts = long.groupBy("feature").agg(F.count("*").alias("_n"), cuts.alias("_cuts")).drop("_n")  # a row a feature
     known = long.join(sizes, ["feature", "y"]).join(F.broadcast(cuts), "feature").withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("v") > c))).drop("_cuts")
     path = folder(df.sparkSession, "near")
     known.write.parquet(path)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranged import exact_percentiles, joined
+from tidemark.functions.ranged import exact_percentiles, joined, parts_for
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
@@ -111,10 +111,10 @@ def pearson_pvalue(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "x string, y string, n long, r double, p double")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name: str = "q", parts: int = 256) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name: str = "q", parts: int | None = None) -> DataFrame:
     """Adjusted p: p * n / rank, made monotone from the largest p down, at most 1; null p stay null.
 
-    With `by` each group is a family. Otherwise p is cut into ranges at approximate quantiles; each range
+    With `by` each group is a family. Otherwise p is cut into ranges of bounded size at approximate quantiles; each range
     is ranked on its own, and one row a range carries the ranks before it and the least value after it.
     """
     known = df.where(F.col(p).isNotNull())
@@ -125,8 +125,12 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name:
         raw = known.withColumn("_raw", F.col(p) * n / F.row_number().over(w))
         back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw").unionByName(rest)
-    cuts = known.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000)).alias("_cuts"))
-    cut = known.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(p) > c))).drop("_cuts")
+    parts = parts or parts_for(known)
+    if parts > 1:
+        cuts = known.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 8 * parts))).alias("_cuts"))
+        cut = known.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(p) > c))).drop("_cuts")
+    else:
+        cut = known.withColumn("_part", F.lit(0))
     every = Window.orderBy("_part")
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(every) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))

@@ -44,6 +44,16 @@ def count_rule_labels(spark, d):
     return labels.count_rule(w, ["subject_id", "ts_us"], F.col("k")).select("subject_id", "ts_us", "n_in", "n_out", "inside")
 
 
+@query(sql("daily limits", """w as (select l.subject_id, l.ts_us, l.lower, l.upper, s.mean as value from limits l join daily s on s.subject_id = l.subject_id and s.ts_us >= l.ts_us - 604800000000 and s.ts_us < l.ts_us),
+g as (select subject_id, ts_us, count(*) filter (where value between lower and upper) as n_in, count(*) filter (where value < lower or value > upper) as n_out from w group by all), h as (select *, n_in / 7.0::double as a, n_out / 7.0::double as b from g)
+select subject_id, ts_us, n_in, n_out, case when abs(a - b) >= 1 - a - b and n_in + n_out > 0 then a / (a + b) > 0.5 end as inside from h"""))
+def count_rule_by_day(spark, d):
+    """A week's daily means against limits: seven are expected, and days without a mean are missing."""
+    daily = t.daily(spark, d).select("subject_id", "ts_us", F.col("mean").alias("value"))
+    w = windows.samples_in(t.limits(spark, d).select("subject_id", "ts_us", "lower", "upper"), daily, "count", 7 * DAY)
+    return labels.count_rule(w, ["subject_id", "ts_us"], F.lit(7)).select("subject_id", "ts_us", "n_in", "n_out", "inside")
+
+
 @query(sql("limits", """s as (select subject_id, ts_us, avg((mean not between lower and upper)::int) over w as o, count((mean not between lower and upper)::int) over w as k, count(*) over w as c, ts_us - first(ts_us) over w as span
  from limits window w as (partition by subject_id order by ts_us rows between 2 preceding and current row))
 select subject_id, ts_us, case when c = 3 and span = 172800000000 and k = 3 then round(o, 6) end as share_outside, case when c = 3 and span = 172800000000 and k = 3 then o <= 0.46 end as inside from s"""))
