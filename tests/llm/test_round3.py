@@ -379,3 +379,32 @@ def test_ties_are_divided_into_ranges(spark):
     tied = docs.where("doc_id is null").select(F.xxhash64(F.monotonically_increasing_id()).alias("_tie"), "doc_id")
     sizes = [r["count"] for r in tied.repartitionByRange(8, "doc_id", "_tie").groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 3000
+
+
+# co-training where the views know different things
+
+
+def test_three_rounds_beat_one(spark):
+    """Sources tell the class and are all labelled; words are too many to be, but pages with a source teach them."""
+    from tidemark.llm import quality
+
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        y = i % 2
+        words = [f"{'good' if y else 'bad'}{rng.randrange(80)}" for _ in range(2)] + [f"filler{rng.randrange(200)}" for _ in range(58)]
+        rng.shuffle(words)
+        source = None if i >= 200 and rng.random() < 0.3 else f"{'g' if y else 'b'}{rng.randrange(6)}"
+        rows.append((i, " ".join(words), "en", source, 300))
+        if i < 200:
+            labels.append((i, y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    right = {}
+    for rounds in (1, 3):
+        model = quality.train(docs, labels, rounds=rounds)
+        unseen = quality.scored_by(docs, model).where("doc_id >= 200")
+        good = F.col("doc_id") % 2 == 1
+        hit = lambda c: F.avg(((F.col(c) >= 0.5) == good).cast("int"))
+        right[rounds] = unseen.agg(hit("text_score"), hit("score")).first()[:] + unseen.where("source is null").agg(hit("score")).first()[:]
+    assert all(b > a for a, b in zip(right[1], right[3])) and right[3][0] > right[1][0] + 0.05 and right[3][2] > right[1][2] + 0.02, right
