@@ -334,7 +334,9 @@ def test_no_family_of_words_shares_hashes(spark, n):
     assert one[0] != two[0]
 
 
-def test_window_hashes_are_those_of_their_words():
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_window_hashes_are_those_of_their_words(monkeypatch, block):
+    monkeypatch.setattr(textarrays, "BLOCK", block)
     rng = random.Random(1)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
@@ -342,7 +344,8 @@ def test_window_hashes_are_those_of_their_words():
     for n in (1, 2, 5, 10, 20, 33):
         got, starts = textarrays.windows(hashes, counts, n)
         want = [tuple(t.split()[k : k + n]) for t in texts for k in range(len(t.split()) - n + 1)]
-        assert len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+        firsts = [int(o) + k for o, t in zip(np.cumsum(counts) - counts, texts) for k in range(len(t.split()) - n + 1)]
+        assert starts.tolist() == firsts and len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
 
 
 def test_joined_frames_repeat_no_addresses(spark, tmp_path, awkward):

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes hashed at a time; longer texts are cut between words.
 PIECE = 1 << 20
+#: Words whose windows are hashed at a time.
+BLOCK = 1 << 16
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,20 +125,30 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of n words within one text, and where each starts among all words."""
-    total = len(hashes)
-    if total < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    left = np.repeat(ends, counts) - np.arange(total)  # words of the text from here on
-    starts = np.flatnonzero(left >= n)
-    tree, whole = hashes, None  # tree: hashes of 2**k words from each word on
-    for k in range(n.bit_length()):
-        if n >> k & 1:
-            whole = tree if whole is None else _pair(tree, whole, 1 << k)  # the larger part comes first
-        if n >> k + 1:
-            tree = _pair(tree, tree, 1 << k)
-    return mix(whole[starts] + np.uint64(n)), starts
+    """Hashes of all windows of n words within one text, and where each starts among all words.
+
+    BLOCK words are looked at together, with those that their windows reach, so little more is held than the result.
+    """
+    total, ends = len(hashes), np.cumsum(counts)
+    rolled, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a in range(0, total, BLOCK):
+        b = min(total, a + BLOCK)
+        texts = slice(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1)
+        first = ends[texts] - counts[texts]
+        here = np.maximum(np.minimum(ends[texts], b) - np.maximum(first, a), 0)
+        left = np.repeat(ends[texts], here) - np.arange(a, b)  # words of the text from here on
+        at = np.flatnonzero(left >= n)
+        if not len(at):
+            continue
+        tree, whole = hashes[a : min(total, b + n - 1)], None  # tree: hashes of 2**k words from each word on
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                whole = tree if whole is None else _pair(tree, whole, 1 << k)  # the larger part comes first
+            if n >> k + 1:
+                tree = _pair(tree, tree, 1 << k)
+        rolled.append(mix(whole[at] + np.uint64(n)))
+        starts.append(a + at)
+    return np.concatenate(rolled), np.concatenate(starts)
 
 
 def _pair(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
