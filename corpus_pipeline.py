@@ -16,6 +16,15 @@ from tidemark.llm.quality import classify
 from tidemark.llm.repeats import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of one Arrow batch, at most. Whole texts are long: Spark's 10,000 of them take much of a small executor's memory.
+BATCH_ROWS = 1024
+
+
+def _lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, also for what is read from the stage's result later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +33,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text, lang, source or n_chars is judged like any other value; repeated rows share one
     verdict; without labels of both classes every document stays; no documents give none.
     """
+    _lean(spark)
     return classify(docs, read_table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
@@ -33,6 +43,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Among equal doc_ids the row's address decides. Rows without words are in no group: those without a
     doc_id stay, others as one for each doc_id and text.
     """
+    _lean(spark)
     chunks = Chunks(docs, columns=tuple(COLUMNS))
     docs = chunks.docs
     grouped = jaccard_groups(chunks).where("label is not null")
@@ -52,6 +63,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays, a null doc_id being smallest and equal ones in the order of their rows. Null and empty texts
     stay as they are; no documents give none.
     """
+    _lean(spark)
     chunks = Chunks(docs, columns=tuple(COLUMNS))
     changed = remove_repeats(chunks).where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("row").alias("_row"), F.col("kept_text").alias("_kept"))
     joined = chunks.addressed(*COLUMNS, prefix="_").join(materialize(changed, "changed"), ["_chunk", "_row"], "left")
@@ -66,6 +78,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece with the end id; repeated rows are packed as often as they occur, a
     null doc_id stays null; no documents give no pieces.
     """
+    _lean(spark)
     return pack_documents(docs.select("doc_id", "text"))
 
 
