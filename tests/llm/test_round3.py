@@ -411,3 +411,21 @@ def test_three_rounds_beat_one(spark):
         hit = lambda c: F.avg(((F.col(c) >= 0.5) == good).cast("int"))
         right[rounds] = unseen.agg(hit("text_score"), hit("score")).first()[:] + unseen.where("source is null").agg(hit("score")).first()[:]
     assert all(b > a for a, b in zip(right[1], right[3])) and right[3][0] > right[1][0] + 0.05 and right[3][2] > right[1][2] + 0.02, right
+
+
+# rollups that are compacted again and again
+
+
+def test_compaction_forgets_what_it_covers(spark, tmp_path):
+    from tidemark.llm.rollups import SCHEMA, Rollup
+
+    r = Rollup(spark, str(tmp_path / "r"))
+    row = lambda n: spark.createDataFrame([("s", "en", "words", 1, n)], SCHEMA)
+    total = lambda: [tuple(t) for t in r.totals().collect()]
+    for k in range(6):
+        assert r.commit(f"b{k}", row(10**k)) and r.compact()
+        assert total() == [("s", "en", "words", k + 1, int("1" * (k + 1)))]
+        assert len(r._names("commits")) <= 2 and not r.commit("b0", row(7)) and not r.commit(f"b{k}", row(7))
+    assert total() == [("s", "en", "words", 6, 111111)] and r.committed("b0") and not r.committed("b9")
+    stored = [s.getPath().getName() for s in r._fs.listStatus(r._at("data"))]
+    assert sum(not n.startswith("base-") for n in stored) <= 2

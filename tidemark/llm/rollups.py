@@ -84,7 +84,14 @@ class Rollup:
         return folder
 
     def committed(self, batch_id: str) -> bool:
-        return bool(self._fs.exists(self._at(f"commits/{batch_id}")))
+        return bool(self._fs.exists(self._at(f"commits/{batch_id}"))) or batch_id in self._covered(self._base(), [batch_id])
+
+    def _covered(self, base: str | None, ids: list[str]) -> set[str]:
+        """Those of some batches that a base covers."""
+        if not base or not ids:
+            return set()
+        asked = self.spark.createDataFrame([(i,) for i in ids], "batch_id string")
+        return {r[0] for r in self.spark.read.parquet(self._at(f"{base}/covered").toString()).join(F.broadcast(asked), "batch_id", "left_semi").collect()}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes (KEYS, documents, tokens: signed). False: it was there before, or another writer was first."""
@@ -107,7 +114,7 @@ class Rollup:
         base, ids = self._base(), self._names("commits")
         folders = []
         if base:
-            seen = {r[0] for r in self.spark.read.parquet(self._at(f"{base}/covered").toString()).collect()}  # ids only, as many as the listing above
+            seen = self._covered(base, ids)
             ids = [i for i in ids if i not in seen]
             folders.append(f"{base}/totals")
         folders += [self._read(f"commits/{i}") for i in ids]
@@ -115,8 +122,13 @@ class Rollup:
         return (self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)), ids
 
     def compact(self) -> bool:
-        """Sum up all that is committed, so that readers open one folder instead of many. False: another writer was first."""
-        n = len(self._names("bases"))
+        """Sum up all that is committed, so that readers open one folder instead of many. False: another writer was first.
+
+        What the base before covered is deleted, commits and deltas, so there are never more of them than
+        two compactions leave; a reader may be one compaction behind. The ids stay known: a batch that is
+        delivered again later still changes nothing.
+        """
+        n, before = len(self._names("bases")), self._base()
         parts, ids = self._parts()
         covered = self.spark.createDataFrame([(i,) for i in ids], "batch_id string")
         if n:
@@ -124,7 +136,12 @@ class Rollup:
         folder = f"data/base-{uuid.uuid4().hex}"
         self._sums(parts).write.parquet(self._at(f"{folder}/totals").toString())
         covered.write.parquet(self._at(f"{folder}/covered").toString())
-        return self._publish(f"bases/{n:012d}", folder)
+        if not self._publish(f"bases/{n:012d}", folder):
+            return False
+        for i in self._covered(before, self._names("commits")):
+            self._fs.delete(self._at(self._read(f"commits/{i}")), True)
+            self._fs.delete(self._at(f"commits/{i}"), False)
+        return True
 
     def _sums(self, rows: DataFrame) -> DataFrame:
         sums = rows.groupBy(*KEYS).agg(F.sum("documents").cast("long").alias("documents"), F.sum("tokens").cast("long").alias("tokens"))
