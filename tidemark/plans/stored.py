@@ -178,6 +178,12 @@ def described_table(spark, d):
     return t.describe_table(t.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")).select("column", "nulls", "least", "most", "rows")
 
 
+@query(" union all ".join(f"""select '{c}' as "column", '{kind}' as type, count(*) - count({c}) as nulls, min({c})::varchar as least, max({c})::varchar as most, count(*) as rows from orders""" for c, kind in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))))
+def described_orders(spark, d):
+    """S16 on a whole table: type, nulls and extremes of all its columns."""
+    return t.describe_table(t.table(spark, d, "orders")).select("column", "type", "nulls", "least", "most", "rows")
+
+
 @query("select l_orderkey, l_linenumber, case l_returnflag when 'A' then 'accepted' when 'R' then 'returned' else l_returnflag end as flag from lineitem")
 def renamed_flags(spark, d):
     """Values renamed by a map; others stay."""
