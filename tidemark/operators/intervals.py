@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scan import BUCKET_US, following, highest, last, previous, scan, time_bucket, total
+from tidemark.functions.scan import BUCKET_US, following, highest, last, scan, time_bucket, total
+from tidemark.sources.scratch import stored
 
 
 def change_points(points: DataFrame, key: str, time: str, value: str, end: Column | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -30,15 +31,16 @@ def subtract(valid: DataFrame, bad: DataFrame, key: str = "subject_id", bucket_u
     steps = own.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 0, 1, F.col("segment")), point("end_us", 0, 0, none))).alias("e"))
     steps = steps.unionByName(bad.where("end_us > start_us").select(key, F.explode(F.array(point("start_us", 1, None, none), point("end_us", -1, None, none))).alias("e")))
     # at one time a beginning overrides an end
-    net = steps.groupBy(key, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"), F.max("e.begins").alias("begins"), F.max("e.segment").alias("segment"))
+    net = stored(steps.groupBy(key, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"), F.max("e.begins").alias("begins"), F.max("e.segment").alias("segment")), "sweep")
     begun = F.when(F.col("begins").isNotNull(), F.struct("begins", "segment"))
     swept = scan(net, [key], ["t"], time_bucket("t", bucket_us), {"_after": following("t"), "bad": total("d"), "s": last(begun)})
     swept = swept.select(key, F.col("t").alias("start_us"), F.col("_after.t").alias("end_us"), "bad", "s")
     owned = swept.where("s.begins = 1 and bad = 0 and end_us > start_us").select(key, "s.segment", "start_us", "end_us")
-    along = ([key, "segment"], ["start_us"], time_bucket("start_us", bucket_us))
-    new = scan(owned, *along, {"_before": previous("end_us")}).withColumn("_new", (~F.col("_before.end_us").eqNullSafe(F.col("start_us"))).cast("int"))
-    grouped = scan(new.drop("_before"), *along, {"_run": total("_new")})
-    return grouped.groupBy(key, "segment", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_run")
+    # pieces don't overlap, so those that follow each other without a gap have the same start less all lengths before
+    pieces = owned.withColumn("_length", F.col("end_us") - F.col("start_us"))
+    joined = scan(pieces, [key, "segment"], ["start_us"], time_bucket("start_us", bucket_us), {"_passed": total("_length", own=False)})
+    joined = joined.withColumn("_run", F.col("start_us") - F.coalesce("_passed", F.lit(0)))
+    return joined.groupBy(key, "segment", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_run")
 
 
 def with_samples(pieces: DataFrame, segments: DataFrame, key: str = "subject_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranged import exact_percentiles, joined, parts_for
+from tidemark.sources.scratch import stored
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
@@ -125,6 +126,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name:
         raw = known.withColumn("_raw", F.col(p) * n / F.row_number().over(w))
         back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw").unionByName(rest)
+    known = stored(known, "ranked")  # read several times
     parts = parts or parts_for(known)
     if parts > 1:
         cuts = known.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 8 * parts))).alias("_cuts"))

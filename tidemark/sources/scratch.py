@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def folder(spark: SparkSession, name: str) -> str:
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back, where several steps need it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
