@@ -429,3 +429,12 @@ def test_compaction_forgets_what_it_covers(spark, tmp_path):
     assert total() == [("s", "en", "words", 6, 111111)] and r.committed("b0") and not r.committed("b9")
     stored = [s.getPath().getName() for s in r._fs.listStatus(r._at("data"))]
     assert sum(not n.startswith("base-") for n in stored) <= 2
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_nra_top_k", "op13_prefix_trie"])
+def test_queries_match_sql(spark, sf_dir, name):
+    from compare import assert_same
+
+    from tidemark.llm import catalog
+
+    assert_same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name], sf_dir)

@@ -11,7 +11,7 @@ from tidemark.llm.quality import op8_cotrained_quality
 from tidemark.llm.repeats import OP5_SQL, op5_substring_dedup
 from tidemark.llm.rollups import op3_token_rollups
 from tidemark.llm.sharding import op10_feistel_sharding
-from tidemark.llm.spelling import op11_spelling_variants
+from tidemark.llm.spelling import OP11_SQL, op11_spelling_variants
 from tidemark.llm.toplists import OP12_SQL, op12_nra_top_k
 
 QUERIES = {
@@ -32,6 +32,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_nra_top_k": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }

@@ -147,3 +147,33 @@ def variants(docs: DataFrame) -> DataFrame:
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with recursive tab as (
+  select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))) as tab
+), runs as (
+  select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{7,}')) as run from documents
+), told as (
+  select run, k, hex(encode(d || ':' || run)) as x from (select d, run, count(*) as k from runs group by all)
+), hashed as (
+  select run, k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(x) // 2), lambda i: (16 * instr('123456789ABCDEF', substr(x, 2 * i::int + 1, 1)) + instr('123456789ABCDEF', substr(x, 2 * i::int + 2, 1)))::bigint)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) as h from told, tab
+), words as (
+  select word, sum(k)::bigint as n from (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from hashed) group by word having length(word) >= 7 and sum(k) >= 2
+), cut as (
+  select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+), near as (
+  select a.word, b.word as near from cut a join cut b using (i, rest) where a.word != b.word
+  union select c.word, w.word from cut c join words w on w.word = c.rest union select w.word, c.word from cut c join words w on w.word = c.rest
+), ranked as (
+  select near.word, near, w.n as near_n, count(*) over (partition by near.word) as n_near, row_number() over (partition by near.word order by w.n desc, near) as k from near join words w on w.word = near
+), forms as (
+  select words.word, case when near_n >= 10 * n then near end as form, n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 10 * n then near_n end as form_n from words left join ranked on ranked.word = words.word and k = 1
+), walk(word, reached) as (
+  select word, word from forms union all select walk.word, form from walk join forms on forms.word = walk.reached where form is not null
+), ends as (
+  select walk.word, walk.reached as root from walk join forms on forms.word = walk.reached where form is null
+)
+select forms.word, form, root, n, n_near, form_n from forms join ends using (word)
+"""
