@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tree import added
+
 #: Arrays of up to this width take all their directions in one block, which needs no power steps.
 NARROW = 1024
 #: Directions of one block for wider arrays.
 BLOCK = 256
-#: Rows of a slab of the width x block product that travel as one value, and values added up in one task.
-SLAB, FAN = 1024, 64
+#: Rows of a slab of the width x block product that travel as one value.
+SLAB = 1024
 
 
 @dataclass
@@ -47,22 +49,6 @@ def _rows(batch: pa.RecordBatch, at: int, rows: int) -> np.ndarray:
     return part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
 
 
-def _added(df: DataFrame, how: str) -> DataFrame:
-    """One value for each `what`: sums, or the R of the stacked R factors; FAN values meet in a task at a time, twice."""
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v, np.float64) for v in table.column("value").to_pylist()]
-        if how == "qr":
-            width = int(round(len(parts[0]) ** 0.5))
-            out = np.linalg.qr(np.vstack([p.reshape(-1, width) for p in parts]), mode="r")
-        else:
-            out = np.sum(parts, axis=0)
-        return pa.table({"what": table.column("what")[:1], "part": table.column("part")[:1], "value": pa.array([out.tobytes()], pa.binary())})
-
-    once = df.groupBy("what", F.floor(F.col("part") / FAN).alias("_set")).applyInArrow(add, "what int, part long, value binary")
-    return once.groupBy("what").applyInArrow(add, "what int, part long, value binary")
-
-
 def _sums(df: DataFrame) -> tuple[int, np.ndarray]:
     """Number of rows and their mean."""
 
@@ -75,7 +61,7 @@ def _sums(df: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_pydict({"what": pa.array([0], pa.int32()), "value": pa.array([np.append(total, n).tobytes()], pa.binary())})
 
-    row = _added(df.mapInArrow(work, "what int, value binary").withColumn("part", F.monotonically_increasing_id()), "sum").first()
+    row = added(df.mapInArrow(work, "what int, value binary").withColumn("part", F.monotonically_increasing_id()), "sum").first()
     if row is None:
         return 0, np.zeros(0)
     both = np.frombuffer(row["value"], np.float64)
@@ -104,7 +90,7 @@ def _pass(df: DataFrame, mean: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_pydict({"what": pa.array(range(-2, len(slabs)), pa.int32()), "value": pa.array(values, pa.binary()), "task": pa.array([0] * len(values), pa.int64())})
 
     parts = df.mapInArrow(work, "what int, value binary, task long").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)).drop("task")
-    found = {r["what"]: np.frombuffer(r["value"], np.float64) for r in _added(parts.where("what != -2"), "sum").unionByName(_added(parts.where("what = -2"), "qr")).collect()}
+    found = {r["what"]: np.frombuffer(r["value"], np.float64) for r in added(parts.where("what != -2"), "sum").unionByName(added(parts.where("what = -2"), "qr")).collect()}
     held.destroy()
     z = np.vstack([found[k].reshape(-1, q.shape[1]) for k in range(len(found) - 2)])
     return found[-2].reshape(-1, q.shape[1]), z, float(found[-1][0])

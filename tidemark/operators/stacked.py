@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tree import added
+
 #: Numbers of all fits' curvature that one pass gathers; more fits take turns.
 HELD = 1 << 22
 #: Widest features that are fitted this way.
 WIDEST = 512
-FAN = 64
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,9 @@ class Fit:
 
 
 def _added(df: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the arrays of each `what`; FAN meet in a task at a time, twice."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(v, np.float64) for v in table.column("value").to_pylist()], axis=0)
-        return pa.table({"what": table.column("what")[:1], "part": table.column("part")[:1], "value": pa.array([total.tobytes()], pa.binary())})
-
+    """Sums of the arrays of each `what` over all tasks."""
     parts = df.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33))
-    once = parts.groupBy("what", F.floor(F.col("part") / FAN).alias("_set")).applyInArrow(add, "what int, part long, value binary")
-    return {r["what"]: np.frombuffer(r["value"], np.float64) for r in once.groupBy("what").applyInArrow(add, "what int, part long, value binary").collect()}
+    return {r["what"]: np.frombuffer(r["value"], np.float64) for r in added(parts).collect()}
 
 
 def _blocks(batches):
