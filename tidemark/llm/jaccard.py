@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Chunks, materialize, power_of_two, read_table
 from tidemark.llm.exchange import by_bucket, groups_of, join_binary
 from tidemark.llm.graph import connected_components
-from tidemark.llm.textarrays import column, hash_words, mix, runs, windows
+from tidemark.llm.textarrays import column, hash_words, mix, release, runs, windows
 
 SHINGLE = 5
 #: Two documents link at 100 * intersection >= PERCENT * union.
@@ -109,6 +109,7 @@ def _describe(percent: int):
                 alone = int((kind == 0).sum())
                 may = len(s) and 100 * (len(s) - alone) >= percent * len(s)
                 out.append((chunk, row, doc_id, len(s), digest(s) if len(s) else None, alone, s.astype("<u8").tobytes() if may else None, kind.tobytes() if may else None))
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SET_TYPES)] if out else [pa.array([], t) for t in _SET_TYPES], [x.split()[0] for x in _SETS.split(", ")])
 
     return work

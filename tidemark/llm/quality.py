@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read_table
-from tidemark.llm.textarrays import column, hash_words, windows
+from tidemark.llm.textarrays import column, hash_words, release, windows
 
 #: Labelled rows used for fitting and calibration, at most (the smallest by hash of doc_id).
 LABELLED_ROWS = 40_000
@@ -175,6 +175,7 @@ def featured(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("array<float>")
     def content(texts: pa.Array) -> pa.Array:
         flat = np.concatenate([np.zeros((0, len(TEXT_FEATURES) + WORDS), np.float32), *(text_features(*column(texts.slice(k, ROWS))) for k in range(0, len(texts), ROWS))])
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
     return docs.select("doc_id", content(F.col("text").cast("binary")).alias("text_x"), meta_features().cast("array<float>").alias("meta_x"))
@@ -287,6 +288,7 @@ def score(model: Model, threshold: float = THRESHOLD) -> Column:
             a[some] = model.views[0].logit(text_features(*column(texts.slice(k, ROWS))))
             b[some] = model.views[1].logit(meta[some].astype(float))
         both = _sigmoid(a * model.mix[0] + b * model.mix[1] + model.mix[2])
+        release()
         return pa.StructArray.from_arrays([pa.array(_sigmoid(a)), pa.array(_sigmoid(b)), pa.array(both), pa.array(both >= threshold)], names)
 
     return work(F.col("text").cast("binary"), meta_features().cast("array<float>"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Chunks, materialize, power_of_two, read_table
 from tidemark.llm.exchange import by_bucket, groups_of, join_binary, unpack
-from tidemark.llm.textarrays import column, hash_words, runs, windows
+from tidemark.llm.textarrays import column, hash_words, release, runs, windows
 
 WINDOW = 20
 #: Bytes of text meant for one bucket of anchors, and for one of windows.
@@ -104,6 +104,7 @@ def _extend(window: int, block: int, bits: int):
             a = int(np.searchsorted(rows, first))
             part = docs.slice(a, mine.column("n_rows")[0].as_py())
             out += _extend_run(part, int(first), mine, window, block, bits)
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES], _NAMES)
 
     return work

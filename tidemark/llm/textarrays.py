@@ -8,6 +8,7 @@ of texts shares hashes by its form; two given words or windows share one with a
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -157,6 +158,14 @@ def _pair(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
     return mix(left[:size] * _A + right[gap : gap + size] + _B)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: a worker lives on between tasks, several of them in one executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def runs(batches, key: str = "chunk") -> Iterator[pa.Table]:
     """The rows of a mapInArrow iterator as one table for each run of rows that share key."""
     held: list[pa.RecordBatch] = []
@@ -172,6 +181,8 @@ def runs(batches, key: str = "chunk") -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    release()
 
 
 def crc32_text(ids) -> np.ndarray:
