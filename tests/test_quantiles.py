@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,25 @@ def test_callers_agree_on_both_ways(spark, values, monkeypatch):
     plain = run()
     monkeypatch.setattr(ranged.exact_percentiles, "__defaults__", (None, 10))
     assert repr(run()) == repr(plain)
+
+
+def test_adjusted_p_of_many_rows_ties_and_families(spark, capsys):
+    """A frame from the row to the last one is worked out anew for each row: the square of a range's rows."""
+    rng = np.random.default_rng(4)
+    ps = np.concatenate([rng.random(60_000), np.full(20_000, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(ps)), "p": ps, "f": np.arange(len(ps)) % 2}))
+
+    def want(v):
+        order = np.argsort(v, kind="stable")
+        out = np.empty(len(v))
+        out[order] = np.minimum(1, np.minimum.accumulate((v[order] * len(v) / np.arange(1, len(v) + 1))[::-1])[::-1])
+        return out
+
+    for parts in (1, 5):
+        done = stats.benjamini_hochberg(df, "p", parts=parts)
+        done.explain()
+        assert "currentrow$(), unboundedfollowing$()" not in capsys.readouterr().out
+        got = done.toPandas().sort_values("i")
+        assert np.array_equal(got["q"].to_numpy(), want(ps))
+    got = stats.benjamini_hochberg(df, "p", ["f"]).toPandas().sort_values("i")
+    assert all(np.array_equal(got["q"].to_numpy()[k::2], want(ps[k::2])) for k in (0, 1))

@@ -30,6 +30,12 @@ def parts_for(rows: DataFrame, by: list[str] | None = None) -> int:
     return min(MOST_PARTS, max(1, -(-(sizes.agg(F.max("_n")).first()[0] or 1) // PART_ROWS)))
 
 
+def _cut(rows: DataFrame, value: str, key: list[str], parts: int) -> DataFrame:
+    """Adds _part: ranges of each group's values at approximate quantiles."""
+    cuts = rows.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(1000, 8 * parts))).alias("_cuts"))
+    return joined(rows, cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(value) > c))).drop("_cuts")
+
+
 def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Adds below_<c> (the sum of c over rows of the group with a smaller value) and all_<c> (of the whole group).
 
@@ -43,8 +49,7 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     if parts == 1:
         below, every = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
         return named.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in sums} | {f"all_{c}": F.sum(c).over(every) for c in sums}).drop("_one")
-    cuts = named.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(1000, 8 * parts))).alias("_cuts"))
-    cut = joined(named, cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(value) > c))).drop("_cuts")
+    cut = _cut(named, value, key, parts)
     before, every = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
     offsets = cut.groupBy(*key, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     offsets = offsets.select(*key, "_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums], *[F.sum(f"_s_{c}").over(every).alias(f"all_{c}") for c in sums])
@@ -53,6 +58,25 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     return out.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_b_{c}") for c in sums}).drop("_part", "_one", *[f"_b_{c}" for c in sums])
 
 
+def least_ahead(rows: DataFrame, value: str, of: str, name: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Adds name: the least `of` over the rows of the group whose value is not smaller.
+
+    rows: one row for each group and value; ranges as in running_sums, taken from the largest value down, since
+    a frame that ends at the last row is worked out anew for each row.
+    """
+    by = list(by or [])
+    named = rows if by else rows.withColumn("_one", F.lit(0))
+    key = by or ["_one"]
+    parts = parts or parts_for(rows, by)
+    down = lambda *more: Window.partitionBy(*key, *more)
+    if parts == 1:
+        return named.withColumn(name, F.min(of).over(down().orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0))).drop("_one")
+    cut = _cut(named, value, key, parts)
+    after = cut.groupBy(*key, "_part").agg(F.min(of).alias("_m")).select(*key, "_part", F.min("_m").over(down().orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    own = F.min(of).over(down("_part").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return joined(cut, after, [*key, "_part"]).withColumn(name, F.least(own, "_after")).drop("_part", "_one", "_after")
+
+
 def ordered_bits(value: Column) -> Column:
     """The bits of doubles as longs that have their order (-0.0 as 0.0, NaN last)."""
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranged import exact_percentiles, joined, parts_for
+from tidemark.functions.ranged import exact_percentiles, joined, least_ahead, parts_for, running_sums
 from tidemark.sources.scratch import stored
 
 
@@ -115,34 +115,18 @@ def pearson_pvalue(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, name: str = "q", parts: int | None = None) -> DataFrame:
     """Adjusted p: p * n / rank, made monotone from the largest p down, at most 1; null p stay null.
 
-    With `by` each group is a family. Otherwise p is cut into ranges of bounded size at approximate quantiles; each range
-    is ranked on its own, and one row a range carries the ranks before it and the least value after it.
+    With `by` each group is a family. Equal p share the rank of their last one, so each different p is counted,
+    ranked and adjusted once, range by range, and told to the rows that have it.
     """
-    known = df.where(F.col(p).isNotNull())
+    by = by or []
+    known = stored(df.where(F.col(p).isNotNull()), "known")  # read twice
     rest = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(F.col(p))
-        n = F.count(p).over(Window.partitionBy(*by))
-        raw = known.withColumn("_raw", F.col(p) * n / F.row_number().over(w))
-        back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw").unionByName(rest)
-    known = stored(known, "ranked")  # read several times
-    parts = parts or parts_for(known)
-    if parts > 1:
-        cuts = known.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 8 * parts))).alias("_cuts"))
-        cut = known.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col(p) > c))).drop("_cuts")
-    else:
-        cut = known.withColumn("_part", F.lit(0))
-    every = Window.orderBy("_part")
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", (F.sum("_n").over(every) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    w = Window.partitionBy("_part").orderBy(F.col(p))
-    raw = cut.join(F.broadcast(offsets), "_part").withColumn("_raw", F.col(p) * F.col("_all") / (F.row_number().over(w) + F.col("_before")))
-    least = raw.groupBy("_part").agg(F.min("_raw").alias("_m"))
-    after = least.select("_part", F.min("_m").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = raw.withColumn("_own", F.min("_raw").over(back)).join(F.broadcast(after), "_part")
-    return out.withColumn(name, F.least(F.lit(1.0), "_own", "_after")).drop("_part", "_before", "_all", "_raw", "_own", "_after").unionByName(rest)
+    counts = stored(known.groupBy(*by, p).agg(F.count("*").alias("_n")), "counts")
+    parts = parts or parts_for(counts, by)
+    ranked = running_sums(counts, p, ["_n"], by, parts)
+    raw = stored(ranked.select(*by, p, (F.col(p) * F.col("all__n") / (F.col("below__n") + F.col("_n"))).alias("_raw")), "raw")
+    adjusted = least_ahead(raw, p, "_raw", "_least", by, parts).select(*by, p, F.least(F.lit(1.0), "_least").alias(name))
+    return joined(known, adjusted, [*by, p]).unionByName(rest)
 
 
 def conditional_share(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
