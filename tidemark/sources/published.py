@@ -6,18 +6,26 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _PART = "_part_"
+#: Folders that one version is written to, at most; partitions are dealt to them by hash.
+BUCKETS = 64
+
+
+def _key(by: list[str]) -> Column:
+    """One text for each combination of partition values; nulls are values."""
+    return F.to_json(F.struct(*by))
 
 
 class Published:
     """A table in a folder: data/<attempt>/ holds what writers wrote, manifests/<number> says which of it counts.
 
-    A manifest is created once and never changed: it names, for each value of the partition columns, the
-    folder with its rows, and their schema. Readers follow the manifest of the highest number, so they see
+    A manifest is created once and never changed: it names, for each of BUCKETS hashes of the partition columns, the
+    folders with their rows, and the schema. So files and manifests don't grow with the number of partitions; where one is
+    replaced, the others of its bucket are written again. Readers follow the manifest of the highest number, so they see
     a version whole or not at all; what a writer that was killed has left is in no manifest. Of two writers that make the
     same number one wins; the other starts from the winner's manifest.
     """
@@ -67,24 +75,36 @@ class Published:
         finally:
             self._fs.delete(aside, False)
 
-    def _written(self, df: DataFrame, by: list[str]) -> dict[str, str]:
-        """Rows written aside: the folder of each value of the partition columns. The columns stay in the files, with their types."""
+    def _written(self, df: DataFrame, by: list[str]) -> dict[str, list[str]]:
+        """Rows written aside: the folder of each bucket. The partition columns stay in the files, with their types."""
         folder = f"data/{uuid.uuid4().hex}"
-        marked = df.withColumns({f"{_PART}{c}": F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) for c in by})
-        marked.write.partitionBy(*[f"{_PART}{c}" for c in by]).parquet(f"{self.path}/{folder}")
-        found = {"": folder}
-        for _ in by:
-            found = {f"{k}/{n}".lstrip("/"): f"{f}/{n}" for k, f in found.items() for n in (s.getPath().getName() for s in self._fs.listStatus(self._at(f))) if n.startswith(_PART)}
-        return found
+        dealt = df.withColumn(_PART, F.pmod(F.xxhash64(_key(by)), F.lit(BUCKETS)))
+        dealt.repartition(_PART).write.partitionBy(_PART).parquet(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))]
+        return {n: [f"{folder}/{n}"] for n in names if n.startswith(_PART)}
+
+    def _rows(self, schema: StructType, folders: dict) -> DataFrame:
+        paths = [f"{self.path}/{f}" for some in folders.values() for f in ([some] if isinstance(some, str) else some)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _add(self, df: DataFrame, by: list[str], known) -> int:
         found = self._written(df, by)
         while True:
             have = self.versions()
             before = self._manifest(have[-1]) if have else {"schema": None, "folders": {}}
-            manifest = {"schema": json.loads(df.schema.json()), "folders": known(have, before["folders"]) | found}
+            stay = known(have, before["folders"])
+            # what shares a bucket with df's partitions; all of a version with other buckets
+            met = {b: f for b, f in stay.items() if b in found or before.get("buckets") != BUCKETS}
+            folders = {b: f for b, f in stay.items() if b not in met}
+            parts = [found]
+            if met:
+                replaced = self._rows(df.schema, found).select(_key(by).alias("_key")).distinct()
+                others = self._rows(StructType.fromJson(before["schema"]), met).withColumn("_key", _key(by)).join(replaced, "_key", "left_anti")
+                parts.append(self._written(others.drop("_key"), by))
+            for part in parts:
+                folders |= {b: folders.get(b, []) + f for b, f in part.items()}
             version = have[-1] + 1 if have else 0
-            if self._publish(version, manifest):
+            if self._publish(version, {"schema": json.loads(df.schema.json()), "buckets": BUCKETS, "folders": folders}):
                 return version
 
     def create(self, df: DataFrame, by: list[str]) -> int:
@@ -108,6 +128,4 @@ class Published:
         if not have or version is not None and version not in have:
             raise FileNotFoundError(self.path)
         manifest = self._manifest(have[-1] if version is None else version)
-        schema = StructType.fromJson(manifest["schema"])
-        paths = [f"{self.path}/{f}" for f in manifest["folders"].values()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._rows(StructType.fromJson(manifest["schema"]), manifest["folders"])
