@@ -1,11 +1,13 @@
 """Published tables: versions are whole, killed writers change nothing, of two writers one wins."""
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources import sinks
-from tidemark.sources.published import Published
+from tidemark.sources.published import BUCKETS, Published
 
 SCHEMA = "mode string, subject_id string, n int"
 
@@ -72,3 +74,29 @@ def test_writers_at_once(spark, tmp_path):
 
     with ThreadPoolExecutor(4) as pool:
         assert sorted(map(repr, pool.map(create, range(4)))) == ["0", "None", "None", "None"]
+
+
+def test_folders_dont_grow_with_subjects(spark, tmp_path):
+    """A folder a subject took longer than in proportion to list, to replace and to read."""
+    many = spark.range(3000).selectExpr("'mean' mode", "cast(id as string) subject_id", "cast(id as int) n")
+    new = many.where("n % 2 = 0").withColumn("n", F.lit(-1)).unionByName(spark.createDataFrame([("mean", None, 7), ("", "0", 8)], SCHEMA))
+    want = rows(many.where("n % 2 = 1").unionByName(new))
+    sinks.write_in_out(many, str(tmp_path / "io"))
+    sinks.write_in_out(new, str(tmp_path / "io"))
+    assert rows(spark.read.parquet(str(tmp_path / "io")).select("mode", "subject_id", "n")) == want
+    assert len(list((tmp_path / "io").rglob("*.parquet"))) <= BUCKETS
+    sinks.publish_in_out(many, str(tmp_path / "v"))
+    sinks.publish_in_out(new, str(tmp_path / "v"))
+    assert rows(sinks.read_published(spark, str(tmp_path / "v"))) == want
+    assert len(list((tmp_path / "v").rglob("*.parquet"))) <= 3 * BUCKETS
+
+
+def test_a_version_with_a_folder_a_partition_is_taken_over(spark, tmp_path):
+    df = spark.createDataFrame([("mean", "a", 1), ("mean", "b", 2)], SCHEMA)
+    table = Published(spark, str(tmp_path))
+    for s in "ab":
+        df.where(F.col("subject_id") == s).write.parquet(f"{tmp_path}/data/x/{s}")
+    table._publish(0, {"schema": json.loads(df.schema.json()), "folders": {s: f"data/x/{s}" for s in "ab"}})
+    assert rows(table.read()) == rows(df)
+    sinks.publish_in_out(spark.createDataFrame([("mean", "b", 3)], SCHEMA), str(tmp_path))
+    assert rows(table.read()) == [("mean", "a", 1), ("mean", "b", 3)] and rows(table.read(0)) == rows(df)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.sources.published import Published
+from tidemark.sources.published import BUCKETS, Published
+from tidemark.sources.scratch import stored
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
@@ -15,8 +17,21 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def write_in_out(df: DataFrame, path: str, exclusive: bool = False) -> None:
-    """Inside / outside results by mode and subject: replaces the written partitions, or everything if exclusive."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if exclusive else "dynamic").partitionBy("mode", "subject_id").parquet(path)
+    """Inside / outside results by mode and subject: replaces those of the written (mode, subject), or everything if exclusive.
+
+    Subjects may be many, so they are dealt to BUCKETS folders by hash; the other results of a folder are written
+    again. Writers at once need publish_in_out.
+    """
+    spark, key = df.sparkSession, F.to_json(F.struct("mode", "subject_id"))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not exclusive and fs.exists(at) and any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(at)):
+        dealt = stored(dealt, "in_out")  # read several times
+        met = F.broadcast(dealt.select("bucket").distinct())
+        others = spark.read.parquet(path).join(met, "bucket").withColumn("_key", key).join(dealt.select(key.alias("_key")).distinct(), "_key", "left_anti")
+        dealt = dealt.unionByName(others.drop("_key"), allowMissingColumns=True)
+    dealt.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static" if exclusive else "dynamic").partitionBy("bucket").parquet(path)
 
 
 def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
