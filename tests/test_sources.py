@@ -48,6 +48,24 @@ def test_vectors_in_out_and_publish(spark, tmp_path):
     assert sorted((x.artifact, x.n) for x in spark.read.parquet(str(tmp_path / "p")).collect()) == [("x", 5), ("y", 2)]
 
 
+def test_files_by_value_without_sorting(spark, tmp_path):
+    """Sorting a task's rows by the value took memory in proportion to the rows."""
+    sc, name = spark.sparkContext, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    sc.setJobGroup("by value", "")
+    try:
+        sinks.write_by_value(spark.range(200_000).selectExpr("id", "id % 3 as v"), "v", str(tmp_path / "few"))
+        jobs = sc.statusTracker().getJobIdsForGroup("by value")
+        stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert stages and sum(sc._jsc.sc().statusStore().lastStageAttempt(s).peakExecutionMemory() for s in stages) < 1_000_000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sinks.write_by_value(spark.range(100).selectExpr("id", "id % 9 as v"), "v", str(tmp_path / "many"), files=1)
+    for folder, n in (("few", 3), ("many", 9)):
+        assert tables.list_files(spark, str(tmp_path / folder), "*.parquet").count() == n
+    assert spark.read.parquet(str(tmp_path / "few")).where("id % 3 = v").count() == 200_000 and spark.conf.get(name) == before
+
+
 def test_models_and_boards(spark, tmp_path):
     from tidemark.operators import models
 

@@ -65,7 +65,7 @@ def demographics_from_csv(spark, d):
 def listed_files(spark, d):
     """Files by pattern, contents unread: one a value of the partition column."""
     path = scratch.folder(spark, "files")
-    t.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey").repartition("l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    sinks.write_by_value(t.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey"), "l_returnflag", path)
     found = t.list_files(spark, path, "*.parquet")
     return found.groupBy(F.regexp_extract("path", "l_returnflag=([^/]+)", 1).alias("flag")).agg(F.count("*").alias("files"))
 

@@ -34,6 +34,18 @@ def write_in_out(df: DataFrame, path: str, exclusive: bool = False) -> None:
     dealt.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static" if exclusive else "dynamic").partitionBy("bucket").parquet(path)
 
 
+def write_by_value(df: DataFrame, by: str, path: str, files: int = 64) -> None:
+    """One Parquet file a value of a partition column. A task keeps up to `files` of them open; only where it has more values
+    are its rows sorted first."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, files)
+    try:
+        df.repartition(by).write.partitionBy(by).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Artefacts (a column `artifact` names them): refused where the target exists, or replacing those of the same name."""
     if overwrite:
