@@ -1,6 +1,7 @@
 """Principal components against a singular value decomposition, nearest neighbours against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import neighbours, pca
@@ -108,3 +109,21 @@ def test_correlations_at_all_lags(spark):
             pairs = [(x[i + lag] - x.mean()) * (y[i] - y.mean()) for i in range(n) if 0 <= i + lag < n]
             assert abs(c - (sum(pairs) / s if s > 1e-12 else 0)) < 1e-12
     assert got[11] is None and all(got[k] == [0.0] * len(lags) for k in (10, 12, 13, 14))
+
+
+def test_visits_leave_in_bounded_batches():
+    """All visits of 256 queries in one batch, each with its query's vector, grew with the number of cells."""
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(3)
+    pivots, v = rng.normal(size=(300, 4)), rng.normal(size=(500, 4))
+    best = np.array([(c, 9.0) for c in range(300) for _ in range(3)])
+    cells = np.array([(c, 0, 0.0, 99.0) for c in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(v.tolist(), pa.list_(pa.float64()))], ["_q", "_v"])
+    out = list(neighbours._route(Held(pivots), Held((best, cells)), 2)([batch]))
+    assert max(b.num_rows for b in out) <= 4096
+    pairs = pa.Table.from_batches(out)
+    assert set(zip(pairs["_q"].to_pylist(), pairs["cell"].to_pylist())) == {(q, c) for q in range(500) for c in range(300)} and pairs.num_rows == 150_000
+    assert np.array_equal(np.array(pairs["_v"].to_pylist()), v[pairs["_q"].to_numpy()])
