@@ -160,3 +160,13 @@ def test_halos_reach_back(frame):
     placed = with_halo(frame, "t", 6, 10).collect()
     own = {(r.k, r.i): r._bucket for r in placed if not r._halo}
     assert len(own) == frame.count() and all(r._bucket == own[r.k, r.i] + 1 and r.t + 6 >= 10 * r._bucket for r in placed if r._halo)
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    """Series shuffle to next to nothing, so tasks of so many bytes held all rows of a table."""
+    rows = spark.range(20_000).selectExpr("cast(id div 20 as string) k", "id % 20 t", "id % 20 > 7 f")
+    monkeypatch.setattr("tidemark.functions.scan.TASK_ROWS", 1000)
+    runs = episodes.run_ids(rows, "k", ["t"], "f", bucket_us=1)
+    sizes = [r["count"] for r in runs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 4000
+    assert {(r.f, r.run, r.n) for r in runs.groupBy("f", "run").agg(F.count("*").alias("n")).collect()} == {(False, 1, 8000), (True, 2, 12_000)}

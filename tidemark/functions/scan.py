@@ -14,10 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import DAY, col
+from tidemark.sources.scratch import stored
 
 
 #: Microseconds of time that one bucket covers where nothing else is asked for.
 BUCKET_US = DAY
+#: Rows that one task sorts, about. Ordered series compress so well that tasks of a given number of shuffled bytes hold millions.
+TASK_ROWS = 1 << 17
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by columns to as many tasks as its number of rows asks for; few rows stay as they are."""
+    return df.repartition(-(-rows // TASK_ROWS), *by) if rows > TASK_ROWS else df
 
 
 def time_bucket(time: str | Column, width: int = BUCKET_US) -> Column:
@@ -90,8 +98,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, colum
 
     bucket must not fall along the order. Rows that are equal in keys and order are taken in any order.
     """
-    data = df.withColumns({"_bucket": bucket, "_edge": F.lit(0)} | {f"_v_{n}": c.value for n, c in columns.items()})
-    parts = data.groupBy(*keys, "_bucket").agg(*[c.whole(F.col(f"_v_{n}"), order).alias(f"_v_{n}") for n, c in columns.items()])
+    df = stored(df.withColumn("_bucket", bucket), "series")  # read twice, and counted
+    rows = df.count()
+    data = df.withColumns({"_edge": F.lit(0)} | {f"_v_{n}": c.value for n, c in columns.items()})
+    parts = spread(data, rows, *keys, "_bucket").groupBy(*keys, "_bucket").agg(*[c.whole(F.col(f"_v_{n}"), order).alias(f"_v_{n}") for n, c in columns.items()])
+    parts = spread(parts, rows, *keys)
     along = Window.partitionBy(*keys)
     out = data
     for ahead in sorted({c.ahead for c in columns.values()}):
@@ -104,7 +115,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, colum
     up = inside.orderBy("_edge", *order)
     down = inside.orderBy(F.col("_edge").desc(), *[F.col(o).desc() for o in order])
     found = {n: c.over(F.col(f"_v_{n}"), (down if c.ahead else up).rowsBetween(Window.unboundedPreceding, 0 if c.own else -1)) for n, c in columns.items()}
-    return out.withColumns(found).where("_edge = 0").drop("_bucket", "_edge", *[f"_v_{n}" for n in columns])
+    return spread(out, rows, *keys, "_bucket").withColumns(found).where("_edge = 0").drop("_bucket", "_edge", *[f"_v_{n}" for n in columns])
 
 
 def with_halo(df: DataFrame, time: str, reach: int, width: int = BUCKET_US) -> DataFrame:
